@@ -42,9 +42,9 @@ def nfkd(c: Column | str) -> Column:
     return F.coalesce(_nfkd(F.when(c.rlike(NON_ASCII), c)), c)
 
 
-def strip(c: Column) -> Column:
+def strip(c: Column | str) -> Column:
     """Trim all leading and trailing whitespace, including line breaks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
 
 
 def title_key(c: Column | str) -> Column:

@@ -101,10 +101,14 @@ def overview_body(source: Column | str) -> Column:
     return F.when(s.rlike(r"(?im)^==\s*Overview\s*==\s*$"), cut).otherwise(s)
 
 
-def search_snippet(source: Column | str) -> Column:
-    """Prose of the overview: whole lines outside blocks until 220 characters are reached, cut to 217 and an ellipsis."""
-    raw = F.split(overview_body(source), "\n", -1)
-    after = depth_after_lines(raw)
+def with_snippet(docs: DataFrame, source: str, name: str = "snippet") -> DataFrame:
+    """Add the prose of the overview: whole lines outside blocks until 220 characters are reached, cut to 217 and an ellipsis."""
+    docs = docs.withColumn("_lines", F.split(overview_body(source), "\n", -1))
+    docs = docs.withColumn("_depth", depth_after_lines(F.col("_lines")))
+    return docs.withColumn(name, _snippet(F.col("_lines"), F.col("_depth"))).drop("_lines", "_depth")
+
+
+def _snippet(raw: Column, after: Column) -> Column:
     kept = F.filter(
         F.transform(
             raw,

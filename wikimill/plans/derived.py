@@ -145,7 +145,7 @@ SELECT doc_id AS id, 'G' || CAST(doc_id % 20 AS STRING) || '/S' || CAST(doc_id A
          || ',"missingTemplates":[' || CASE WHEN doc_id % 31 = 0 THEN '"T1"' ELSE '' END || ']'
          || ',"missingYouTubeEmbeds":[' || CASE WHEN doc_id % 41 = 0 THEN '"y"' ELSE '' END || ']'
          || ',"compatibility":{"version":"' || CASE WHEN doc_id % 15 = 1 THEN 'v7' ELSE 'v8' END || '","enginePatchset":"' || CASE WHEN doc_id % 21 = 1 THEN 'p1' ELSE 'p2' END || '"}}' END AS source_meta,
-       CASE WHEN doc_id % 8 = 3 THEN NULL ELSE upper(text) END AS content_wikitext,
+       CASE WHEN doc_id % 8 = 3 THEN NULL ELSE replace(text, 'e', 'a') END AS content_wikitext,
        CASE WHEN doc_id % 8 = 3 THEN 'ko' ELSE 'en' END AS content_language,
        CASE doc_id % 9 WHEN 0 THEN 'reviewed' WHEN 1 THEN 'failed' WHEN 2 THEN NULL ELSE 'translated_by_chatgpt' END AS translation_status,
        CAST(doc_id % 6 AS INT) AS content_revision_no,
@@ -223,7 +223,7 @@ SELECT doc_id AS id, 'G' || CAST(doc_id % 20 AS STRING) AS root_title,
        CASE WHEN doc_id % 15 = 0 THEN '=== H ===' ELSE '== H ==' END || chr(10)
          || CASE WHEN doc_id % 6 = 0 THEN '[[B|en]]' ELSE '[[A|en]]' END || ' https://site.example/' || CAST(CASE WHEN doc_id % 10 = 0 THEN 0 ELSE doc_id END AS STRING) || chr(10)
          || '[include(Template:T, x=2)] [youtube(abcdefg)] [* n]' || chr(10)
-         || '=== S ===' || chr(10) || '|| a || b' || CASE WHEN doc_id % 9 = 0 THEN '' ELSE ' ||' END || chr(10) || '{{{ x }}}' || chr(10) || upper(text) AS translated_text
+         || '=== S ===' || chr(10) || '|| a || b' || CASE WHEN doc_id % 9 = 0 THEN '' ELSE ' ||' END || chr(10) || '{{{ x }}}' || chr(10) || replace(text, 'e', 'a') AS translated_text
 FROM documents
 """
 

@@ -99,4 +99,4 @@ WITH s AS (SELECT id, 'The page ' || CAST(id AS VARCHAR) || ' tells of an act an
 SELECT id, expected AS snippet FROM s""")
 def _(t):
     # the overview section of these documents holds one prose line, a block and a table
-    return t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", s.search_snippet("source_wikitext").alias("snippet"))
+    return t.wiki_docs.where("source_wikitext IS NOT NULL").transform(lambda d: s.with_snippet(d, "source_wikitext")).select("id", "snippet")

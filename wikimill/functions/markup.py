@@ -75,9 +75,9 @@ def simple_includes(source: Column | str) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _scan_includes(values: pd.Series) -> pd.Series:
-    """Bodies of include calls for the few texts whose nesting is too deep for the pattern."""
+    """Text and call bodies in turn, for the few texts whose nesting is too deep for the pattern."""
 
-    def bodies(text: str) -> list[str]:
+    def pieces(text: str) -> list[str]:
         out, lower, at = [], text.lower(), 0
         while (start := lower.find("[include(", at)) >= 0:
             depth, end = 0, -1
@@ -93,23 +93,34 @@ def _scan_includes(values: pd.Series) -> pd.Series:
                         break
             if end < 0:
                 break
-            out.append(text[start + 9 : end])
+            out += [text[at:start], text[start + 9 : end]]
             at = end + 2
-        return out
+        return [*out, text[at:]]
 
-    return values.map(bodies, na_action="ignore")
+    return values.map(pieces, na_action="ignore")
 
 
-def include_bodies(source: Column | str) -> Column:
-    """Inner text of every include call by the balanced rule.
+def include_pieces(source: Column | str) -> Column:
+    """A text cut at its include calls: even items are text, odd items the inner text of a call (balanced rule).
 
     The pattern handles two levels of nesting inside the JVM; a text where it finds fewer calls than openers goes to the
     scanner, the others reach it as nulls.
     """
-    raw = unix_lines(source)
+    raw = as_col(source)
     found = all_matches(raw, BALANCED_INCLUDE, 1)
     exact = F.size(found) == count(raw, INCLUDE_OPEN)
-    return F.when(exact, found).otherwise(_scan_includes(F.when(~exact, raw)))
+    zipped = F.flatten(F.transform(F.split(raw, BALANCED_INCLUDE, -1), lambda p, i: F.filter(F.array(p, F.get(found, i)), lambda x: x.isNotNull())))
+    return F.when(exact, zipped).otherwise(_scan_includes(F.when(~exact, raw)))
+
+
+def include_bodies(source: Column | str) -> Column:
+    """Inner text of every include call."""
+    return F.filter(include_pieces(unix_lines(source)), lambda x, i: i % 2 == 1)
+
+
+def top_level_parts(body: Column) -> Column:
+    """Split a call at the commas outside parentheses."""
+    return all_matches(body, r"(?:^|,)((?:[^,()]++|\((?:[^()]++|\([^()]*+\))*+(?:\)|$)|\))*+)", 1)
 
 
 def include_target(body: Column) -> Column:

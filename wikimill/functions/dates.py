@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .keys import as_col
+from .keys import as_col, let
 
 KOREAN_DATE = r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"
 DOTTED_DATE = r"(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})\.?"
@@ -49,20 +51,16 @@ def age(raw: Column, as_of: Column) -> Column:
 
 def expand_date_macros(html: Column | str, as_of: Column) -> Column:
     """Replace every dday and age macro of a text; invalid dates stay as written."""
-    html = as_col(html)
-    for name, fn in (("dday", dday), ("age", age)):
+
+    def replace(text: Column, name: str, value: Callable[[Column, Column], Column]) -> Column:
         pattern = rf"(?i)(?:\[|&#91;){name}\((\d{{4}}-\d{{2}}-\d{{2}})\)(?:\]|&#93;)"
-        found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-        args = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-        pieces = F.split(html, pattern, -1)
-        # pieces and replacements alternate, so one pass rebuilds the text
-        html = F.array_join(
-            F.transform(
-                pieces,
-                lambda p, i, found=found, args=args, fn=fn: F.concat(
-                    p, F.coalesce(fn(F.get(args, i), as_of), F.get(found, i), F.lit(""))
-                ),
-            ),
-            "",
-        )
-    return html
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        args = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+        def piece(p: Column, i: Column) -> Column:
+            return F.concat(p, F.coalesce(value(F.get(args, i), as_of), F.get(found, i), F.lit("")))
+
+        # pieces and macros alternate, so one pass rebuilds the text
+        return F.array_join(F.transform(F.split(text, pattern, -1), piece), "")
+
+    return let(replace(as_col(html), "dday", dday), lambda t: replace(t, "age", age))

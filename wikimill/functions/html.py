@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .keys import FILE_PREFIX, as_col, nfkc, strip
+from .keys import FILE_PREFIX, as_col, let, nfkc, strip
 from .urls import SITE, Site, host, is_non_payload, percent_decode
 
 # The entities the page decoder knows.
@@ -48,7 +48,7 @@ def _numeric_entities(c: Column) -> Column:
 def decode_all(c: Column) -> Column:
     for entity, text in BASIC_ENTITIES + BRACKET_ENTITIES:
         c = F.regexp_replace(c, "(?i)" + entity, text)
-    return _numeric_entities(c)
+    return let(c, _numeric_entities)
 
 
 def html_to_text(html: Column | str) -> Column:
@@ -138,13 +138,16 @@ def file_name(value: Column) -> Column:
 
 def media_url(value: Column, site: Site = SITE) -> Column:
     """Absolute address of a media attribute, empty when it is none."""
-    u = strip(decode_all(F.coalesce(value, F.lit(""))))
-    return (
-        F.when(u.startswith("//"), F.concat(F.lit("https:"), u))
-        .when(u.startswith("/"), F.concat(F.lit(f"https://www.{site.mirror}"), u))
-        .when(u.rlike("(?i)^https?://"), u)
-        .otherwise("")
-    )
+
+    def absolute(u: Column) -> Column:
+        return (
+            F.when(u.startswith("//"), F.concat(F.lit("https:"), u))
+            .when(u.startswith("/"), F.concat(F.lit(f"https://www.{site.mirror}"), u))
+            .when(u.rlike("(?i)^https?://"), u)
+            .otherwise("")
+        )
+
+    return let(strip(decode_all(F.coalesce(value, F.lit("")))), absolute)
 
 
 def image_tags(html: Column | str) -> Column:
@@ -166,9 +169,12 @@ def image_tag_url(tag: Column, site: Site = SITE) -> Column:
 
 def image_tag_file(tag: Column) -> Column:
     """File an image tag shows: its alt text with a file prefix, or a bare file name."""
-    alt = strip(decode_all(F.coalesce(attribute(tag, "alt"), F.lit(""))))
-    named = F.regexp_extract(alt, r"(?i)^(?:파일|File):(.+)$", 1)
-    return F.when(named != "", strip(named)).when(alt.rlike(r"(?i)\.(?:avif|gif|jpe?g|png|svg|webp)$"), alt)
+
+    def shown(alt: Column) -> Column:
+        named = F.regexp_extract(alt, r"(?i)^(?:파일|File):(.+)$", 1)
+        return F.when(named != "", strip(named)).when(alt.rlike(r"(?i)\.(?:avif|gif|jpe?g|png|svg|webp)$"), alt)
+
+    return let(strip(decode_all(F.coalesce(attribute(tag, "alt"), F.lit("")))), shown)
 
 
 RENDERED_FEATURES = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .html import all_matches
-from .keys import as_col, strip, title_key
+from .keys import as_col, strip
 
 COMMENT_LINE = r"^\s*##"
 # include call with up to two levels of nested parentheses; a ')' that no ']' follows does not end the call
@@ -205,13 +205,13 @@ def first_per(items: Column, field: str) -> Column:
     return F.filter(items, lambda x, i: F.array_position(values, x[field]) == i + 1)
 
 
-def page_links(source: Column | str, current: Column | str) -> Column:
-    """Distinct link targets of a page with the text shown for them, in order."""
+def page_links(source: Column | str, current: Column) -> Column:
+    """Distinct link targets of a page with the text shown for them, in order. ``current`` is the page's title key."""
     inside = all_matches(active_source(source), r"\[\[([^\[\]]+?)\]\]", 1)
     items = F.transform(
         inside,
         lambda x: F.struct(
-            resolve_link(F.regexp_extract(x, r"(?s)^([^|]*)", 1), title_key(as_col(current))).alias("title"),
+            resolve_link(F.regexp_extract(x, r"(?s)^([^|]*)", 1), current).alias("title"),
             F.substring(
                 strip(F.regexp_replace(F.regexp_replace(x, r"(?s)^[^|]*\|", ""), r"\s+", " ")), 1, 240
             ).alias("text"),

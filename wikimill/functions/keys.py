@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Namespace words of the source wiki and their English forms.
 FILE_PREFIX = r"(?i)^(?:파일|File):"
@@ -26,26 +23,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _nfkd(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKD", v), na_action="ignore")
+def _icu(method: str, c: Column) -> Column:
+    """Compatibility normalization by the ICU library that ships with Spark; ASCII texts are left alone."""
+    call = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), F.coalesce(c, F.lit("")), F.lit(True))
+    return F.when(c.rlike(NON_ASCII), call).otherwise(c)
 
 
 def nfkc(c: Column | str) -> Column:
-    """Unicode NFKC. Only texts with a non-ASCII character travel to Python; the others are sent as nulls."""
-    c = as_col(c)
-    return F.coalesce(_nfkc(F.when(c.rlike(NON_ASCII), c)), c)
+    """Unicode NFKC."""
+    return _icu("compose", as_col(c))
 
 
 def nfkd(c: Column | str) -> Column:
-    """Unicode NFKD, with the same ASCII shortcut."""
-    c = as_col(c)
-    return F.coalesce(_nfkd(F.when(c.rlike(NON_ASCII), c)), c)
+    """Unicode NFKD."""
+    return _icu("decompose", as_col(c))
 
 
 def strip(c: Column | str) -> Column:

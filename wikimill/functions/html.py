@@ -22,6 +22,18 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def match_spans(text: Column, pattern: str) -> Column:
+    """Start (1-based) and text of every match of a pattern, in one pass over the pieces between matches."""
+    found, pieces = all_matches(text, pattern), F.split(text, pattern, -1)
+    gaps = F.transform(found, lambda x, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), x.alias("raw")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"] + F.length(x["raw"])).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["raw"].alias("raw")))).alias("out"),
+    )
+    return F.aggregate(gaps, start, step, lambda acc: acc["out"])
+
+
 def decode_basic(c: Column) -> Column:
     for entity, text in BASIC_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(text))

@@ -141,7 +141,7 @@ SELECT doc_id AS id, 'G' || CAST(doc_id % 20 AS STRING) || '/S' || CAST(doc_id A
        CASE WHEN doc_id % 19 = 1 THEN NULL ELSE
          '{"hasError":' || CASE WHEN doc_id % 37 = 5 THEN 'true' ELSE 'false' END
          || ',"missingFileCount":' || CAST(CASE WHEN doc_id % 12 = 0 THEN doc_id % 5 ELSE 0 END AS STRING)
-         || ',"missingFiles":[' || CASE WHEN doc_id % 16 = 0 THEN '"f1.png","f2.png"' ELSE '' END || ']'
+         || ',"missingFiles":[' || CASE WHEN doc_id % 16 = 0 THEN '"f' || CAST(doc_id % 70 AS STRING) || '.png","f2.png"' ELSE '' END || ']'
          || ',"missingTemplates":[' || CASE WHEN doc_id % 31 = 0 THEN '"T1"' ELSE '' END || ']'
          || ',"missingYouTubeEmbeds":[' || CASE WHEN doc_id % 41 = 0 THEN '"y"' ELSE '' END || ']'
          || ',"compatibility":{"version":"' || CASE WHEN doc_id % 15 = 1 THEN 'v7' ELSE 'v8' END || '","enginePatchset":"' || CASE WHEN doc_id % 21 = 1 THEN 'p1' ELSE 'p2' END || '"}}' END AS source_meta,
@@ -157,6 +157,7 @@ SELECT doc_id AS id, 'G' || CAST(doc_id % 20 AS STRING) || '/S' || CAST(doc_id A
             || '<a class="wiki-link-internal" href="/w/G' || CAST(doc_id % 25 AS STRING) || '/S' || CAST(doc_id + 5 AS STRING) || '">next</a></article>' END AS content_html,
        CASE WHEN doc_id % 10 = 7 THEN NULL ELSE TIMESTAMP '2024-03-05 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id % 100 AS INT) END AS content_rendered_at,
        CASE WHEN doc_id % 10 = 7 THEN NULL ELSE '{"hasError":false,"missingFileCount":' || CAST(CASE WHEN doc_id % 22 = 0 THEN 2 ELSE 0 END AS STRING)
+         || ',"missingFiles":[' || CASE WHEN doc_id % 24 = 0 THEN '"File:F' || CAST(doc_id % 90 AS STRING) || '.PNG"' ELSE '' END || ']'
          || ',"editableContent":{"revisionNo":' || CAST(CASE WHEN doc_id % 24 = 1 THEN 9 ELSE doc_id % 6 END AS STRING) || '}}' END AS content_meta,
        CASE WHEN doc_id % 5 = 4 THEN 0 ELSE CAST(doc_id % 6 AS INT) END AS published_revision_no,
        CASE WHEN doc_id % 5 = 4 THEN NULL ELSE 'en' END AS published_language,

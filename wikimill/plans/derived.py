@@ -153,7 +153,7 @@ SELECT doc_id AS id, 'G' || CAST(doc_id % 20 AS STRING) || '/S' || CAST(doc_id A
        'h' || CAST(doc_id % 3 AS STRING) AS source_hash,
        CASE WHEN doc_id % 18 = 2 THEN 'h9' ELSE 'h' || CAST(doc_id % 3 AS STRING) END AS translation_source_hash,
        CASE WHEN doc_id % 10 = 7 THEN NULL ELSE '<article><p>' || text || '</p>'
-            || CASE WHEN doc_id % 26 = 4 THEN '[[leak]]' ELSE '' END || CASE WHEN doc_id % 28 = 6 THEN '<a href="/w/x">한글 링크</a>' ELSE '' END
+            || CASE WHEN doc_id % 26 = 4 THEN '[[leak]]' ELSE '' END || CASE WHEN doc_id % 28 = 6 THEN '<a href="/w/x">한글링크</a>' ELSE '' END
             || '<a class="wiki-link-internal" href="/w/G' || CAST(doc_id % 25 AS STRING) || '/S' || CAST(doc_id + 5 AS STRING) || '">next</a></article>' END AS content_html,
        CASE WHEN doc_id % 10 = 7 THEN NULL ELSE TIMESTAMP '2024-03-05 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id % 100 AS INT) END AS content_rendered_at,
        CASE WHEN doc_id % 10 = 7 THEN NULL ELSE '{"hasError":false,"missingFileCount":' || CAST(CASE WHEN doc_id % 22 = 0 THEN 2 ELSE 0 END AS STRING)

@@ -67,7 +67,7 @@ def _(t):
     return t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", v.leak_names("source_wikitext").alias("leaks"))
 
 
-@query("v5_untranslated_links", "SELECT id, '/w/x' AS href, '한글 링크' AS visible FROM render_docs WHERE content_html IS NOT NULL AND id % 28 = 6")
+@query("v5_untranslated_links", "SELECT id, '/w/x' AS href, '한글링크' AS visible FROM render_docs WHERE content_html IS NOT NULL AND id % 28 = 6")
 def _(t):
     d = t.render_docs.where("content_html IS NOT NULL")
     return d.select("id", F.explode(v.untranslated_links("content_html")).alias("x")).select("id", "x.href", "x.visible")

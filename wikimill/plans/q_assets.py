@@ -85,19 +85,19 @@ def _(t):
 
 
 @query("j9_media_scope", """
-WITH ro AS (SELECT DISTINCT root_title FROM wiki_docs), ge AS (SELECT root_title, id AS document_id FROM wiki_docs WHERE id % 3 = 0), ti AS (SELECT id AS document_id, source_title AS title FROM wiki_docs),
+WITH ro AS (SELECT DISTINCT root_title FROM wiki_docs), ge AS (SELECT root_title, id AS document_id FROM wiki_docs WHERE crawl_depth = 1), ti AS (SELECT id AS document_id, source_title AS title FROM wiki_docs),
 u AS (SELECT * FROM ge UNION SELECT root_title, document_id FROM ro JOIN ti ON ti.title = ro.root_title)
 SELECT u.root_title, m.id FROM u JOIN media m USING (document_id) UNION SELECT ro.root_title, m.id FROM ro JOIN media m ON starts_with(m.storage_path, lower(ro.root_title) || '/')""")
 def _(t):
     d = t.wiki_docs
     return a.media_scope(
-        d.select("root_title").distinct(), d.where("id % 3 = 0").select("root_title", F.col("id").alias("document_id")),
+        d.select("root_title").distinct(), d.where("crawl_depth = 1").select("root_title", F.col("id").alias("document_id")),
         d.select(F.col("id").alias("document_id"), F.col("source_title").alias("title")), t.media.drop("root_title"),
     )
 
 
 NEEDED = "SELECT doc_id, file_name FROM required_files UNION ALL SELECT doc_id, 'alt-' || CAST(doc_id % 120 AS STRING) || '.jpg' AS file_name FROM documents"
-DONE = "SELECT doc_id, file_name AS ref FROM required_files WHERE file_name LIKE 'F%.PNG' AND doc_id % 2 = 0"
+DONE = "SELECT doc_id, file_name AS ref FROM required_files WHERE file_name LIKE 'F%.PNG' AND length(file_name) < 7"
 
 
 @query("j10_staged_reconciliation", f"""

@@ -53,7 +53,7 @@ def _(t):
 
 LINKS14 = "SELECT id, current_title AS root_title, CASE WHEN id % 4 = 0 THEN current_title || '/S' || CAST(id % 900 AS STRING) WHEN id % 4 = 1 THEN target || ' (' || current_title || ')' ELSE target END AS target FROM plain_links"
 SOURCES14 = "SELECT source_title, root_title, CASE WHEN id % 2 = 0 THEN id END AS document_id FROM wiki_docs"
-DOCS14 = "SELECT id AS document_id, 'slug-' || CAST(id AS STRING) AS slug, CASE WHEN id % 3 = 0 THEN 'draft' ELSE 'published' END AS status FROM wiki_docs WHERE id % 5 > 0"
+DOCS14 = "SELECT id AS document_id, 'slug-' || CAST(id AS STRING) AS slug, CASE WHEN id % 3 = 0 THEN 'draft' ELSE 'published' END AS status FROM wiki_docs WHERE content_revision_no > 0"
 GENERIC = r"""(regexp_matches(target, '(?i)^(?:\d{4}년|\d{1,2}월(?:\s*\d{1,2}일)?|SBS|MBC|KBS|JTBC|tvN|엠넷|Mnet|유튜브|YouTube|Instagram|X|트위터|OST|가수|아이돌|대한민국|일본|미국)$') OR regexp_matches(target, '(?i)(?:^|/)(?:참가자|\d+회|FINAL)$'))"""
 
 

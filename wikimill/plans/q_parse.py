@@ -67,12 +67,12 @@ def _(t):
     return b.groupBy("id").agg(whole.alias("w")).select("id", digest("w").alias("digest"))
 
 
-@query("v3_lossless_split", "SELECT id FROM wiki_docs WHERE source_wikitext IS NOT NULL AND id % 5 = 0")
+@query("v3_lossless_split", "SELECT id FROM wiki_docs WHERE source_wikitext IS NOT NULL AND content_language = 'en'")
 def _(t):
-    docs = t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", F.col("source_wikitext").alias("source"))
-    parts = p.markup_blocks(docs, "id", "source")
-    # every fifth document loses its second block, which the check has to find
-    broken = parts.where(~((F.col("id") % 5 == 0) & (F.col("pos") == 1)))
+    docs = t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", "content_language", F.col("source_wikitext").alias("source"))
+    parts = p.markup_blocks(docs, "id", "source").join(docs.select("id", "content_language"), "id")
+    # English documents lose their second block, which the check has to find
+    broken = parts.where(~((F.col("content_language") == "en") & (F.col("pos") == 1)))
     return lossy_splits(broken, docs, "id")
 
 

@@ -6,7 +6,7 @@ from ..operators import similarity as s
 from .registry import query
 
 COMPACT = r"lower(regexp_replace(regexp_replace({0}, '(?i)<\s*(?:img|video)\b[^>]*>', ' ', 'g'), '[\s\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}]+', '', 'g'))"
-GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+GRAMS = "list_distinct(list_transform(list_zip(string_split({0}, '')[1:-3], string_split({0}, '')[2:-2], string_split({0}, '')[3:]), lambda z: z[1] || z[2] || z[3]))"
 
 
 @query("m1_text_similarity", f"""

@@ -75,14 +75,14 @@ def _(t):
 
 
 @query("k4_replace_children", """
-SELECT conv_id, turn, role AS body FROM conversations WHERE conv_id % 3 > 0 UNION ALL SELECT conv_id, turn, 'new ' || role AS body FROM conversations WHERE conv_id % 3 = 0 AND turn % 2 = 0""")
+SELECT conv_id, turn, role AS body FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn >= 4) UNION ALL SELECT conv_id, turn, 'new ' || role AS body FROM conversations WHERE role = 'user' AND conv_id IN (SELECT conv_id FROM conversations WHERE turn >= 4)""")
 def _(t):
     path = work_path(t.spark, "sections")
     old = t.conversations.select("conv_id", "turn", F.col("role").alias("body"))
     k.write_bucketed(old.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(16)).cast("int")), path)
-    changed = old.where("conv_id % 3 = 0")
-    children = changed.where("turn % 2 = 0").withColumn("body", F.concat(F.lit("new "), "body"))
-    k.replace_children(t.spark, path, changed.select("conv_id").distinct(), children, "conv_id", buckets=16)
+    parents = old.where("turn >= 4").select("conv_id").distinct()
+    children = old.where("body = 'user'").withColumn("body", F.concat(F.lit("new "), "body"))
+    k.replace_children(t.spark, path, parents, children, "conv_id", buckets=16)
     return t.spark.read.parquet(path).select("conv_id", "turn", "body")
 
 
@@ -110,7 +110,7 @@ def _(t):
     return k.sitemap(d, "https://site.example")
 
 
-RUNS = "SELECT o_custkey % 25 AS run_id, CASE WHEN o_orderkey % 11 = 0 THEN 'HTTP 500' WHEN o_orderkey % 5 = 0 THEN 'skipped' ELSE 'fetched' END AS status, CAST(o_orderkey % 13 AS BIGINT) AS links, CAST(o_custkey % 7 AS BIGINT) AS images FROM orders WHERE o_custkey % 25 > 2 OR o_orderkey % 11 > 0"
+RUNS = "SELECT o_custkey % 25 AS run_id, CASE WHEN o_orderkey % 11 = 0 AND o_custkey % 25 > 2 THEN 'HTTP 500' WHEN o_orderkey % 5 = 0 THEN 'skipped' ELSE 'fetched' END AS status, CAST(o_orderkey % 13 AS BIGINT) AS links, CAST(o_custkey % 7 AS BIGINT) AS images FROM orders"
 
 
 @query("k7_run_summary", f"""

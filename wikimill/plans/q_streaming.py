@@ -12,6 +12,10 @@ def as_of():
     return F.lit("2024-01-10 00:10:00").cast("timestamp")
 
 
+def seconds(df, column):
+    return df.withColumn(column, F.date_format(column, "yyyy-MM-dd HH:mm:ss"))
+
+
 TRAILING = """
 SELECT id, submitter, CAST((SELECT count(*) FROM edit_proposals b WHERE b.submitter = a.submitter AND b.created_at >= a.created_at - INTERVAL '1' HOUR AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))) AS INT) AS recent FROM edit_proposals a"""
 
@@ -45,7 +49,7 @@ LEASE_EVENTS = "SELECT user_id AS task_id, ts, event_id AS seq, CASE event_type
 LEASE_SQL = """
 WITH e AS ({events}), f AS (SELECT *, count_if(kind = 'claim') OVER (PARTITION BY task_id ORDER BY ts, seq) AS attempts, lead(ts) OVER (PARTITION BY task_id ORDER BY ts, seq) AS nxt FROM e),
 m AS (SELECT max(ts) AS top FROM e)
-SELECT task_id, CAST(floor(epoch_us(ts + INTERVAL '{minutes}' MINUTE) / 1000000) AS BIGINT) AS expired_at, CAST(attempts AS INT) AS attempts, CASE WHEN attempts < {budget} THEN 'queued' ELSE 'failed' END AS status
+SELECT task_id, strftime(ts + INTERVAL '{minutes}' MINUTE, '%Y-%m-%d %H:%M:%S') AS expired_at, CAST(attempts AS INT) AS attempts, CASE WHEN attempts < {budget} THEN 'queued' ELSE 'failed' END AS status
 FROM f, m WHERE kind = 'claim' AND epoch_ms(ts) + {minutes} * 60000 <= coalesce(epoch_ms(nxt), epoch_ms(top) - 60000)"""
 
 
@@ -57,7 +61,7 @@ def lease_events(t):
 
 @query("r2_stale_recovery_stream", LEASE_SQL.format(events=LEASE_EVENTS, minutes=60, budget=1000000))
 def _(t):
-    return r.run_to_files(r.lease_stream(lease_events(t), 60, 1_000_000), "r2")
+    return seconds(r.run_to_files(r.lease_stream(lease_events(t), 60, 1_000_000), "r2"), "expired_at")
 
 
 @query("r3_runner_lease", f"SELECT id FROM pipeline_runs WHERE runner_id IS NULL OR runner_id = 'runner1' OR heartbeat_at IS NULL OR heartbeat_at < {AS_OF} - INTERVAL '120' SECOND")
@@ -107,7 +111,7 @@ def _(t):
 
 @query("r5_lease_expiry_stream", LEASE_SQL.format(events=LEASE_EVENTS, minutes=8, budget=2))
 def _(t):
-    return r.run_to_files(r.lease_stream(lease_events(t), 8, 2), "r5")
+    return seconds(r.run_to_files(r.lease_stream(lease_events(t), 8, 2), "r5"), "expired_at")
 
 
 STALL_JOBS = "SELECT c_custkey % 60 AS run_id, c_custkey AS source_document_id, CASE WHEN c_custkey % 60 < 20 THEN 'pass' WHEN c_custkey % 60 < 40 THEN CASE WHEN c_custkey % 7 = 0 THEN 'needs_review' ELSE 'failed' END ELSE 'queued' END AS status FROM customer"

@@ -6,8 +6,8 @@ Outputs go to Parquet files through the file sink, or through ``foreachBatch`` w
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -103,20 +103,19 @@ class TrailingCounter(StatefulProcessor):
     """Counts the attempts of a key within the trailing time; keeps only the moments still inside it."""
 
     def __init__(self, seconds: int):
-        self.span = timedelta(seconds=seconds)
+        self.span = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "ts timestamp")
+        self.times = handle.getListState("times", "us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["ts", "id"])
-        recent = [t[0] for t in self.times.get()] if self.times.exists() else []
+        recent = deque(sorted(t[0] for t in self.times.get()) if self.times.exists() else ())
         out = []
-        for r in batch.itertuples():
-            now = pd.Timestamp(r.ts).to_pydatetime()
-            recent = [t for t in recent if _naive(t) >= _naive(now) - self.span]
+        for r in _ordered(rows, ["us", "id"]).itertuples():
+            while recent and recent[0] < r.us - self.span:
+                recent.popleft()
             out.append((r.id, key[0], len(recent)))
-            recent.append(now)
+            recent.append(r.us)
         self.times.put([(t,) for t in recent])
         yield pd.DataFrame(out, columns=["id", "submitter", "recent"])
 
@@ -124,14 +123,10 @@ class TrailingCounter(StatefulProcessor):
         pass
 
 
-def _naive(t) -> datetime:
-    t = pd.Timestamp(t)
-    return (t.tz_convert("UTC").tz_localize(None) if t.tzinfo else t).to_pydatetime()
-
-
 def rate_limit_stream(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """Trailing counts as a stream ``(id, submitter, ts)``; a count at the limit means the proposal is refused."""
-    return _stateful(events.select("id", "submitter", "ts"), "submitter", TrailingCounter(seconds), "id long, submitter long, recent int")
+    e = events.select("id", "submitter", F.unix_micros("ts").alias("us"))
+    return _stateful(e, "submitter", TrailingCounter(seconds), "id long, submitter long, recent int")
 
 
 # --- R2, R5 leases --------------------------------------------------------------------------------------------------
@@ -167,12 +162,12 @@ class LeaseProcessor(StatefulProcessor):
         if not is_open or (now is not None and now < until):
             return []
         self.lease.update((until, attempts, False))
-        return [(key[0], until // 1000, attempts, "queued" if attempts < self.max_attempts else "failed")]
+        return [(key[0], until, attempts, "queued" if attempts < self.max_attempts else "failed")]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for r in _ordered(rows, ["ts", "seq"]).itertuples():
-            now = pd.Timestamp(_naive(r.ts)).value // 1_000_000
+        for r in _ordered(rows, ["us", "seq"]).itertuples():
+            now = r.us // 1000
             out += self._expire(key, now)
             attempts = self.lease.get()[1] if self.lease.exists() else 0
             if r.kind == "claim":
@@ -192,8 +187,9 @@ class LeaseProcessor(StatefulProcessor):
 
 def lease_stream(events: DataFrame, minutes: int, max_attempts: int, delay: str = "1 minute") -> DataFrame:
     """Expired leases of an event stream ``(task_id, ts, seq, kind)``, kind being claim or done."""
-    e = events.select("task_id", "ts", "seq", "kind").withWatermark("ts", delay)
-    return _stateful(e, "task_id", LeaseProcessor(minutes, max_attempts), "task_id long, expired_at long, attempts int, status string", timers=True)
+    e = events.select("task_id", "ts", F.unix_micros("ts").alias("us"), "seq", "kind").withWatermark("ts", delay)
+    out = _stateful(e, "task_id", LeaseProcessor(minutes, max_attempts), "task_id long, expired_at long, attempts int, status string", timers=True)
+    return out.withColumn("expired_at", F.timestamp_millis("expired_at"))
 
 
 # --- R3 runner lease ------------------------------------------------------------------------------------------------
@@ -210,18 +206,18 @@ class RunnerLease(StatefulProcessor):
     """Decides the claims of one run in time order; the holder keeps it while its heartbeat is fresh."""
 
     def __init__(self, stale_seconds: int):
-        self.span = timedelta(seconds=max(30, stale_seconds))
+        self.span = max(30, stale_seconds) * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.holder = handle.getValueState("holder", "runner string, at timestamp")
+        self.holder = handle.getValueState("holder", "runner string, us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
         runner, at = self.holder.get() if self.holder.exists() else (None, None)
-        for r in _ordered(rows, ["ts", "id"]).itertuples():
-            granted = runner is None or runner == r.runner or _naive(at) < _naive(r.ts) - self.span
+        for r in _ordered(rows, ["us", "id"]).itertuples():
+            granted = runner is None or runner == r.runner or at < r.us - self.span
             if granted:
-                runner, at = r.runner, pd.Timestamp(r.ts).to_pydatetime()
+                runner, at = r.runner, r.us
             out.append((r.id, key[0], granted))
         self.holder.update((runner, at))
         yield pd.DataFrame(out, columns=["id", "run_id", "granted"])
@@ -232,7 +228,8 @@ class RunnerLease(StatefulProcessor):
 
 def runner_claims(events: DataFrame, stale_seconds: int = 120) -> DataFrame:
     """Granted or refused claims ``(id, run_id, runner, ts)``."""
-    return _stateful(events.select("id", "run_id", "runner", "ts"), "run_id", RunnerLease(stale_seconds), "id long, run_id long, granted boolean")
+    e = events.select("id", "run_id", "runner", F.unix_micros("ts").alias("us"))
+    return _stateful(e, "run_id", RunnerLease(stale_seconds), "id long, run_id long, granted boolean")
 
 
 # --- R4 job lifecycle -----------------------------------------------------------------------------------------------

@@ -86,7 +86,7 @@ def visible_text(html: Column | str) -> Column:
 def article_html(html: Column | str) -> Column:
     html = as_col(html)
     inner = F.regexp_extract(html, r"(?i)<article\b[^>]*>([\s\S]*?)</article>", 1)
-    return F.when(inner != "", inner).otherwise(html)
+    return F.coalesce(F.nullif(inner, F.lit("")), html)
 
 
 def is_article_title(title: Column) -> Column:

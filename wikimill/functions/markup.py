@@ -59,9 +59,8 @@ SOURCE_FEATURES = {
 }
 
 
-def source_features(source: Column | str) -> dict[str, Column]:
-    """The 14 syntax counts of the active source."""
-    raw = active_source(source)
+def source_features(raw: Column) -> dict[str, Column]:
+    """The 14 syntax counts of a source without comment lines."""
     out = {name: count(raw, p) for name, p in SOURCE_FEATURES.items()}
     out["links"] = F.size(article_links(raw))
     out["file_refs"] = F.size(F.filter(all_matches(raw, r"(?i)\[\[(?:파일|File):([^\]|]+)", 1), lambda x: strip(x) != ""))

@@ -103,26 +103,27 @@ GATE_PATTERNS = {
 }
 
 
-def passages(text: Column, pattern: str, before: int, after: int, k: int | None = None) -> Column:
-    """Distinct passages around the first ``k`` matches of a pattern, blanks tidied; empty without a match."""
-    spans = match_spans(text, pattern)
-    spans = spans if k is None else F.slice(spans, 1, k)
+def passages(text: Column, spans: Column, before: int, after: int) -> Column:
+    """Distinct passages around matches of a text, blanks tidied."""
 
     def cut(x: Column) -> Column:
         lo = F.greatest(F.lit(1), x["start"] - before)
         return strip(F.regexp_replace(F.substring(text, lo, x["start"] - lo + F.length(x["raw"]) + after), r"\s+", " "))
 
-    return F.when(text.rlike(pattern), F.array_distinct(F.transform(spans, cut))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(spans, cut))
 
 
 def syntax_leaks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Visible markup per page and kind, with its number and the first five passages."""
     d = pages.select(key, visible_text(html).alias("_t"))
-    found = [
-        F.struct(F.lit(kind).alias("kind"), count(F.col("_t"), p).alias("n"), passages(F.col("_t"), p, 45, 75, 5).alias("samples"))
-        for kind, p in LEAK_PATTERNS.items()
-    ]
-    return d.select(key, F.explode(F.filter(F.array(*found), lambda x: x["n"] > 0)).alias("x")).select(key, "x.kind", "x.n", "x.samples")
+    t = F.col("_t")
+
+    def leak(kind: str, pattern: str) -> Column:
+        about = lambda s: F.struct(F.lit(kind).alias("kind"), F.size(s).alias("n"), passages(t, F.slice(s, 1, 5), 45, 75).alias("samples"))
+        return F.when(t.rlike(pattern), let(match_spans(t, pattern), about))
+
+    found = F.array_compact(F.array(*[leak(kind, p) for kind, p in LEAK_PATTERNS.items()]))
+    return d.select(key, F.explode(found).alias("x")).select(key, "x.kind", "x.n", "x.samples")
 
 
 def leak_names(html: Column | str) -> Column:
@@ -139,21 +140,23 @@ def untranslated_links(html: Column | str) -> Column:
             F.regexp_extract(a, r"""(?i)\shref=["']([^"']*)["']""", 1).alias("href"), strip(F.regexp_replace(visible_text(a), r"\s+", " ")).alias("visible")
         ),
     )
-    return F.array_distinct(F.filter(pairs, lambda p: p["visible"].rlike(HANGUL)))
+    hits = F.array_distinct(F.filter(pairs, lambda p: p["visible"].rlike(HANGUL)))
+    return F.when(as_col(html).rlike(HANGUL), hits).otherwise(F.array().cast("array<struct<href:string,visible:string>>"))
 
 
 def untranslated_text(html: Column | str) -> Column:
     """Distinct passages around Hangul in the visible text, up to 56 characters on both sides."""
     bare = F.regexp_replace(as_col(html), r"(?i)<(picture|svg|video|audio|canvas)\b[\s\S]*?</\1\s*>", "")
     tidy = F.regexp_replace(visible_text(bare), r"[ \t]+", " ")
-    return let(tidy, lambda t: passages(t, "[가-힣]+", 56, 56))
+    found = let(tidy, lambda t: passages(t, match_spans(t, "[가-힣]+"), 56, 56))
+    return F.when(as_col(html).rlike(HANGUL), found).otherwise(F.array().cast("array<string>"))
 
 
 # --- V6, V7 ---------------------------------------------------------------------------------------------------------
 
 
 def _counted(prefix: str, n: Column) -> Column:
-    return F.when(n > 0, F.concat(F.lit(prefix + ":"), n.cast("string")))
+    return let(n, lambda v: F.when(v > 0, F.concat(F.lit(prefix + ":"), v.cast("string"))))
 
 
 def source_blockers(version: str, patchset: str) -> Column:
@@ -211,11 +214,11 @@ def _render_meta_blockers(missing_meta: str) -> list[Column]:
 def _visible_blockers(html: Column, leak: str) -> list[Column]:
     links = F.least(F.lit(50), F.size(untranslated_links(html)))
     texts = F.least(F.lit(50), F.size(untranslated_text(html)))
-    has = F.length(html) > 0
+    hangul = html.rlike(HANGUL)
     return [
-        F.when(has & (leak_names(html) != ""), F.concat(F.lit(leak + ":"), leak_names(html))),
-        F.when(has, _counted("visible_korean_links", links)),
-        F.when(has, _counted("visible_korean_text", texts)),
+        let(leak_names(html), lambda names: F.when(names != "", F.concat(F.lit(leak + ":"), names))),
+        F.when(hangul, _counted("visible_korean_links", links)),
+        F.when(hangul, _counted("visible_korean_text", texts)),
     ]
 
 

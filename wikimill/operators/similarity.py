@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import html as h
-from ..functions.keys import FILE_PREFIX, let, nfkc, strip
+from ..functions.keys import FILE_PREFIX, nfkc, strip
 from ..functions.markup import count
 from ..functions.urls import SITE, Site
 from .aggregates import jaccard
@@ -19,20 +21,37 @@ def compact_text(c: Column) -> Column:
     return F.lower(F.regexp_replace(t, r"[​-‍⁠﻿\s]+", ""))
 
 
-def _grams(c: Column, n: int) -> Column:
-    # an empty look-ahead match at every place captures the overlapping grams in one pass over the text
-    return h.all_matches(c, rf"(?s)(?=({'.' * n}))", 1)
+@F.pandas_udf(T.DoubleType())
+def _gram_jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Jaccard similarity of the sets of character trigrams (shorter grams for shorter texts), as arrays of numbers."""
+
+    def grams(text: str, n: int) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        key = points[: len(points) - n + 1]
+        for i in range(1, n):
+            key = (key << 21) | points[i : len(points) - n + 1 + i]
+        return np.unique(key)
+
+    def one(a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        n = min(3, len(a), len(b))
+        if n == 0:
+            return 0.0
+        x, y = grams(a, n), grams(b, n)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common / (len(x) + len(y) - common)
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
 def with_text_similarity(pairs: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """Add the Jaccard similarity of the character trigrams; shorter grams when a text has fewer characters."""
-    d = pairs.withColumns({"_l": compact_text(F.coalesce(left, F.lit(""))), "_r": compact_text(F.coalesce(right, F.lit("")))})
-    a, b = F.col("_l"), F.col("_r")
-    n = F.least(F.lit(3), F.length(a), F.length(b))
-    by_size = F.when(n == 3, let(F.struct(_grams(a, 3).alias("x"), _grams(b, 3).alias("y")), lambda g: jaccard(g["x"], g["y"])))
-    for k in (2, 1):
-        by_size = by_size.when(n == k, jaccard(_grams(a, k), _grams(b, k)))
-    return d.withColumn(name, F.when(a == b, 1.0).when(n == 0, 0.0).otherwise(by_size)).drop("_l", "_r")
+    """Add the Jaccard similarity of the character trigrams.
+
+    The texts are compacted in the JVM; a set of trigrams per row is far quicker as a sorted number array than as an array
+    of strings, so that step runs in numpy.
+    """
+    return pairs.withColumn(name, _gram_jaccard(compact_text(F.coalesce(left, F.lit(""))), compact_text(F.coalesce(right, F.lit("")))))
 
 
 def ratio_similarity(a: Column, b: Column) -> Column:

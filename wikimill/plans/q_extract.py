@@ -104,8 +104,8 @@ SELECT id, {", ".join(f"len(regexp_extract_all(raw, '{p}')) AS {n}" for n, p in
  len(list_filter(regexp_extract_all(raw, '\\[\\[([^\\]|]+)(?:\\|[^\\]]*)?\\]\\]', 1), lambda l: trim(l) <> '' AND NOT regexp_matches(trim(l), '(?i)^(?:파일|File|분류|Category):'))) AS links,
  len(regexp_extract_all(raw, '(?i)\\[\\[(?:파일|File):[^\\]|]+')) AS file_refs FROM r""")
 def _(t):
-    d = t.wiki_docs.where("source_wikitext IS NOT NULL")
-    return d.select("id", *[c.alias(n) for n, c in m.source_features("source_wikitext").items()])
+    d = t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", m.active_source("source_wikitext").alias("raw"))
+    return d.select("id", *[c.alias(n) for n, c in m.source_features(F.col("raw")).items()])
 
 
 RENDERED = {

@@ -79,7 +79,7 @@ def _(t):
 @query("x13_structure_statistics", """
 SELECT id, 3 AS headings, 1 AS tables, 1 + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END AS templates, 1 AS media, 1 AS fallbacks FROM wiki_docs WHERE source_wikitext IS NOT NULL""")
 def _(t):
-    s = p.structure_statistics(p.markup_blocks(t.wiki_docs, "id", "source_wikitext"), "id")
+    s = p.structure_statistics(t.wiki_docs, "id", "source_wikitext")
     return s.select("id", "headings", "tables", "templates", "media", "fallbacks")
 
 

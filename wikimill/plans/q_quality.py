@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.html import rendered_features
-from ..functions.markup import source_features
+from ..functions.markup import active_source, source_features
 from ..operators import graph as g
 from ..operators import quality as v
 from ..operators.ranking import STAGES
@@ -196,7 +196,7 @@ def _(t):
 
 
 def loss_columns():
-    s, r = source_features("source_wikitext"), rendered_features("html")
+    s, r = source_features(F.col("raw")), rendered_features("html")
     return v.structural_loss(s, r)
 
 
@@ -207,7 +207,8 @@ SELECT id, greatest(0, len(regexp_extract_all(s, '#!folding\b')) - len(regexp_ex
  greatest(0, len(regexp_extract_all(s, '<-\d+>')) - len(regexp_extract_all(h, '\scolspan\s*='))) AS colspan,
  greatest(0, len(regexp_extract_all(s, '(?i)\[\[(?:파일|File):')) - len(regexp_extract_all(h, '(?i)<img\b')) - len(regexp_extract_all(h, '(?i)<svg\b'))) AS images FROM d""")
 def _(t):
-    d = t.wiki_docs.where("source_wikitext IS NOT NULL").join(t.wiki_pages.select(F.col("page_id").alias("id"), "html"), "id")
+    raw = active_source("source_wikitext").alias("raw")
+    d = t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", raw).join(t.wiki_pages.select(F.col("page_id").alias("id"), "html"), "id")
     loss = loss_columns()
     return d.select("id", *[loss[n].alias(n) for n in ("folding", "youtube", "colspan", "images")])
 

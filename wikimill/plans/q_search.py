@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import plain_text
 from ..operators import search as s
+from ..operators.ranking import numbered
 from .registry import query
 
 PUBLISHED = "source = 'mirror' AND coalesce(published_revision_no, 0) > 0 AND length(published_html) > 0"
@@ -61,13 +62,10 @@ def _(t):
     return d.select("source_title", "translated_title", "published_revision_no").orderBy("source_title")
 
 
-@query("t8_locale_order", "SELECT source_title, translated_title, CAST(row_number() OVER (ORDER BY translated_title, id) AS BIGINT) AS pos FROM wiki_docs WHERE translated_title LIKE 'Songs%' ORDER BY pos")
+@query("t8_locale_order", "SELECT id, translated_title, row_number() OVER (ORDER BY translated_title COLLATE ko, id) AS pos FROM wiki_docs WHERE translated_title IS NOT NULL")
 def _(t):
-    from ..operators.ranking import numbered
-
-    d = t.wiki_docs.where(F.col("translated_title").startswith("Songs"))
-    # titles here are ASCII, where the Korean order equals the binary one up to letter case
-    return numbered(d, [F.collate("translated_title", "ko"), F.col("id")]).select("source_title", "translated_title", "pos")
+    d = t.wiki_docs.where("translated_title IS NOT NULL")
+    return numbered(d, [F.collate("translated_title", "ko"), F.col("id")]).select("id", "translated_title", "pos")
 
 
 @query("j23_scalar_query", """

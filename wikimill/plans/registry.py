@@ -7,12 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
 from .derived import DERIVED
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+TEXT = ("documents", "pages", "conversations")  # long texts, where the work is per row
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,7 +31,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(self.path(name))
+            return read_table(self.spark, self.path(name), spread=name in TEXT)
         if name in DERIVED:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)
@@ -37,7 +40,7 @@ class Tables:
         """Run SQL over base and derived tables; derived ones become common table expressions."""
         for name in BASE:
             if re.search(rf"\b{name}\b", with_derived(text)):
-                self.spark.read.parquet(self.path(name)).createOrReplaceTempView(name)
+                getattr(self, name).createOrReplaceTempView(name)
         return self.spark.sql(with_derived(text))
 
 

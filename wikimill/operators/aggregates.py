@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import rows_of
 from ..functions.keys import strip
 from .ranking import first_by
 
@@ -111,7 +112,7 @@ def text_node_frequency(pages: DataFrame, key: str, html: Column) -> DataFrame:
     """How often each visible text occurs in a fragment, and whether it has Hangul."""
     body = F.regexp_replace(html, r"(?i)<(script|style|noscript|template)\b[\s\S]*?</\1\s*>", "")
     nodes = F.transform(F.split(body, r"<[^>]*>", -1), lambda x: strip(F.regexp_replace(x, r"\s+", " ")))
-    rows = pages.select(key, F.explode(F.filter(nodes, lambda x: x != "")).alias("text"))
+    rows = rows_of(pages, [key], F.filter(nodes, lambda x: x != ""), "text")
     return rows.groupBy(key, "text").agg(F.count("*").alias("n")).withColumn("has_hangul", F.col("text").rlike("[가-힣]"))
 
 

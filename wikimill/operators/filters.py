@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import all_matches, article_html, html_to_text
+from ..functions.arrays import rows_of
 from ..functions.keys import as_col, strip, title_key
 from ..functions.markup import count
 
@@ -117,7 +118,7 @@ def profile_score(text: Column | str, labels: tuple[str, ...] = PROFILE_LABELS)
 def html_blocks(pages: DataFrame, key: str, html: str, tag: str = "ul|ol|table|div|section|aside") -> DataFrame:
     """Innermost blocks of a page in order (no block of the same kinds inside)."""
     found = all_matches(article_html(F.col(html)), rf"(?i)<(?:{tag})\b[^>]*>(?:[^<]++|<(?!/?(?:{tag})\b))*+</(?:{tag})\s*>")
-    return pages.select(key, F.posexplode(found).alias("pos", "block"))
+    return rows_of(pages, [key], found, "block", "pos")
 
 
 def is_injected_ad(block: Column | str, own_domains: tuple[str, ...] = ("wiki.example", "youtube.com")) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import internal_links
+from ..functions.arrays import rows_of
 from ..functions.keys import document_key, strip, template_title, title_key
 from ..functions.markup import include_bodies, include_pieces, include_target, simple_includes, top_level_parts
 from ..functions.urls import SITE, Site
@@ -16,16 +17,16 @@ from .ranking import first_by, top_rows
 
 def include_edges(docs: DataFrame, title: str, source: str) -> DataFrame:
     """Distinct document -> template edges by the balanced rule; only real templates count."""
-    t = F.explode(F.array_distinct(F.transform(include_bodies(source), include_target))).alias("template")
-    edges = docs.where(F.col(source).isNotNull()).select(F.col(title).alias("owner"), t)
+    names = F.array_distinct(F.transform(include_bodies(source), include_target))
+    edges = rows_of(docs.where(F.col(source).isNotNull()), [F.col(title).alias("owner")], names, "template")
     keep = F.col("template").rlike("^틀:") & ~F.col("template").rlike(r"/설명문서(?:$|/)") & ~F.col("template").rlike(r"[{}\[\]]")
     return edges.withColumn("template", title_key("template")).where(keep)
 
 
 def simple_include_edges(docs: DataFrame, title: str, source: str) -> DataFrame:
     """Distinct document -> template edges by the short rule; the local namespace is added where it is absent."""
-    t = F.explode(F.array_distinct(simple_includes(source))).alias("template")
-    edges = docs.where(F.col(source).isNotNull()).select(F.col(title).alias("owner"), t)
+    names = F.array_distinct(simple_includes(source))
+    edges = rows_of(docs.where(F.col(source).isNotNull()), [F.col(title).alias("owner")], names, "template")
     return edges.withColumn("template", template_title("template")).where("template <> ''").distinct()
 
 
@@ -109,7 +110,7 @@ def link_integrity(pages: DataFrame, html: str, scope: DataFrame, published: Dat
 
     ``scope(root_title, title)`` is the core scope of each root, ``published(title)`` the published titles.
     """
-    links = pages.select("id", "root_title", F.explode(internal_links(html, site)).alias("title"))
+    links = rows_of(pages, ["id", "root_title"], internal_links(html, site), "title")
     links = links.withColumn("title", title_key("title"))
     s = scope.select("root_title", "title", F.lit(True).alias("_in")).distinct()
     p = published.select("title", F.lit(True).alias("_pub")).distinct()
@@ -212,7 +213,7 @@ def expand_includes(docs: DataFrame, templates: DataFrame, max_depth: int = 8) -
     )
     done: list[DataFrame] = []
     while True:
-        parts = open_rows.select("id", "ord", "path", "depth", F.posexplode(include_pieces("text")).alias("i", "piece"))
+        parts = rows_of(open_rows, ["id", "ord", "path", "depth"], include_pieces("text"), "piece", "i")
         parts = parts.withColumn("ord", F.concat("ord", F.array("i")))
         calls = parts.where("i % 2 = 1").withColumn("_args", F.transform(top_level_parts(F.col("piece")), strip))
         calls = calls.withColumn("name", title_key(F.coalesce(F.get("_args", F.lit(0)), F.lit(""))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import all_matches, match_spans, visible_html, visible_text
+from ..functions.arrays import rows_of
 from ..functions.keys import as_col, let, strip, title_key
 from ..functions.markup import count
 
@@ -38,7 +39,7 @@ def meta_count(meta: str, count_key: str | None, array_key: str) -> Column:
 def enum_violations(df: DataFrame, rules: dict[str, tuple[str, ...]], key: str) -> DataFrame:
     """Rows whose value is not allowed, one row per violated column."""
     bad = blocker_array(*[F.when(~F.coalesce(F.col(c).isin(*v), F.lit(False)), F.lit(c)) for c, v in rules.items()])
-    return df.select(key, F.explode(bad).alias("column"))
+    return rows_of(df, [key], bad, "column")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,7 +124,7 @@ def syntax_leaks(pages: DataFrame, key: str, html: str) -> DataFrame:
         return F.when(t.rlike(pattern), let(match_spans(t, pattern), about))
 
     found = F.array_compact(F.array(*[leak(kind, p) for kind, p in LEAK_PATTERNS.items()]))
-    return d.select(key, F.explode(found).alias("x")).select(key, "x.kind", "x.n", "x.samples")
+    return rows_of(d, [key], found, "x").select(key, "x.kind", "x.n", "x.samples")
 
 
 def leak_names(html: Column | str) -> Column:
@@ -270,38 +271,40 @@ def integration_qa(docs: DataFrame, version: str, patchset: str, prepublish: boo
 
     Before publication, what publication itself will fix is only a warning.
     """
-    d = docs
-    if links is not None:
-        d = d.join(links.select("id", "unpublished_core", "outside_core"), "id", "left")
-    else:
-        d = d.withColumns({"unpublished_core": F.lit(0), "outside_core": F.lit(0)})
-    d = d.na.fill(0, ["unpublished_core", "outside_core"])
     html = F.coalesce("content_html", F.lit(""))
     shown = text_present("content_html")
     published = (F.coalesce("published_revision_no", F.lit(0)) > 0) & text_present("published_html")
-    pending, outside = F.col("unpublished_core"), F.col("outside_core")
     # the source rules, without the error flag that only the readiness check looks at
     src = F.filter(source_blockers(version, patchset), lambda b: b != "source_render_error")
-    blockers = F.concat(
+    before = F.concat(
         src,
         blocker_array(
             F.when(~(F.col("content_language").eqNullSafe("en") & text_present("content_wikitext")), "missing_english_revision"),
             F.when(F.col("translation_status").eqNullSafe("failed"), "translation_failed"),
             F.when(~shown, "missing_current_render"),
             F.when(F.col("content_rendered_at").isNull(), "missing_current_render_timestamp"),
-            F.lit(None).cast("string") if prepublish else F.when(shown, _counted("core_links_unpublished", pending)),
-            *[F.when(shown, b) for b in _render_meta_blockers("missing_render_meta")],
-            *[F.when(shown, b) for b in _visible_blockers(html, "current_syntax_leak")],
-            F.lit(None).cast("string") if prepublish else F.when(~published, "not_published"),
-            title_blocker(),
         ),
     )
+    after = blocker_array(
+        *[F.when(shown, b) for b in _render_meta_blockers("missing_render_meta")],
+        *[F.when(shown, b) for b in _visible_blockers(html, "current_syntax_leak")],
+        F.lit(None).cast("string") if prepublish else F.when(~published, "not_published"),
+        title_blocker(),
+    )
+    # the texts are judged first; only flags and short arrays meet the link counts
+    d = docs.select("id", "root_title", shown.alias("_shown"), published.alias("published"), before.alias("_before"), after.alias("_after"))
+    if links is not None:
+        d = d.join(links.select("id", "unpublished_core", "outside_core"), "id", "left").na.fill(0, ["unpublished_core", "outside_core"])
+    else:
+        d = d.withColumns({"unpublished_core": F.lit(0), "outside_core": F.lit(0)})
+    pending, outside = F.col("unpublished_core"), F.col("outside_core")
+    unpublished = F.array().cast("array<string>") if prepublish else blocker_array(F.when(F.col("_shown"), _counted("core_links_unpublished", pending)))
     warnings = blocker_array(
-        F.when(shown, _counted("core_links_pending_publish", pending)) if prepublish else F.lit(None).cast("string"),
-        F.when(shown, _counted("outside_core_links", outside)),
-        F.when(~published, "pending_publish") if prepublish else F.lit(None).cast("string"),
+        F.when(F.col("_shown"), _counted("core_links_pending_publish", pending)) if prepublish else F.lit(None).cast("string"),
+        F.when(F.col("_shown"), _counted("outside_core_links", outside)),
+        F.when(~F.col("published"), "pending_publish") if prepublish else F.lit(None).cast("string"),
     )
-    d = d.select("id", "root_title", published.alias("published"), blockers.alias("blockers"), warnings.alias("warnings"))
+    d = d.select("id", "root_title", "published", F.concat("_before", unpublished, "_after").alias("blockers"), warnings.alias("warnings"))
     return d.withColumn("readiness", F.when(F.size("blockers") == 0, "PASS").otherwise("BLOCKED"))
 
 

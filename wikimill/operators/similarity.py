@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html as h
+from ..functions.arrays import rows_of
 from ..functions.keys import FILE_PREFIX, nfkc, strip
 from ..functions.markup import count
 from ..functions.urls import SITE, Site
@@ -123,7 +124,7 @@ def table_candidates(original: DataFrame, baseline: DataFrame) -> DataFrame:
         n = F.size(f"{p}_tokens")
         ordered = F.array_sort(F.transform(f"{p}_tokens", lambda t: F.struct(F.xxhash64(t).alias("k"), t.alias("t"))))
         prefix = F.slice(ordered, F.lit(1), F.greatest(F.lit(1), (n - F.ceil(n * MIN_TOKEN) + 1).cast("int")))
-        return d, d.where(n > 0).select("doc_id", f"{p}_idx", F.explode(prefix).alias("x")).select("doc_id", f"{p}_idx", F.col("x.t").alias("token"))
+        return d, rows_of(d.where(n > 0), ["doc_id", f"{p}_idx"], prefix, "x").select("doc_id", f"{p}_idx", F.col("x.t").alias("token"))
 
     (o, ot), (b, bt) = side(original, "o"), side(baseline, "b")
     pairs = ot.join(bt, ["doc_id", "token"]).select("doc_id", "o_idx", "b_idx").distinct()

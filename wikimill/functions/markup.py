@@ -124,7 +124,7 @@ def top_level_parts(body: Column) -> Column:
 
 def include_target(body: Column) -> Column:
     """Template title of a call: the text before the first comma outside parentheses, blanks tidied."""
-    name = F.regexp_extract(body, r"^((?:[^,()]|\([^()]*\)|\))*)", 1)
+    name = F.regexp_extract(body, r"^((?:[^,()]++|\([^()]*+\)|\))*+)", 1)
     name = F.regexp_replace(name, "\u00a0", " ")
     name = F.regexp_replace(strip(name), r"(?i)^(틀|Template)\s*:\s*", "$1:")
     return strip(F.regexp_replace(name, r"[ \t]+", " "))

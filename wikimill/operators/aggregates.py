@@ -39,15 +39,22 @@ def run_rollup(jobs: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.select("id", "scope_count").join(counts, "id").withColumn("status", F.when(done, "completed").otherwise("running"))
 
 
-def dependency_progress(jobs: DataFrame) -> DataFrame:
-    """Dependency documents per run: total, ready and waiting; ready never exceeds the total."""
-    dep = F.col("is_dependency")
-    agg = jobs.groupBy("run_id").agg(
-        F.countDistinct(F.when(dep, F.col("source_document_id"))).alias("total"),
-        F.countDistinct(F.when(dep & (F.col("status") == "pass"), F.col("source_document_id"))).alias("passed"),
-    )
-    ready = F.least("total", "passed")
-    return agg.select("run_id", "total", ready.alias("ready"), F.greatest(F.lit(0), F.col("total") - ready).alias("waiting"))
+def dependency_progress(jobs: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Dependency documents per run: total, ready and waiting.
+
+    A document is ready when its English render passed. ``totals(run_id, dependency_total)`` may name more documents than
+    have jobs; those are ready already. Ready never exceeds the total.
+    """
+    dep, doc = F.col("is_dependency"), F.col("source_document_id")
+    rendered = dep & (F.col("stage") == "en_render") & (F.col("status") == "pass")
+    agg = jobs.groupBy("run_id").agg(F.countDistinct(F.when(dep, doc)).alias("docs"), F.countDistinct(F.when(rendered, doc)).alias("rendered"))
+    if totals is not None:
+        agg = agg.join(totals, "run_id", "left")
+    else:
+        agg = agg.withColumn("dependency_total", F.lit(0))
+    total = F.greatest(F.coalesce("dependency_total", F.lit(0)), F.col("docs"))
+    ready = total - F.col("docs") + F.col("rendered")
+    return agg.select("run_id", total.alias("total"), F.least(total, ready).alias("ready"), F.greatest(F.lit(0), total - ready).alias("waiting"))
 
 
 def template_references(edges: DataFrame) -> DataFrame:

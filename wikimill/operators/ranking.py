@@ -101,6 +101,17 @@ def best_link(links: DataFrame, keys: list[str]) -> DataFrame:
     return first_by(links, keys, order, ["tier", "priority", "dom_order"])
 
 
+# Relations of a link, weakest first.
+RELATION_RANKS = ("related", "core_kpop_document", "member", "subdocument")
+
+
+def relation_rank(relation: Column) -> Column:
+    out = F.lit(1)
+    for n, name in enumerate(RELATION_RANKS, 2):
+        out = F.when(relation == name, n).otherwise(out)
+    return out
+
+
 def best_inbound(edges: DataFrame, key: str) -> DataFrame:
     """Best inbound relation per title: highest rank, then highest priority, then the first seen."""
     return first_by(edges, [key], [-F.col("rank"), -F.col("priority"), F.col("pos")], ["rank", "priority", "pos"])

@@ -34,11 +34,15 @@ def _(t):
     return a.run_rollup(t.pipeline_jobs, t.pipeline_runs)
 
 
-@query("a3_dependency_progress", """
-SELECT run_id, total, least(total, passed) AS ready, greatest(0, total - least(total, passed)) AS waiting FROM (SELECT run_id, count(DISTINCT CASE WHEN is_dependency THEN source_document_id END) AS total,
- count(DISTINCT CASE WHEN is_dependency AND status = 'pass' THEN source_document_id END) AS passed FROM pipeline_jobs GROUP BY 1)""")
+TOTALS = "SELECT id AS run_id, CAST(scope_count * 20 AS BIGINT) AS dependency_total FROM pipeline_runs"
+
+
+@query("a3_dependency_progress", f"""
+WITH c AS (SELECT run_id, count(DISTINCT CASE WHEN is_dependency THEN source_document_id END) AS docs, count(DISTINCT CASE WHEN is_dependency AND stage = 'en_render' AND status = 'pass' THEN source_document_id END) AS rendered FROM pipeline_jobs GROUP BY 1),
+x AS (SELECT run_id, greatest(coalesce(dependency_total, 0), docs) AS total, greatest(coalesce(dependency_total, 0), docs) - docs + rendered AS ready FROM c LEFT JOIN ({TOTALS}) u USING (run_id))
+SELECT run_id, total, least(total, ready) AS ready, greatest(0, total - ready) AS waiting FROM x""")
 def _(t):
-    return a.dependency_progress(t.pipeline_jobs)
+    return a.dependency_progress(t.pipeline_jobs, t.sql(TOTALS))
 
 
 INCLUDES = r"""

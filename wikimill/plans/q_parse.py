@@ -164,6 +164,17 @@ def _(t):
     return d.select("id", "localized", digest("text").alias("digest"))
 
 
+ENGLISH = """SELECT id, source_title, translated_title, source_wikitext || chr(10) || '[include(틀:상세 내용, 문서명=D' || CAST(id AS STRING) || ', 표시명=Detail ' || CAST(id AS STRING) || ')]' AS content_wikitext, content_language FROM wiki_docs"""
+
+
+@query("a14_label_rows", f"""
+SELECT source_title AS target, translated_title AS label, CAST(0 AS INT) AS step FROM wiki_docs WHERE translated_title IS NOT NULL UNION ALL
+SELECT regexp_extract(x, '\\[\\[([^\\[\\]|#]+)', 1), regexp_extract(x, '\\|([^\\[\\]]+)', 1), 1 FROM (SELECT unnest(regexp_extract_all(content_wikitext, '\\[\\[[^\\[\\]|#]+(?:#[^\\]|]*)?\\|[^\\[\\]]+\\]\\]')) AS x FROM ({ENGLISH}) WHERE content_language = 'en') UNION ALL
+SELECT 'D' || CAST(id AS VARCHAR), 'Detail ' || CAST(id AS VARCHAR), 2 FROM ({ENGLISH}) WHERE content_language = 'en' AND content_wikitext IS NOT NULL""")
+def _(t):
+    return p.label_rows(t.sql(ENGLISH)).select("target", "label", F.col("ordinal.step").alias("step"))
+
+
 CALLS = """SELECT doc_id AS id, '[include(틀:국기, 국명=항목 ' || CAST(doc_id AS STRING) || ')] [include(틀:상세 내용, 문서명=G/항목 ' || CAST(doc_id AS STRING) || ')] [include(틀:음반 표시, 음반종류=정규, n집=' || CAST(doc_id % 30 AS STRING) || '집)] [include(틀:국기, 국명=가, 출력=x)]' || chr(10) || text AS src FROM documents"""
 
 

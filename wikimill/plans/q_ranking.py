@@ -37,13 +37,15 @@ def _(t):
     return r.best_link(t.sql(LINK_ROWS), ["from_id", "to_title"])
 
 
-INBOUND = "SELECT to_title, CASE source_area WHEN 'toc' THEN 4 ELSE 2 END + CASE crawl_mode WHEN 'expand' THEN 1 ELSE 0 END AS rank, score AS priority, from_id * 10 + position AS pos FROM doc_links"
+INBOUND = """SELECT to_title, CASE WHEN source_area = 'toc' AND crawl_mode = 'expand' THEN 'subdocument' WHEN source_area = 'toc' THEN 'member' WHEN crawl_mode = 'expand' THEN 'related' ELSE 'agency' END AS relation,
+ score AS priority, from_id * 10 + position AS pos FROM doc_links"""
+RANKED = f"SELECT *, CASE relation WHEN 'subdocument' THEN 5 WHEN 'member' THEN 4 WHEN 'core_kpop_document' THEN 3 WHEN 'related' THEN 2 ELSE 1 END AS rank FROM ({INBOUND})"
 
 
 @query("w4_best_inbound", f"""
-SELECT to_title, rank, priority, pos FROM (SELECT *, row_number() OVER (PARTITION BY to_title ORDER BY rank DESC, priority DESC, pos) AS rn FROM ({INBOUND})) WHERE rn = 1""")
+SELECT to_title, rank, priority, pos FROM (SELECT *, row_number() OVER (PARTITION BY to_title ORDER BY rank DESC, priority DESC, pos) AS rn FROM ({RANKED})) WHERE rn = 1""")
 def _(t):
-    return r.best_inbound(t.sql(INBOUND), "to_title")
+    return r.best_inbound(t.sql(INBOUND).withColumn("rank", r.relation_rank(F.col("relation"))), "to_title")
 
 
 CANON = "SELECT id, title, canonical, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(weight AS INT) AS ts FROM link_titles"

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import work_path
-from ..sources.sinks import upsert
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -45,26 +44,31 @@ def run_to_files(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def run_upserts(df: DataFrame, name: str, keys: list[str], mode: str = "update", order: str | None = None) -> DataFrame:
-    """Keep a snapshot table of the latest row per key; every micro-batch writes the next snapshot.
+    """Keep the latest row per key of a stream; returns the table as it stands when everything is processed.
 
-    A batch that is run again after a failure starts from the snapshot before it, so it gives the same result.
+    A micro-batch only writes its own rows, into a folder of its own, so the cost follows the new rows and not the table.
+    Running a batch again after a failure overwrites the same folder. Readers take the newest row per key; ``complete``
+    results are whole, so there the last folder is the table.
     """
     spark = df.sparkSession
     base, state = work_path(spark, name), work_path(spark, f"{name}-state")
-    columns = [c for c in df.columns if c != order]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        s = batch.sparkSession
-        previous = f"{base}/{epoch - 1}"
-        target = s.read.schema(batch.select(*columns).schema).parquet(previous) if epoch else s.createDataFrame([], batch.select(*columns).schema)
-        merged = batch.select(*columns) if mode == "complete" else upsert(target, batch, keys, order)
-        merged.write.mode("overwrite").parquet(f"{base}/{epoch}")
-        last["epoch"] = epoch
-
-    last: dict[str, int] = {}
+        batch.write.mode("overwrite").parquet(f"{base}/epoch={epoch}")
+
     q = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/{last['epoch']}")
+    log = spark.read.parquet(base)
+    if mode == "complete":
+        last = log.agg(F.max("epoch")).first()[0]
+        return spark.read.parquet(f"{base}/epoch={last}")
+    return latest_rows(log, keys, ["epoch", *([order] if order else [])])
+
+
+def latest_rows(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Newest row per key of a log of changes; also compacts one when written back."""
+    values = [c for c in log.columns if c not in keys and c not in order]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*keys, "_v.*")
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:

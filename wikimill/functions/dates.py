@@ -24,29 +24,33 @@ def iso_date(c: Column | str) -> Column:
     return F.when(c.rlike(KOREAN_DATE), parts(KOREAN_DATE)).when(c.rlike(DOTTED_DATE), parts(DOTTED_DATE))
 
 
-def _macro_date(raw: Column) -> tuple[Column, Column]:
-    """The UTC day of a macro argument and whether month and day are in range (day 30 of February rolls over)."""
-    y, m, d = (F.regexp_extract(raw, r"^(\d{4})-(\d{2})-(\d{2})$", g).cast("int") for g in (1, 2, 3))
-    ok = m.between(1, 12) & d.between(1, 31)
-    return F.when(ok, F.date_add(F.make_date(y, m, F.lit(1)), d - 1)), ok
+def _parts(raw: Column) -> tuple[Column, Column, Column]:
+    """Year, month and day of a ``YYYY-MM-DD`` argument."""
+    return tuple(F.substring(raw, at, n).cast("int") for at, n in ((1, 4), (6, 2), (9, 2)))
+
+
+def _in_range(m: Column, d: Column) -> Column:
+    return m.between(1, 12) & d.between(1, 31)
 
 
 def dday(raw: Column, as_of: Column) -> Column:
-    """Days from the date to today in UTC+9, with ``+`` for today and the past; null for an invalid date."""
-    day, _ = _macro_date(raw)
+    """Days from the date to today in UTC+9, with ``+`` for today and the past; null for an invalid date.
+
+    Day 31 of a shorter month rolls over into the next one.
+    """
+    y, m, d = _parts(raw)
     today = F.to_date(as_of + F.expr("INTERVAL 9 HOURS"))
-    n = F.datediff(today, day)
-    return F.when(n >= 0, F.concat(F.lit("+"), n.cast("string"))).otherwise(n.cast("string"))
+    n = F.when(_in_range(m, d), F.datediff(today, F.date_add(F.make_date(y, m, F.lit(1)), d - 1)))
+    return let(n, lambda v: F.when(v >= 0, F.concat(F.lit("+"), v.cast("string"))).otherwise(v.cast("string")))
 
 
 def age(raw: Column, as_of: Column) -> Column:
     """Full years at today's date in UTC+9, never below zero; null for an invalid date."""
-    _, ok = _macro_date(raw)
-    y, m, d = (F.regexp_extract(raw, r"^(\d{4})-(\d{2})-(\d{2})$", g).cast("int") for g in (1, 2, 3))
+    y, m, d = _parts(raw)
     today = F.to_date(as_of + F.expr("INTERVAL 9 HOURS"))
     before = (F.month(today) < m) | ((F.month(today) == m) & (F.dayofmonth(today) < d))
     years = F.year(today) - y - F.when(before, 1).otherwise(0)
-    return F.when(ok, F.greatest(F.lit(0), years).cast("string"))
+    return F.when(_in_range(m, d), F.greatest(F.lit(0), years).cast("string"))
 
 
 def expand_date_macros(html: Column | str, as_of: Column) -> Column:

@@ -310,6 +310,26 @@ def integration_qa(docs: DataFrame, version: str, patchset: str, prepublish: boo
     return d.withColumn("readiness", F.when(F.size("blockers") == 0, "PASS").otherwise("BLOCKED"))
 
 
+def published_blockers(expected_revision: Column) -> Column:
+    """What is wrong with a document right after publication."""
+    pub = F.coalesce("published_revision_no", F.lit(0))
+    mismatch = F.concat(F.lit("published_revision_mismatch:r"), pub.cast("string"), F.lit("->r"), expected_revision.cast("string"))
+    return blocker_array(
+        F.when(~F.col("content_language").eqNullSafe("en"), "content_language_not_en"),
+        F.when(F.coalesce("content_wikitext", F.lit("")) == "", "missing_content_wikitext"),
+        F.when(F.coalesce("content_html", F.lit("")) == "", "missing_content_render"),
+        F.when(pub != expected_revision, mismatch),
+        F.when(~F.col("published_language").eqNullSafe("en"), "published_language_not_en"),
+        F.when(F.coalesce("published_html", F.lit("")) == "", "missing_published_html"),
+    )
+
+
+def preflight(docs: DataFrame) -> DataFrame:
+    """Blockers of a draft before its root may be released: translation rules and the state of its render."""
+    own = F.filter(translation_blockers(), lambda b: b != "translation_stale_source_hash")
+    return docs.select("id", "root_title", F.concat(own, english_render_blockers()).alias("blockers"))
+
+
 def release_gate(results: DataFrame) -> DataFrame:
     """A root is released only when every one of its documents passes."""
     roots = results.groupBy("root_title").agg(F.count("*").alias("docs"), F.count_if(F.size("blockers") > 0).alias("failing"))

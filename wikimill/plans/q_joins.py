@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import joins as j
-from ..operators.joins import title_key
 from .q_search import PUBLISHED
 from .registry import query
 
@@ -160,4 +159,3 @@ def _(t):
     return j.compare_keys(t.sql(ORIGINAL), t.sql(BASELINE), ["doc", "image_key"])
 
 
-__all__ = ["title_key"]

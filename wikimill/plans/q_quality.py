@@ -168,6 +168,21 @@ def _(t):
     return d.select("id", F.array_join("blockers", ",").alias("blockers"), F.array_join("warnings", ",").alias("warnings"))
 
 
+@query("v7_publish_check", """
+SELECT id, array_to_string(list_filter([CASE WHEN content_language <> 'en' THEN 'content_language_not_en' END, CASE WHEN coalesce(content_wikitext, '') = '' THEN 'missing_content_wikitext' END, CASE WHEN coalesce(content_html, '') = '' THEN 'missing_content_render' END,
+ CASE WHEN published_revision_no <> content_revision_no THEN 'published_revision_mismatch:r' || CAST(published_revision_no AS VARCHAR) || '->r' || CAST(content_revision_no AS VARCHAR) END, CASE WHEN published_language IS DISTINCT FROM 'en' THEN 'published_language_not_en' END,
+ CASE WHEN coalesce(published_html, '') = '' THEN 'missing_published_html' END], lambda x: x IS NOT NULL), ',') AS blockers FROM render_docs""")
+def _(t):
+    return t.render_docs.select("id", F.array_join(v.published_blockers(F.col("content_revision_no")), ",").alias("blockers"))
+
+
+@query("v8_preflight_gate", f"""
+WITH b AS (SELECT id, root_title, len(list_filter({TRA}, lambda x: x <> 'translation_stale_source_hash')) + len({REN}) AS n FROM render_docs)
+SELECT root_title, count(*) AS docs, CAST(count_if(n > 0) AS BIGINT) AS failing, count_if(n > 0) = 0 AS publish FROM b GROUP BY 1""")
+def _(t):
+    return v.release_gate(v.preflight(t.render_docs))
+
+
 GATE = "SELECT o_orderkey AS id, 'R' || CAST(o_custkey % 700 AS STRING) AS root_title, o_orderkey % 15 = 0 AS bad FROM orders"
 
 

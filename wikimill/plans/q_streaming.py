@@ -17,13 +17,13 @@ def seconds(df, column):
 
 
 TRAILING = """
-SELECT id, submitter, CAST((SELECT count(*) FROM edit_proposals b WHERE b.submitter = a.submitter AND b.created_at >= a.created_at - INTERVAL '1' HOUR AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))) AS INT) AS recent FROM edit_proposals a"""
+SELECT *, recent >= 2 AS refused FROM (SELECT id, submitter, CAST((SELECT count(*) FROM edit_proposals b WHERE b.submitter = a.submitter AND b.created_at >= a.created_at - INTERVAL '1' HOUR AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))) AS INT) AS recent FROM edit_proposals a)"""
 
 
 @query("r1_rate_limit", TRAILING)
 def _(t):
     d = r.trailing_counts(t.edit_proposals.select("id", "submitter", "created_at"), "submitter", "created_at")
-    return d.select("id", "submitter", F.col("recent").cast("int").alias("recent"))
+    return r.with_refusal(d.select("id", "submitter", F.col("recent").cast("int").alias("recent")), 2)
 
 
 def proposals(t):
@@ -33,7 +33,7 @@ def proposals(t):
 
 @query("r1_rate_limit_stream", TRAILING)
 def _(t):
-    return r.run_to_files(r.rate_limit_stream(proposals(t)), "r1")
+    return r.with_refusal(r.run_to_files(r.rate_limit_stream(proposals(t)), "r1"), 2)
 
 
 LOCKS = "SELECT id, CASE WHEN id % 3 = 0 THEN 'running' ELSE 'queued' END AS status, runner_id AS locked_by, heartbeat_at AS locked_at FROM pipeline_runs"

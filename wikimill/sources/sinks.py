@@ -42,7 +42,7 @@ def replace_children(spark: SparkSession, path: str, parents: DataFrame, childre
     """Replace all child rows of the given parents in a table stored by key bucket.
 
     Only the buckets that hold a parent are read and rewritten (dynamic partition overwrite). One folder per parent would
-    be millions of folders, so parents share buckets.
+    be millions of folders, so parents share buckets; choose their number so that one bucket is a few gigabytes.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     touched = parents.select(bucket.alias("bucket")).distinct()
@@ -58,7 +58,8 @@ def replace_children(spark: SparkSession, path: str, parents: DataFrame, childre
 
 
 def write_bucketed(df: DataFrame, path: str, overwrite_touched: bool = False) -> None:
-    w = df.repartition("bucket").write.partitionBy("bucket").mode("overwrite")
+    # rebalancing keeps a bucket's rows together but splits a large bucket over several files of the advisory size
+    w = df.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").mode("overwrite")
     w.option("partitionOverwriteMode", "dynamic" if overwrite_touched else "static").parquet(path)
 
 

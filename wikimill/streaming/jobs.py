@@ -103,6 +103,11 @@ def trailing_counts(events: DataFrame, key: str, ts: str, seconds: int = 3600) -
     return counted.where("_own").drop("_t", "_b", "_own")
 
 
+def with_refusal(counts: DataFrame, limit: int = 10) -> DataFrame:
+    """Mark the proposals that come when the limit is reached."""
+    return counts.withColumn("refused", F.col("recent") >= limit)
+
+
 class TrailingCounter(StatefulProcessor):
     """Counts the attempts of a key within the trailing time; keeps only the moments still inside it."""
 

@@ -91,15 +91,17 @@ def _(t):
     return p.markup_cells(t.wiki_docs, "id", "source_wikitext").select("id", "row", "col", "options", "content", "text")
 
 
-INFOBOX = """SELECT id, 'lead' || chr(10) || '||<tablealign=right> 이름 || Name ' || CAST(id AS STRING) || ' ||' || chr(10) || '||<|2> 데뷔일 || [[2024년]] [[' || CAST(1 + id % 12 AS STRING) || '월 7일]] ||' || chr(10) || '|| 2021년 1월 2일 ||' || chr(10)
- || '|| 상징 || {{{#red x}}} ||' || chr(10) || '== Next ==' || chr(10) || '|| other || table ||' || chr(10) || text AS src FROM wiki_docs"""
+INFOBOX = """SELECT id, 'lead' || chr(10) || '||<tablealign=right> 이름 || Name ' || CAST(id AS STRING) || ' ||' || chr(10) || '||<|2> 데뷔일 || [include(틀:국기, 국명=가)] || [[2024년]] [[' || CAST(1 + id % 12 AS STRING) || '월 7일]] ||' || chr(10)
+ || '|| [include(틀:국기, 국명=나)] || 2021년 1월 2일 ||' || chr(10) || '|| 상징 || {{{#red x}}} ||' || chr(10) || '|| 빈칸 || ||' || chr(10) || '|| 긴칸 || {{{#!wiki s' || chr(10) || '|| inner || row ||' || chr(10) || '}}} ||' || chr(10)
+ || '== Next ==' || chr(10) || '|| other || table ||' || chr(10) || text AS src FROM wiki_docs"""
 
 
 @query("x22_infobox_fields", f"""
-SELECT id, '이름' AS label, 'text' AS kind, 'Name ' || CAST(id AS VARCHAR) AS value FROM ({INFOBOX}) UNION ALL SELECT id, '데뷔일', 'date', '2024-' || lpad(CAST(1 + id % 12 AS VARCHAR), 2, '0') || '-07' FROM ({INFOBOX}) UNION ALL
-SELECT id, '데뷔일', 'date', '2021-01-02' FROM ({INFOBOX}) UNION ALL SELECT id, '상징', 'locked', '{{{{{{#red x}}}}}}' FROM ({INFOBOX})""")
+SELECT id, '이름' AS label, 'text' AS kind, 'Name ' || CAST(id AS VARCHAR) AS value, '' AS lock FROM ({INFOBOX}) UNION ALL SELECT id, '데뷔일 · 가', 'date', '2024-' || lpad(CAST(1 + id % 12 AS VARCHAR), 2, '0') || '-07', '' FROM ({INFOBOX}) UNION ALL
+SELECT id, '데뷔일 · 나', 'date', '2021-01-02', '' FROM ({INFOBOX}) UNION ALL SELECT id, '상징', 'locked', '{{{{{{#red x}}}}}}', 'Styled wiki block' FROM ({INFOBOX}) UNION ALL
+SELECT id, '빈칸', 'locked', '', 'Empty value' FROM ({INFOBOX}) UNION ALL SELECT id, '긴칸', 'locked', '긴칸', 'Multi-line or nested structured field' FROM ({INFOBOX})""")
 def _(t):
-    return p.infobox_fields(t.sql(INFOBOX), "id", "src").drop("row")
+    return p.infobox_fields(t.sql(INFOBOX), "id", "src").drop("line")
 
 
 @query("x23_editable_blocks")

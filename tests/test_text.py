@@ -179,8 +179,8 @@ def test_markup_blocks_and_losslessness(spark):
         got = [(r["type"], r["raw"]) for r in rows if r["id"] == n]
         assert "".join(r for _, r in got) == text
         assert got == py_blocks(text)
-    broken = p.markup_blocks(df, "id", "src").where("NOT (id = 3 AND pos = 0)").select("id", "pos", "raw")
-    assert [r["id"] for r in q.lossy_splits(broken, df.withColumnRenamed("src", "source"), "id").collect()] == [3]
+    parts = F.filter(p.block_texts("src"), lambda x, i: (F.col("id") != 3) | (i != 0))
+    assert [r["id"] for r in q.lossy_splits(p.blocked(df, "id", "src"), "id", "src", parts).collect()] == [3]
 
 
 def py_editable(text):
@@ -269,3 +269,93 @@ def test_snippet(spark):
     df = frame(spark, ["== Overview ==\n{{{#!wiki\nhidden sentence that is long enough to be shown, but inside.\n}}}\nshort.\n" + long + "\n== Next ==\nother"])
     got = s.with_snippet(df, "src").collect()[0]["snippet"]
     assert got.startswith("This sentence") and got.endswith("…") and len(got) <= 218
+
+
+def depth_of(text, mark, links):
+    """Plain split by a character loop."""
+    parts, cur, paren, square, curly, quoted, i = [], "", 0, 0, 0, False, 0
+    while i < len(text):
+        step = 1
+        if quoted:
+            quoted = not (text[i] == '"' and text[i - 1] != "\\")
+        elif links and text[i] == '"':
+            quoted = True
+        elif links and text.startswith(("{{{", "}}}"), i):
+            curly, step = max(0, curly + (1 if text[i] == "{" else -1)), 3
+        elif links and text.startswith(("[[", "]]"), i):
+            square, step = max(0, square + (1 if text[i] == "[" else -1)), 2
+        elif text[i] in "()" and not (square or curly):
+            paren = max(0, paren + (1 if text[i] == "(" else -1))
+        elif text[i] == mark and not (paren or square or curly):
+            parts, cur, i = [*parts, cur], "", i + 1
+            continue
+        cur += text[i:i + step]
+        i += step
+    return [*parts, cur]
+
+
+def test_splits_at_any_depth(spark):
+    rnd = random.Random(21)
+    texts = ["".join(rnd.choice(["(", ")", "[[", "]]", "{{{", "}}}", ",", "|", "=", "a", '"', "b c"]) for _ in range(rnd.randint(0, 25))) for _ in range(300)]
+    texts += ["f(a(b(c(d,e),g),h),i), z=1", "plain, text", ""]
+    df = frame(spark, texts)
+    for mark in ",|":
+        assert column(df, m.split_top(F.col("src"), mark)) == [depth_of(t, mark, True) for t in texts]
+    assert column(df, m.top_level_parts(F.col("src"))) == [depth_of(t, ",", False) for t in texts]
+    halves = [[(p := depth_of(t, "=", True))[0], t[len(p[0]) + 1:]] if len(p := depth_of(t, "=", True)) > 1 else [t] for t in texts]
+    assert column(df, m.split_once(F.col("src"))) == halves
+    df = frame(spark, ["[include(T, k=f(a(b(c,d),e),g), z=1)]"])
+    rows = x.template_calls(df, "id", "src").orderBy("param").collect()
+    assert [(r["name"], r["value"]) for r in rows] == [("k", "f(a(b(c,d),e),g)"), ("z", "1")]
+
+
+def test_conditions_and_media_at_any_depth(spark):
+    text = "{{{#!if a == null\n" * 5 + "x {{{b}}} y" + "}}}" * 5
+    rows = x.conditional_calls(frame(spark, [text]), "id", "src").orderBy("pos").collect()
+    assert len(rows) == 5 and rows[-1]["body"] == "x {{{b}}} y" and all(r["value"] for r in rows)
+    assert rows[0]["body"].startswith("{{{#!if a == null") and rows[0]["body"].endswith("}}}")
+    media = "[[File:a.png|x [[b|[[c]] d]] [[e]]|w=1]] [youtube(abc, [z [y]])] [[File:open"
+    got = x.media_calls(frame(spark, [media]), "id", "src").orderBy("pos").collect()
+    assert [(r["kind"], r["target"], r["options"]) for r in got] == [("file", "File:a.png", "x [[b|[[c]] d]] [[e]]|w=1"), ("youtube", "abc", "[z [y]]")]
+
+
+def test_nested_tables_and_lists(spark):
+    inner = "deep"
+    for level in range(6):
+        inner = f"<table><tr><td>L{level}</td><td>{inner}</td></tr></table>"
+    lists = "<ul><li>a" * 6 + "</li></ul>" * 6
+    page = f"<article><p>one</p>{inner}{lists}<ol><li>b</li></ol><ul><li>open <p>two</p></article>"
+    blocks = p.page_blocks(p.page_sections(spark.createDataFrame([(1, page)], "id int, html string"), "id", "html"), "id").orderBy("pos")
+    got = [(r["type"], r["raw"]) for r in blocks.collect()]
+    assert got == [("paragraph", "<p>one"), ("table", inner), ("list", lists), ("list", "<ol><li>b</li></ol>"), ("paragraph", "<p>two")]
+    cells = p.table_cells(blocks, ["id", "pos"]).orderBy("row", "col").collect()
+    assert [(c["row"], c["col"], c["text"][:2]) for c in cells] == [(0, 0, "L5"), (0, 1, "L4")]
+
+
+def test_spans_and_cuts_are_those_of_the_text(spark):
+    rnd = random.Random(22)
+    texts = ["".join(rnd.choice(["ab", "é", "x", "😀", "\n"]) for _ in range(n)) for n in (0, 1, 5, 600, 3000)]
+    from wikimill.functions import html as h
+
+    df = frame(spark, texts)
+    spans = column(df, h.match_spans(F.col("src"), "x+"))
+    assert [[(s["start"], s["raw"]) for s in row] for row in spans] == [[(hit.start() + 1, hit.group()) for hit in re.finditer("x+", t)] for t in texts]
+    for start, n in ((1, 3), (1, 0), (500, 40), (513, 512), (1000, 2000)):
+        assert column(df, h.cut(h.chunks(F.col("src")), F.lit(start), F.lit(n))) == [t[start - 1:start - 1 + n] for t in texts]
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        body = "".join(f"[[Page {i}|label {i}]] text 가나 {{{{{{x}}}}}}\n" for i in range(n))
+        df = spark.createDataFrame([(1, "T", body)], "id int, title string, src string")
+        begin = time.time()
+        assert x.page_links(df, "id", "title", "src").count() == n
+        assert q.syntax_leaks(df, "id", "src").count() >= 0
+        assert len(df.select(q.untranslated_text("src").alias("t")).first()["t"]) > 0
+        return time.time() - begin
+
+    seconds(100)
+    small, large = seconds(1500), seconds(6000)
+    assert large < 6 * small + 2

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .html import woven
 from .keys import as_col, let
 
 KOREAN_DATE = r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"
@@ -58,13 +59,10 @@ def expand_date_macros(html: Column | str, as_of: Column) -> Column:
 
     def replace(text: Column, name: str, value: Callable[[Column, Column], Column]) -> Column:
         pattern = rf"(?i)(?:\[|&#91;){name}\((\d{{4}}-\d{{2}}-\d{{2}})\)(?:\]|&#93;)"
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        args = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
-        def piece(p: Column, i: Column) -> Column:
-            return F.concat(p, F.coalesce(value(F.get(args, i), as_of), F.get(found, i), F.lit("")))
+        def piece(z: Column) -> Column:
+            return F.concat(z["piece"], F.coalesce(value(z["g1"], as_of), z["raw"], F.lit("")))
 
-        # pieces and macros alternate, so one pass rebuilds the text
-        return F.array_join(F.transform(F.split(text, pattern, -1), piece), "")
+        return F.array_join(F.transform(woven(text, pattern, 1), piece), "")
 
     return let(replace(as_col(html), "dday", dday), lambda t: replace(t, "age", age))

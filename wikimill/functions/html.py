@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import running_sums
 from .keys import FILE_PREFIX, as_col, let, nfkc, strip
 from .urls import SITE, Site, host, is_non_payload, percent_decode
 
@@ -23,15 +24,37 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """Start (1-based) and text of every match of a pattern, in one pass over the pieces between matches."""
-    found, pieces = all_matches(text, pattern), F.split(text, pattern, -1)
-    gaps = F.transform(found, lambda x, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), x.alias("raw")))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["raw"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["raw"].alias("raw")))).alias("out"),
-    )
-    return F.aggregate(gaps, start, step, lambda acc: acc["out"])
+    """Start (1-based) and text of every match of a pattern, from the lengths of the matches and the pieces between them."""
+
+    def placed(parts: Column) -> Column:
+        ends = running_sums(F.transform(parts, lambda z: F.length(z["piece"]) + F.coalesce(F.length(z["raw"]), F.lit(0))))
+        spans = lambda e: F.transform(parts, lambda z, i: F.struct((F.get(e, i) - F.length(z["raw"]) + 1).alias("start"), z["raw"].alias("raw")))
+        return F.filter(let(ends, spans), lambda s: s["raw"].isNotNull())
+
+    return let(woven(text, pattern), placed)
+
+
+def woven(text: Column, pattern: str, *groups: int) -> Column:
+    """A text cut at the matches of a pattern: structs of the ``piece`` before a match, the match (``raw``) and its groups
+    (``g1``, …). The last one has the rest of the text and no match."""
+    columns = [F.split(text, pattern, -1).alias("piece"), all_matches(text, pattern).alias("raw")]
+    return F.arrays_zip(*columns, *[all_matches(text, pattern, g).alias(f"g{g}") for g in groups])
+
+
+CHUNK = 512
+
+
+def chunks(text: Column) -> Column:
+    """A text in pieces of ``CHUNK`` characters, for ``cut``."""
+    return all_matches(text, rf"(?s).{{1,{CHUNK}}}")
+
+
+def cut(pieces: Column, start: Column, length: Column) -> Column:
+    """``substring(text, start, length)`` from the text's ``chunks``, which does not read the text from its beginning."""
+    first = F.floor((start - 1) / CHUNK).cast("int")
+    last = F.floor((start + length - 2) / CHUNK).cast("int")
+    part = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(length > 0, F.substring(part, (start - first * CHUNK).cast("int"), length.cast("int"))).otherwise("")
 
 
 def decode_basic(c: Column) -> Column:
@@ -43,7 +66,6 @@ def decode_basic(c: Column) -> Column:
 def _numeric_entities(c: Column) -> Column:
     """Decode numeric entities piece by piece (no per-row Python)."""
     pattern = r"(?i)&#x[0-9a-f]+;|&#[0-9]+;"
-    found, pieces = all_matches(c, pattern), F.split(c, pattern, -1)
 
     def char(e: Column) -> Column:
         is_hex = F.lower(e).startswith("&#x")
@@ -53,7 +75,7 @@ def _numeric_entities(c: Column) -> Column:
         # UTF-32 bytes of the code point
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
-    rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(char(F.get(found, i)), F.lit("")))), "")
+    rebuilt = F.array_join(F.transform(woven(c, pattern), lambda z: F.concat(z["piece"], F.coalesce(char(z["raw"]), F.lit("")))), "")
     return F.when(c.rlike(pattern), rebuilt).otherwise(c)
 
 

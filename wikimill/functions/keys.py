@@ -48,17 +48,18 @@ def title_key(c: Column | str) -> Column:
     return strip(nfkc(c))
 
 
-def _clean_spaces(c: Column) -> Column:
+def clean_spaces(c: Column) -> Column:
+    """No-break spaces become spaces, characters without width go."""
     c = F.regexp_replace(c, "\u00a0", " ")
     return F.regexp_replace(c, "[\u200b-\u200d\u2060\ufeff]", "")
 
 
 def title_key_strict(c: Column | str) -> Column:
-    return strip(F.regexp_replace(_clean_spaces(nfkc(c)), r"[ \t]+", " "))
+    return strip(F.regexp_replace(clean_spaces(nfkc(c)), r"[ \t]+", " "))
 
 
 def asset_name(c: Column | str) -> Column:
-    c = F.regexp_replace(strip(_clean_spaces(nfkc(c))), FILE_PREFIX, "")
+    c = F.regexp_replace(strip(clean_spaces(nfkc(c))), FILE_PREFIX, "")
     return F.regexp_replace(c, r"[ \t]+", " ")
 
 
@@ -155,7 +156,8 @@ def anchor_slug(c: Column | str, fallback: Column) -> Column:
 
 
 def path_part(c: Column | str) -> Column:
-    """ASCII-safe path part of at most 80 characters; ``asset`` when nothing is left."""
+    """ASCII-safe path part; ``asset`` when nothing is left. Beyond 80 characters the rest is told apart by a digest."""
     base = F.regexp_replace(F.lower(nfkd(c)), r"[^a-z0-9._-]+", "-")
-    base = F.substring(F.regexp_replace(base, r"^-+|-+$", ""), 1, 80)
-    return F.when(base != "", base).otherwise("asset")
+    base = F.regexp_replace(base, r"^-+|-+$", "")
+    short = F.concat(F.substring(base, 1, 80), F.lit("-"), F.substring(F.sha2(base, 256), 1, 16))
+    return F.when(base == "", "asset").when(F.length(base) > 80, short).otherwise(base)

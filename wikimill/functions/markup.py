@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html import all_matches
+from .arrays import first_per
+from .html import all_matches, woven
 from .keys import as_col, strip
 
 COMMENT_LINE = r"^\s*##"
@@ -43,6 +47,7 @@ def article_links(source: Column) -> Column:
     return F.filter(targets, lambda t: (t != "") & ~t.rlike(CATEGORY_OR_FILE))
 
 
+# What is counted in a source.
 SOURCE_FEATURES = {
     "table_lines": r"(?:^|\n)[^\n]*\|\|",
     "folding": r"#!folding\b",
@@ -72,29 +77,27 @@ def simple_includes(source: Column | str) -> Column:
     return F.filter(F.transform(all_matches(as_col(source), r"(?i)\[include\(\s*([^,\)\n]+)", 1), strip), lambda x: x != "")
 
 
+INCLUDE_TOKEN = re.compile(r"\[include\(|[()]", re.I)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _scan_includes(values: pd.Series) -> pd.Series:
     """Text and call bodies in turn, for the few texts whose nesting is too deep for the pattern."""
 
     def pieces(text: str) -> list[str]:
-        out, lower, at = [], text.lower(), 0
-        while (start := lower.find("[include(", at)) >= 0:
-            depth, end = 0, -1
-            for i in range(start + 9, len(text)):
-                ch = text[i]
-                if ch == "(":
-                    depth += 1
-                elif ch == ")":
-                    if depth:
-                        depth -= 1
-                    elif text[i + 1 : i + 2] == "]":
-                        end = i
-                        break
-            if end < 0:
-                break
-            out += [text[at:start], text[start + 9 : end]]
-            at = end + 2
-        return [*out, text[at:]]
+        cuts, begin, depth = [0], None, 0
+        for token in INCLUDE_TOKEN.finditer(text):
+            mark = token.group()
+            if begin is None:
+                begin, depth = (token.span(), 0) if len(mark) > 1 else (None, 0)
+            elif mark != ")":
+                depth += 1
+            elif depth:
+                depth -= 1
+            elif text.startswith("]", token.end()):
+                cuts += [*begin, token.start(), token.end() + 1]
+                begin = None
+        return [text[i:j] for i, j in zip(cuts[::2], [*cuts[1::2], None], strict=True)]
 
     return values.map(pieces, na_action="ignore")
 
@@ -108,7 +111,7 @@ def include_pieces(source: Column | str) -> Column:
     raw = as_col(source)
     found = all_matches(raw, BALANCED_INCLUDE, 1)
     exact = F.size(found) == count(raw, INCLUDE_OPEN)
-    zipped = F.flatten(F.transform(F.split(raw, BALANCED_INCLUDE, -1), lambda p, i: F.filter(F.array(p, F.get(found, i)), lambda x: x.isNotNull())))
+    zipped = F.flatten(F.transform(woven(raw, BALANCED_INCLUDE, 1), lambda z: F.filter(F.array(z["piece"], z["g1"]), lambda x: x.isNotNull())))
     return F.when(exact, zipped).otherwise(_scan_includes(F.when(~exact, raw)))
 
 
@@ -117,9 +120,67 @@ def include_bodies(source: Column | str) -> Column:
     return F.filter(include_pieces(unix_lines(source)), lambda x, i: i % 2 == 1)
 
 
+SCOPE_TOKEN = re.compile(r"""\[\[|\]\]|\{\{\{|\}\}\}|[(),|="]""")
+
+
+def split_scopes(text: str, mark: str, links: bool) -> list[str]:
+    """Split at ``mark`` outside parentheses; with ``links`` also outside links, braces and double quotes.
+
+    Scopes nest without bound. Parentheses inside links and braces are text, and so is a closer of a scope that is not open.
+    """
+    parts, begin, paren, square, curly, quoted = [], 0, 0, 0, 0, False
+    for token in SCOPE_TOKEN.finditer(text):
+        t, at = token.group(), token.start()
+        if quoted or (t == '"' and links):
+            quoted = not quoted or t != '"' or text[at - 1] == "\\"
+        elif links and t in ("[[", "]]"):
+            square = max(0, square + (1 if t == "[[" else -1))
+        elif links and len(t) == 3:
+            curly = max(0, curly + (1 if t == "{{{" else -1))
+        elif t in "()":
+            if not square and not curly:
+                paren = max(0, paren + (1 if t == "(" else -1))
+        elif t == mark and not (paren or square or curly):
+            parts.append(text[begin:at])
+            begin = token.end()
+    return [*parts, text[begin:]]
+
+
+def _splitter(mark: str, links: bool):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(values: pd.Series) -> pd.Series:
+        return values.map(lambda text: split_scopes(text, mark, links), na_action="ignore")
+
+    return split
+
+
+_SPLIT = {(mark, links): _splitter(mark, links) for mark in ",|" for links in (False, True)}
+
+
+def split_top(body: Column, mark: str, links: bool = True) -> Column:
+    """``split_scopes`` of a column. A text without an opener is split in the JVM, only the others reach Python."""
+    opened = body.rlike(r"""[("]|\[\[|\{\{\{""")
+    return F.when(opened, _SPLIT[mark, links](F.when(opened, body))).otherwise(F.split(body, re.escape(mark), -1))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split_once(values: pd.Series) -> pd.Series:
+    def halves(text: str) -> list[str]:
+        first = split_scopes(text, "=", True)[0]
+        return [first, text[len(first) + 1:]] if len(first) < len(text) else [text]
+
+    return values.map(halves, na_action="ignore")
+
+
+def split_once(part: Column) -> Column:
+    """A parameter cut at its first equals sign outside all scopes: name and value, or the value alone."""
+    opened = part.rlike(r"""^[^=]*(?:[("]|\[\[|\{\{\{)""") & F.contains(part, F.lit("="))
+    return F.when(opened, _split_once(F.when(opened, part))).otherwise(F.split(part, "=", 2))
+
+
 def top_level_parts(body: Column) -> Column:
-    """Split a call at the commas outside parentheses."""
-    return all_matches(body, r"(?:^|,)((?:[^,()]++|\((?:[^()]++|\([^()]*+\))*+(?:\)|$)|\))*+)", 1)
+    """Split a call at the commas outside parentheses, however deep they nest."""
+    return split_top(body, ",", links=False)
 
 
 def include_target(body: Column) -> Column:
@@ -157,21 +218,34 @@ def final_depth(source: Column, opener: str, closer: str) -> Column:
 NESTED = r"(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+"
 
 
+# How a block reads, rule after rule (pattern, what takes its place).
+PLAIN_RULES = (
+    (r"(?i)\[br\]", "\n"),
+    (r"\[\*\s*\]", ""),
+    (r"\[\*\s*(" + NESTED + r")\]", " (Note: $1\u0001"),
+    (r"\s*\u0001", ")"),
+    (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"),
+    (r"\[\[([^\]]+)\]\]", "$1"),
+    (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"),
+    (r"\[https?://[^\]]+\]", ""),
+    ("'''", ""),
+    ("''", ""),
+    (r"\^\^", ""),
+    ("~~", ""),
+    (r"(?m)^\s*\*\s?", "• "),
+    (r"[ \t]+\n", "\n"),
+    (r"\n{3,}", "\n\n"),
+)
+
+
+def rewritten(c: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """A text after a table of replacement rules, applied in their order, without blanks at its ends."""
+    return strip(reduce(lambda text, rule: F.regexp_replace(text, *rule), rules, c))
+
+
 def plain_text(c: Column | str) -> Column:
     """Readable text of a block: links become labels, notes are spelled out, emphasis is dropped."""
-    t = F.regexp_replace(as_col(c), r"(?i)\[br\]", "\n")
-    t = F.regexp_replace(t, r"\[\*\s*\]", "")
-    t = F.regexp_replace(t, r"\[\*\s*(" + NESTED + r")\]", " (Note: $1\u0001")
-    t = F.regexp_replace(t, r"\s*\u0001", ")")
-    t = F.regexp_replace(t, r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2")
-    t = F.regexp_replace(t, r"\[\[([^\]]+)\]\]", "$1")
-    t = F.regexp_replace(t, r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1")
-    t = F.regexp_replace(t, r"\[https?://[^\]]+\]", "")
-    for mark in ("'''", "''", r"\^\^", "~~"):
-        t = F.regexp_replace(t, mark, "")
-    t = F.regexp_replace(t, r"(?m)^\s*\*\s?", "• ")
-    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
-    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return rewritten(as_col(c), PLAIN_RULES)
 
 
 def prose_text(c: Column) -> Column:
@@ -198,12 +272,6 @@ def resolve_link(target: Column, current: Column) -> Column:
     return F.when(t.rlike(r"(?i)^(?:https?:|ftp:|mailto:|tel:)") | full.rlike(skip), "").otherwise(full)
 
 
-def first_per(items: Column, field: str) -> Column:
-    """Keep the first struct per value of ``field`` inside an array."""
-    values = F.transform(items, lambda x: x[field])
-    return F.filter(items, lambda x, i: F.array_position(values, x[field]) == i + 1)
-
-
 def page_links(source: Column | str, current: Column) -> Column:
     """Distinct link targets of a page with the text shown for them, in order. ``current`` is the page's title key."""
     inside = all_matches(active_source(source), r"\[\[([^\[\]]+?)\]\]", 1)
@@ -211,9 +279,7 @@ def page_links(source: Column | str, current: Column) -> Column:
         inside,
         lambda x: F.struct(
             resolve_link(F.regexp_extract(x, r"(?s)^([^|]*)", 1), current).alias("title"),
-            F.substring(
-                strip(F.regexp_replace(F.regexp_replace(x, r"(?s)^[^|]*\|", ""), r"\s+", " ")), 1, 240
-            ).alias("text"),
+            strip(F.regexp_replace(F.regexp_replace(x, r"(?s)^[^|]*\|", ""), r"\s+", " ")).alias("text"),
         ),
     )
     return first_per(F.filter(items, lambda x: x["title"] != ""), "title")

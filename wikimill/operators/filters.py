@@ -121,8 +121,11 @@ def html_blocks(pages: DataFrame, key: str, html: str, tag: str = "ul|ol|table|d
     return rows_of(pages, [key], found, "block", "pos")
 
 
-def is_injected_ad(block: Column | str, own_domains: tuple[str, ...] = ("wiki.example", "youtube.com")) -> Column:
-    """Paid block by its words and links; the geometry of the rendered page is not known here."""
+def is_injected_ad(block: Column | str, own_domains: tuple[str, ...] = ("wiki.example", "youtube.com"), longest: int | None = None) -> Column:
+    """Paid block by its words and links; the geometry of the rendered page is not known here.
+
+    ``longest``: characters above which a block is taken for content; by default there is no such limit.
+    """
     b = as_col(block)
     text = strip(F.regexp_replace(html_to_text(b), r"\s+", " "))
     names = F.transform(all_matches(text, DOMAIN), lambda d: F.regexp_replace(F.lower(d), r"^www\.", ""))
@@ -131,7 +134,7 @@ def is_injected_ad(block: Column | str, own_domains: tuple[str, ...] = ("wiki.ex
     anchors, tables = count(b, r"(?i)<a\b"), count(b, r"(?i)<table\b")
     headings = count(b, r"(?i)<h[1-6]\b")
     explicit = text.rlike(AD_WORDS) | b.rlike(r"""(?i)^<[^>]*aria-label=["'][^"']*(?:파워링크|광고등록|sponsored|advertisement|adchoices)""")
-    body = (text != "") & (F.length(text) <= 9000)
+    body = (text != "") & (F.length(text) <= longest if longest is not None else F.lit(True))
     return body & ((explicit & (anchors >= 2)) | ((domains >= 2) & (anchors >= 6) & (tables >= 2) & (headings == 0)))
 
 

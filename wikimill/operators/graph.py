@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import internal_links
-from ..functions.arrays import rows_of
+from ..functions.html import internal_links, woven
+from ..functions.arrays import rest, rows_of
 from ..functions.keys import document_key, strip, template_title, title_key
 from ..functions.markup import include_bodies, include_pieces, include_target, simple_includes, top_level_parts
 from ..functions.urls import SITE, Site
@@ -133,7 +133,9 @@ def core_scope(docs: DataFrame, relations: DataFrame) -> DataFrame:
     ``relations(root_title, title, label, reason, score, pos)`` as found on the root page.
     """
     d = docs.withColumn("title", title_key("source_title")).where(~F.col("title").rlike("(?i)^(?:틀|Template):"))
-    d = first_by(d, ["root_title", "title"], [F.col("id")], ["source_wikitext", "crawl_depth"])
+    # the texts are judged first, so that only a flag is shuffled
+    d = d.select("root_title", "title", "id", "crawl_depth", (profile_score("source_wikitext") >= 2).alias("is_profile"))
+    d = first_by(d, ["root_title", "title"], [F.col("id")], ["is_profile", "crawl_depth"])
     root = F.col("root_title")
     suffix = F.when(
         F.startswith(F.col("title"), F.concat(root, F.lit("/"))), F.substring("title", F.length(root) + 2, F.length("title"))
@@ -143,7 +145,7 @@ def core_scope(docs: DataFrame, relations: DataFrame) -> DataFrame:
     rel = relations.withColumn("title", title_key("title")).join(d.drop("crawl_depth"), ["root_title", "title"])
     reason, label = F.col("reason"), F.col("label")
     fandom = (reason == "root-activity-row") & (label.contains("팬덤") | F.col("title").contains("팬덤"))
-    member = (reason == "root-qualified-title") & (profile_score("source_wikitext") >= 2)
+    member = (reason == "root-qualified-title") & F.col("is_profile")
 
     def by_rule(sub, row, fan, qualified) -> Column:
         return (
@@ -180,23 +182,19 @@ def _substitute(text: Column, params: Column) -> Column:
     """Replace ``@key=default@`` and then ``@key@`` by the last value given for the key."""
 
     def replace(t: Column, pattern: str, default_group: int | None) -> Column:
-        keys = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
-        defaults = F.regexp_extract_all(t, F.lit(pattern), F.lit(default_group)) if default_group else None
+        def piece(z: Column) -> Column:
+            given = F.get(F.filter(params, lambda x: x["key"] == z["g1"]), F.lit(0))["value"]
+            return F.concat(z["piece"], F.coalesce(given, z["g2"] if default_group else F.lit(None).cast("string"), F.lit("")))
 
-        def piece(p: Column, i: Column) -> Column:
-            given = F.get(F.filter(params, lambda x: x["key"] == F.get(keys, i)), F.lit(0))["value"]
-            default = F.get(defaults, i) if defaults is not None else F.lit(None).cast("string")
-            return F.concat(p, F.coalesce(given, default, F.lit("")))
-
-        return F.when(t.rlike(pattern), F.array_join(F.transform(F.split(t, pattern, -1), piece), "")).otherwise(t)
+        return F.when(t.rlike(pattern), F.array_join(F.transform(woven(t, pattern, *([1, 2] if default_group else [1])), piece), "")).otherwise(t)
 
     return replace(replace(text, PARAM_WITH_DEFAULT, 2), PARAM, None)
 
 
-def _is_skipped_template(name: Column) -> Column:
+def _is_skipped_template(name: Column, longest: int | None = None) -> Column:
     # Templates that describe the wiki itself and are left out of an expansion.
     listed = r"(?i)^틀:(?:접근 제한|설명문서|문서 가져옴|토론 관련 틀|토론 합의(?:/설명문서)?|다른 뜻|분류 설명|분류 참고|한시적 넘겨주기|상위 문서|하위 문서|관련 문서)$"
-    odd = name.rlike(r"[\n\r{}]") | (F.length(name) > 120) | name.rlike(r"/설명문서(?:/.*)?$")
+    odd = name.rlike(r"[\n\r{}]") | (F.length(name) > longest if longest is not None else F.lit(False)) | name.rlike(r"/설명문서(?:/.*)?$")
     return name.rlike("^틀:") & (odd | name.rlike(listed))
 
 
@@ -217,7 +215,7 @@ def expand_includes(docs: DataFrame, templates: DataFrame, max_depth: int = 8) -
         parts = parts.withColumn("ord", F.concat("ord", F.array("i")))
         calls = parts.where("i % 2 = 1").withColumn("_args", F.transform(top_level_parts(F.col("piece")), strip))
         calls = calls.withColumn("name", title_key(F.coalesce(F.get("_args", F.lit(0)), F.lit(""))))
-        named = F.filter(F.slice("_args", 2, 1000000), lambda x: x.contains("="))
+        named = F.filter(rest(F.col("_args")), lambda x: x.contains("="))
         pairs = F.transform(
             named,
             lambda x: F.struct(strip(F.regexp_extract(x, r"(?s)^([^=]*)=", 1)).alias("key"), strip(F.regexp_replace(x, r"(?s)^[^=]*=", "")).alias("value")),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.html import all_matches, match_spans, visible_html, visible_text
+from ..functions.html import all_matches, chunks, cut, match_spans, visible_html, visible_text
 from ..functions.arrays import rows_of
-from ..functions.keys import as_col, let, strip, title_key
+from ..functions.keys import as_col, clean_spaces, let, nfkc, strip, title_key
 from ..functions.markup import count
 
 HANGUL = "[가-힣]"
@@ -77,24 +77,21 @@ def structure_errors(before: Column | str, after: Column | str) -> Column:
     return blocker_array(*rules)
 
 
-def lossy_splits(parts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """Documents whose parts do not add up to their source. ``parts(key, pos, raw)``; one document is one group."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "")
-    # only digests of the sources meet the digests of the rebuilt texts
-    rebuilt = parts.groupBy(key).agg(F.sha2(joined, 256).alias("_rebuilt"))
-    whole = docs.select(key, F.sha2("source", 256).alias("_source"))
-    return whole.join(rebuilt, key, "left").where(~F.coalesce("_rebuilt", F.sha2(F.lit(""), 256)).eqNullSafe(F.col("_source"))).select(key)
+def lossy_splits(docs: DataFrame, key: str, source: str, parts: Column) -> DataFrame:
+    """Documents whose parts (an array of texts) do not add up to their source. Compared inside the row."""
+    return docs.where(~F.array_join(parts, "").eqNullSafe(F.col(source))).select(key)
 
 
 # --- V4, V5 ---------------------------------------------------------------------------------------------------------
 
+# Visible markup, and what keeps a page from its release.
 LEAK_PATTERNS = {
     "directive": r"(?i)#!(?:wiki|if|folding)\b",
     "include": r"(?i)\[include\(",
     "file-link": r"(?i)\[\[(?:파일|File):",
     "youtube-macro": r"(?i)\[youtube\(",
-    "table-param": r"(?i)<(?:table)?(?:align|width|height|bordercolor|bgcolor|color|class)\s*=\s*[^>]{0,180}>",
-    "cell-param": r"(?i)<(?:col|row)?(?:bgcolor|color|class|keepall|nopad|width|height)\b[^>]{0,180}>",
+    "table-param": r"(?i)<(?:table)?(?:align|width|height|bordercolor|bgcolor|color|class)\s*=\s*[^>]*>",
+    "cell-param": r"(?i)<(?:col|row)?(?:bgcolor|color|class|keepall|nopad|width|height)\b[^>]*>",
     "bare-color-param": r"(?i)<\s*#[0-9a-f]{3,8}\s*(?:,\s*#[0-9a-f]{3,8}\s*)?>",
     "table-span-param": r"<(?:-\d+|(?:\^|v)?\|\d+|[:()])>",
 }
@@ -102,27 +99,30 @@ GATE_PATTERNS = {
     "raw-link": r"\[\[[^\]]+\]\]",
     "include": r"(?i)\[include\s*\(",
     "wiki-directive": r"(?i)\{\{\{#!(?:wiki|folding|if)",
-    "raw-table": r"(?m)(?:^|[>\n])\|\|[^<\n]{1,300}\|\|",
+    "raw-table": r"(?m)(?:^|[>\n])\|\|[^<\n]+\|\|",
 }
 
 
 def passages(text: Column, spans: Column, before: int, after: int) -> Column:
     """Distinct passages around matches of a text, blanks tidied."""
 
-    def cut(x: Column) -> Column:
-        lo = F.greatest(F.lit(1), x["start"] - before)
-        return strip(F.regexp_replace(F.substring(text, lo, x["start"] - lo + F.length(x["raw"]) + after), r"\s+", " "))
+    def around(pieces: Column) -> Column:
+        def one(x: Column) -> Column:
+            lo = F.greatest(F.lit(1), x["start"] - before)
+            return strip(F.regexp_replace(cut(pieces, lo, x["start"] - lo + F.length(x["raw"]) + after), r"\s+", " "))
 
-    return F.array_distinct(F.transform(spans, cut))
+        return F.array_distinct(F.transform(spans, one))
+
+    return let(chunks(text), around)
 
 
 def syntax_leaks(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Visible markup per page and kind, with its number and the first five passages."""
+    """Visible markup per page and kind, with its number and its passages."""
     d = pages.select(key, visible_text(html).alias("_t"))
     t = F.col("_t")
 
     def leak(kind: str, pattern: str) -> Column:
-        about = lambda s: F.struct(F.lit(kind).alias("kind"), F.size(s).alias("n"), passages(t, F.slice(s, 1, 5), 45, 75).alias("samples"))
+        about = lambda s: F.struct(F.lit(kind).alias("kind"), F.size(s).alias("n"), passages(t, s, 45, 75).alias("samples"))
         return F.when(t.rlike(pattern), let(match_spans(t, pattern), about))
 
     found = F.array_compact(F.array(*[leak(kind, p) for kind, p in LEAK_PATTERNS.items()]))
@@ -150,7 +150,7 @@ def untranslated_links(html: Column | str) -> Column:
 def untranslated_text(html: Column | str) -> Column:
     """Distinct passages around Hangul in the visible text, up to 56 characters on both sides."""
     bare = F.regexp_replace(as_col(html), r"(?i)<(picture|svg|video|audio|canvas)\b[\s\S]*?</\1\s*>", "")
-    tidy = F.regexp_replace(visible_text(bare), r"[ \t]+", " ")
+    tidy = F.regexp_replace(clean_spaces(nfkc(visible_text(bare))), r"[ \t]+", " ")
     found = let(tidy, lambda t: passages(t, match_spans(t, "[가-힣]+"), 56, 56))
     return F.when(as_col(html).rlike(HANGUL), found).otherwise(F.array().cast("array<string>"))
 
@@ -215,8 +215,8 @@ def _render_meta_blockers(missing_meta: str) -> list[Column]:
 
 
 def _visible_blockers(html: Column, leak: str) -> list[Column]:
-    links = F.least(F.lit(50), F.size(untranslated_links(html)))
-    texts = F.least(F.lit(50), F.size(untranslated_text(html)))
+    links = F.size(untranslated_links(html))
+    texts = F.size(untranslated_text(html))
     hangul = html.rlike(HANGUL)
     return [
         let(leak_names(html), lambda names: F.when(names != "", F.concat(F.lit(leak + ":"), names))),
@@ -364,7 +364,7 @@ def route_blockers(blockers: Column) -> Column:
 
 # --- V10, M4, M5 ----------------------------------------------------------------------------------------------------
 
-# rendered feature that a source feature turns into
+# The rendered feature that a source feature turns into.
 LOSS_PAIRS = {
     "folding": ("folding", "details"), "footnotes": ("footnote", "footnotes"), "youtube": ("youtube", "youtube"), "colspan": ("colspan", "colspan"),
     "rowspan": ("rowspan", "rowspan"), "headings": ("headings", "headings"), "toc": ("toc", "toc"), "links": ("links", "links"),
@@ -487,14 +487,14 @@ def apply_patches(docs: DataFrame, patches: DataFrame) -> DataFrame:
     """
     listed = patches.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "before", "after"))).alias("p"))
     d = docs.join(listed, "doc_id")
-    same = F.forall("p", lambda x: F.substring(F.col("text"), x["start_pos"] + 1, x["end_pos"] - x["start_pos"]) == x["before"])
+    d = d.withColumn("_c", chunks(F.col("text")))
+    same = F.forall("p", lambda x: cut(F.col("_c"), x["start_pos"] + 1, x["end_pos"] - x["start_pos"]) == x["before"])
     indexed = F.transform("p", lambda x, i: (i == 0) | (x["start_pos"] >= F.get(F.col("p"), i - 1)["end_pos"]))
     apart = F.forall(indexed, lambda ok: ok)
-    replaced = F.aggregate(
-        F.reverse("p"),
-        F.col("text"),
-        lambda t, x: F.concat(F.substring(t, F.lit(1), x["start_pos"]), x["after"], F.substring(t, x["end_pos"] + 1, F.length(t))),
-    )
+    # cut once between the patches, joined once
+    kept = lambda x, i: cut(F.col("_c"), F.coalesce(F.get("p", i - 1)["end_pos"], F.lit(0)) + 1, x["start_pos"] - F.coalesce(F.get("p", i - 1)["end_pos"], F.lit(0)))
+    last = F.element_at("p", -1)["end_pos"]
+    replaced = F.concat(F.array_join(F.transform("p", lambda x, i: F.concat(kept(x, i), x["after"])), ""), cut(F.col("_c"), last + 1, F.length("text") - last))
     state = F.when(~apart, "overlap").when(~same, "conflict").otherwise("applied")
     return d.select("doc_id", state.alias("state"), F.when(apart & same, replaced).otherwise(F.col("text")).alias("text"))
 

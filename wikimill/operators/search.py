@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import as_col, search_key, strip, title_key
+from ..functions.keys import search_key, strip, title_key
 from ..functions.markup import count, depth_after_lines, prose_text, unix_lines
 from .filters import is_published
 
 HANGUL = "[가-힣]"
 
 
-def clean_query(text: Column | str) -> Column:
-    """The query as searched: trimmed, 120 characters, lower case."""
-    return F.lower(F.substring(F.trim(F.coalesce(as_col(text), F.lit(""))), 1, 120))
-
-
 def search_top(docs: DataFrame, text: str, source: str, limit: int = 80) -> DataFrame:
     """Published articles that contain the query, best title match first.
 
     The query is a literal, so the scan filters in place and only the top rows of each partition reach the final sort.
     """
-    q = text.strip(" ")[:120].lower()
+    q = text.strip(" ").lower()
     title, root = F.lower(F.coalesce("translated_title", F.lit(""))), F.lower(F.coalesce("root_title", F.lit("")))
     own, body = F.lower(F.coalesce("source_title", F.lit(""))), F.lower(F.coalesce("source_wikitext", F.lit("")))
     has = lambda c: c.contains(q)
@@ -37,11 +32,9 @@ def search_top(docs: DataFrame, text: str, source: str, limit: int = 80) -> Data
     )
     namespaced = F.col("source_title").startswith("틀:") | F.col("source_title").startswith("파일:")
     hits = docs.where(F.lit(q != "") & is_published(source) & ~namespaced & (has(title) | has(own) | has(root) | has(body)))
-    return (
-        hits.withColumn("rank", rank)
-        .orderBy("rank", F.length(F.coalesce("translated_title", "source_title")), "source_title")
-        .limit(limit)
-    )
+    # what the display order needs to know of a text is worked out here, so that no text goes to the final sort
+    hits = hits.withColumns({"rank": rank, "body_hit": search_key(F.coalesce("source_wikitext", F.lit(""))).contains(search_key(F.lit(text)))})
+    return hits.drop("source_wikitext").orderBy("rank", F.length(F.coalesce("translated_title", "source_title")), "source_title").limit(limit)
 
 
 def display_title() -> Column:
@@ -68,9 +61,8 @@ def rerank(hits: DataFrame, text: str, limit: int = 50) -> DataFrame:
         search_key("display_title").alias("_d"),
         search_key(F.coalesce("root_title", F.lit(""))).alias("_r"),
         search_key("source_title").alias("_s"),
-        search_key(F.coalesce("source_wikitext", F.lit(""))).alias("_b"),
     )
-    t, d, r, s, b, qq = (F.col(c) for c in ("_t", "_d", "_r", "_s", "_b", "_q"))
+    t, d, r, s, qq = (F.col(c) for c in ("_t", "_d", "_r", "_s", "_q"))
     is_root = F.coalesce(F.col("source_title") == F.col("root_title"), F.lit(False))
     rank = (
         F.when((qq == "") | (t == ""), 999)
@@ -82,12 +74,12 @@ def rerank(hits: DataFrame, text: str, limit: int = 50) -> DataFrame:
         .when(t.contains(qq) | d.contains(qq), 5)
         .when(r.contains(qq), 6)
         .when(s.contains(qq), 7)
-        .when(b.contains(qq), 8)
+        .when(F.col("body_hit"), 8)
         .otherwise(50)
     )
     return (
         h.withColumn("search_rank", rank)
-        .drop("_q", "_t", "_d", "_r", "_s", "_b")
+        .drop("_q", "_t", "_d", "_r", "_s")
         .orderBy("search_rank", F.length("display_title"), "display_title")
         .limit(limit)
     )

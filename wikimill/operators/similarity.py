@@ -105,7 +105,7 @@ def tokens(c: Column) -> Column:
     """Distinct tokens of at least two characters."""
     t = F.lower(strip(F.regexp_replace(nfkc(c), r"\s+", " ")))
     parts = F.filter(F.split(t, r"[\s·|/(),:;\[\]{}<>]+"), lambda x: F.length(x) >= 2)
-    return F.transform(F.array_distinct(parts), lambda x: F.substring(x, 1, 80))
+    return F.array_distinct(parts)
 
 
 def _closeness(a: Column, b: Column) -> Column:

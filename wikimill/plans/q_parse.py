@@ -62,18 +62,16 @@ def _(t):
 
 @query("x12_markup_blocks", "SELECT id, md5(source_wikitext) AS digest FROM wiki_docs WHERE source_wikitext IS NOT NULL")
 def _(t):
-    b = p.markup_blocks(t.wiki_docs, "id", "source_wikitext")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "")
-    return b.groupBy("id").agg(whole.alias("w")).select("id", digest("w").alias("digest"))
+    d = p.blocked(t.wiki_docs, "id", "source_wikitext").select("id", F.array_join(p.block_texts("source_wikitext"), "").alias("w"))
+    return d.select("id", digest("w").alias("digest"))
 
 
 @query("v3_lossless_split", "SELECT id FROM wiki_docs WHERE source_wikitext IS NOT NULL AND content_language = 'en'")
 def _(t):
-    docs = t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", "content_language", F.col("source_wikitext").alias("source"))
-    parts = p.markup_blocks(docs, "id", "source").join(docs.select("id", "content_language"), "id")
+    docs = p.blocked(t.wiki_docs.withColumn("id", F.struct("id", "content_language")), "id", "source_wikitext")
     # English documents lose their second block, which the check has to find
-    broken = parts.where(~((F.col("content_language") == "en") & (F.col("pos") == 1)))
-    return lossy_splits(broken, docs, "id")
+    broken = F.filter(p.block_texts("source_wikitext"), lambda x, i: (F.col("id.content_language") != "en") | (i != 1))
+    return lossy_splits(docs, "id", "source_wikitext", broken).select("id.id")
 
 
 @query("x13_structure_statistics", """

@@ -222,10 +222,13 @@ SELECT id, greatest(0, len(regexp_extract_all(s, '#!folding\b')) - len(regexp_ex
  greatest(0, len(regexp_extract_all(s, '<-\d+>')) - len(regexp_extract_all(h, '\scolspan\s*='))) AS colspan,
  greatest(0, len(regexp_extract_all(s, '(?i)\[\[(?:파일|File):')) - len(regexp_extract_all(h, '(?i)<img\b')) - len(regexp_extract_all(h, '(?i)<svg\b'))) AS images FROM d""")
 def _(t):
-    raw = active_source("source_wikitext").alias("raw")
-    d = t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", raw).join(t.wiki_pages.select(F.col("page_id").alias("id"), "html"), "id")
-    loss = loss_columns()
-    return d.select("id", *[loss[n].alias(n) for n in ("folding", "youtube", "colspan", "images")])
+    # counted first, so that only numbers are joined
+    docs = t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", active_source("source_wikitext").alias("raw"))
+    source, shown = source_features(F.col("raw")), rendered_features("html")
+    docs = docs.select("id", *[c.alias(f"s_{n}") for n, c in source.items()])
+    pages = t.wiki_pages.select(F.col("page_id").alias("id"), *[c.alias(f"r_{n}") for n, c in shown.items()])
+    loss = v.structural_loss({n: F.col(f"s_{n}") for n in source}, {n: F.col(f"r_{n}") for n in shown})
+    return docs.join(pages, "id").select("id", *[loss[n].alias(n) for n in ("folding", "youtube", "colspan", "images")])
 
 
 MATRIX = """SELECT id, id % 2 = 0 AS is_content, source_wikitext IS NOT NULL AS input_ready, length(coalesce(content_html, '')) AS html_chars, content_revision_no AS current_revision,

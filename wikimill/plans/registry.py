@@ -14,8 +14,6 @@ BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-TEXT = ("documents", "pages", "conversations")  # long texts, where the work is per row
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,7 +29,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return read_table(self.spark, self.path(name), spread=name in TEXT)
+            return read_table(self.spark, self.path(name))
         if name in DERIVED:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)

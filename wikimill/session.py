@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,7 @@ def build_session(app: str = "wikimill", master: str | None = None, shuffle_part
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; it then gets its own temporary folder.
+    Only a local session may go without that setting; it then gets a temporary folder that goes when the program ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -38,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     base = tempfile.mkdtemp(prefix="wikimill-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 

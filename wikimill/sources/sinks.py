@@ -72,8 +72,13 @@ def artifact_manifest(docs: DataFrame, key: str, kinds: dict[str, str]) -> DataF
 
 
 def export_artifacts(manifest: DataFrame, path: str) -> None:
-    """Write each distinct content once, compressed, below its kind."""
-    once = manifest.groupBy("kind", "hash").agg(F.first("content").alias("content"))
+    """Write each distinct content once, compressed, below its kind.
+
+    One document is picked for each content by its key, from keys and digests alone; the others drop out by a semi-join.
+    """
+    key = manifest.columns[0]
+    owner = manifest.groupBy("kind", "hash").agg(F.min(key).alias(key))
+    once = manifest.join(owner, [key, "kind", "hash"], "left_semi").select("kind", "hash", "content")
     once.write.partitionBy("kind").mode("overwrite").option("compression", "gzip").parquet(path)
 
 

@@ -88,10 +88,10 @@ def _(t):
 
 
 @query("a7_first_samples", r"""
-WITH m AS (SELECT regexp_extract(trim(regexp_replace(text, '\s+', ' ', 'g')), '^(\S+ \S+)', 1) AS sample, doc_id FROM documents)
+WITH m AS (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS sample, doc_id FROM documents)
 SELECT sample, min(doc_id) AS first_at FROM m GROUP BY 1 ORDER BY first_at, sample LIMIT 30""")
 def _(t):
-    d = t.documents.select(F.regexp_extract(F.trim(F.regexp_replace("text", r"\s+", " ")), r"^(\S+ \S+)", 1).alias("sample"), "doc_id")
+    d = t.documents.select(F.trim(F.regexp_replace("text", r"\s+", " ")).alias("sample"), "doc_id")
     return a.first_samples(d, "sample", "doc_id", 30)
 
 
@@ -151,13 +151,11 @@ def _(t):
 
 
 @query("a15_ordered_json", """
-SELECT run_id, '[' || string_agg('{"id":' || CAST(id AS VARCHAR) || ',"stage":"' || stage || '"}', ',' ORDER BY rn) || ']' AS items
-FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY updated_at, id) AS rn FROM pipeline_jobs) WHERE rn <= 500 GROUP BY 1""")
+SELECT source_document_id, '[' || string_agg('{"revision_no":' || CAST(revision_no AS VARCHAR) || ',"editor_type":"' || editor_type || '"}', ',' ORDER BY revision_no) || ']' AS items
+FROM revisions GROUP BY 1""")
 def _(t):
-    from ..operators.ranking import top_rows
-
-    top = top_rows(t.pipeline_jobs, ["run_id"], [F.col("updated_at"), F.col("id")], 500)
-    return a.ordered_json(top, ["run_id"], ["rn"], ["id", "stage"])
+    # one list per document: all of its revisions, as many as one document has
+    return a.ordered_json(t.revisions, ["source_document_id"], ["revision_no"], ["revision_no", "editor_type"])
 
 
 @query("a16_pass_statistics", r"""

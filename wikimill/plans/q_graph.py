@@ -35,10 +35,11 @@ SEEDS = "SELECT DISTINCT 'N' || CAST(n_nationkey AS STRING) AS root, 'N' || CAST
 
 
 @query("g2_link_closure", f"""
-WITH RECURSIVE c AS (SELECT root, node, 0 AS depth FROM ({SEEDS}) UNION SELECT c.root, e.dst, c.depth + 1 FROM c JOIN graph_links e ON e.src = c.node WHERE c.depth < 3)
+WITH RECURSIVE n AS (SELECT count(DISTINCT dst) AS top FROM graph_links),
+c AS (SELECT root, node, 0 AS depth FROM ({SEEDS}) UNION SELECT c.root, e.dst, c.depth + 1 FROM c JOIN graph_links e ON e.src = c.node, n WHERE c.depth < least(n.top, 60))
 SELECT root, node, min(depth) AS depth FROM c GROUP BY 1, 2""")
 def _(t):
-    return g.transitive_closure(t.sql(SEEDS), t.graph_links, max_rounds=3)
+    return g.transitive_closure(t.sql(SEEDS), t.graph_links)
 
 
 ROOTS = "SELECT 'N' || CAST(n_nationkey AS STRING) AS title FROM nation"

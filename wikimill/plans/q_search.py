@@ -69,11 +69,11 @@ def _(t):
 
 
 @query("j23_scalar_query", """
-WITH q AS (SELECT lower(substr(trim(max(text)), 1, 5)) AS value FROM benchmark)
+WITH q AS (SELECT lower(trim(max(text))) AS value FROM benchmark)
 SELECT d.id, q.value AS needle FROM wiki_docs d, q WHERE q.value <> '' AND contains(lower(d.text), q.value)""")
 def _(t):
     # a scalar subquery: one row, joined as a literal of the plan, no cross join of tables
-    return t.sql("""SELECT id, needle FROM (SELECT id, text, (SELECT lower(substr(trim(max(text)), 1, 5)) FROM benchmark) AS needle FROM wiki_docs)
+    return t.sql("""SELECT id, needle FROM (SELECT id, text, (SELECT lower(trim(max(text))) FROM benchmark) AS needle FROM wiki_docs)
                     WHERE needle <> '' AND contains(lower(text), needle)""")
 
 

@@ -1,5 +1,6 @@
 """Streaming jobs against their batch forms on files that arrive in several parts."""
 
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -8,10 +9,14 @@ from wikimill.streaming import jobs as j
 
 
 def parts(spark, tmp_path, rows, schema, n=3):
-    """Write rows as several files that become separate micro-batches."""
+    """Write rows as several files that become separate micro-batches, in this order (files are taken by their time)."""
     size = -(-len(rows) // n)
+    seen: set = set()
     for i in range(n):
         spark.createDataFrame(rows[i * size : (i + 1) * size], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in set((tmp_path / "in").glob("part-*")) - seen:
+            os.utime(f, (1_700_000_000 + 60 * i,) * 2)
+            seen.add(f)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
@@ -20,20 +25,56 @@ def events(n=60):
     return [(i, i % 3, t0 + timedelta(minutes=7 * i)) for i in range(n)]
 
 
-def test_trailing_counts(spark, tmp_path):
+END = timedelta(days=3)  # a last event that moves the watermark past all others
+
+
+def test_trailing_counts(spark):
     rows = events()
-    schema = "id long, submitter long, ts timestamp"
-    out = j.run_to_files(j.rate_limit_stream(parts(spark, tmp_path, rows, schema), 3600), "t-r1")
-    batch = j.trailing_counts(spark.createDataFrame(rows, schema), "submitter", "ts")
+    batch = j.trailing_counts(spark.createDataFrame(rows, "id long, submitter long, ts timestamp"), "submitter", "ts")
     want = {i: sum(s2 == s and timedelta(0) <= t - t2 <= timedelta(hours=1) and i2 != i for i2, s2, t2 in rows if i2 < i) for i, s, t in rows}
     assert {r["id"]: r["recent"] for r in batch.collect()} == want
-    assert {r["id"]: r["recent"] for r in out.collect()} == want
+
+
+def test_rate_limit_out_of_order(spark, tmp_path):
+    """Batches that overlap in time give the decisions of the batch form."""
+    rows = events(90)
+    mixed = [r for k in range(3) for r in rows[k::3]] + [(1000, 9, rows[0][2] + END)]
+    schema = "id long, submitter long, ts timestamp"
+    stream = parts(spark, tmp_path, mixed, schema, n=4)
+    out = {r["id"]: r for r in j.run_to_files(j.rate_limit_stream(stream, 3600, 2, "1 day"), "t-r1").collect()}
+    batch = j.rate_limited(spark.createDataFrame(rows, schema), "submitter", "ts", 3600, 2).collect()
+    assert any(r["refused"] for r in batch)
+    assert {r["id"]: (r["recent"], r["refused"]) for r in batch} == {i: (r["recent"], r["refused"]) for i, r in out.items() if i < 1000}
+
+
+def test_rate_limit_late_row(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, 0, t0 + timedelta(hours=6)), (2, 0, t0 + timedelta(hours=7)), (3, 0, t0 + timedelta(hours=1)), (4, 0, t0 + timedelta(hours=9))]
+    stream = parts(spark, tmp_path, rows, "id long, submitter long, ts timestamp", n=4)
+    out = {r["id"]: tuple(r)[2:] for r in j.run_to_files(j.rate_limit_stream(stream, 3600, 2, "1 minute"), "t-r1l").collect()}
+    assert out == {1: (0, False, False), 2: (1, False, False), 3: (None, None, True)}
+
+
+def test_runner_claims_out_of_order(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    at = lambda m: t0 + timedelta(minutes=m)
+    rows = [(1, 7, "a", at(0)), (3, 7, "b", at(3)), (2, 7, "b", at(1)), (4, 7, "a", at(4)), (9, 8, "z", at(60))]
+    stream = parts(spark, tmp_path, rows, "id long, run_id long, runner string, ts timestamp", n=5)
+    out = {r["id"]: r["granted"] for r in j.run_to_files(j.runner_claims(stream, 120, "10 minutes"), "t-r3").collect()}
+    assert out == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_lifecycle_in_any_order(spark, tmp_path):
+    rows = [(1, 5, "pass"), (1, 3, "claim"), (1, 4, "fail"), (2, 2, "fail"), (2, 1, "claim")]
+    out = j.run_to_files(j.lifecycle_stream(parts(spark, tmp_path, rows, "job_id long, seq long, kind string", n=5), 1), "t-r4o")
+    last = {r["job_id"]: tuple(r["s"]) for r in out.groupBy("job_id").agg(F.max_by(F.struct("attempt", "status"), F.struct("seq", "attempt")).alias("s")).collect()}
+    assert last == {1: (1, "pass"), 2: (1, "needs_review")}
 
 
 def test_lease_expiry_with_budget(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     at = lambda m: t0 + timedelta(minutes=m)
-    rows = [(1, at(0), 0, "claim"), (1, at(5), 1, "done"), (2, at(1), 2, "claim"), (2, at(20), 3, "claim"), (3, at(60), 4, "claim"), (9, at(90), 5, "claim")]
+    rows = [(1, at(0), 0, "claim"), (1, at(5), 1, "done"), (2, at(1), 2, "claim"), (2, at(20), 3, "claim"), (3, at(60), 4, "claim"), (9, at(90), 5, "claim"), (9, at(95), 6, "done")]
     stream = parts(spark, tmp_path, rows, "task_id long, ts timestamp, seq long, kind string")
     got = {(r["task_id"], r["attempts"], r["status"]) for r in j.run_to_files(j.lease_stream(stream, 8, 2), "t-r5").collect()}
     assert got == {(2, 1, "queued"), (2, 2, "failed"), (3, 1, "queued")}

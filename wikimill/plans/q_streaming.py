@@ -17,13 +17,25 @@ def seconds(df, column):
 
 
 TRAILING = """
-SELECT *, recent >= 2 AS refused FROM (SELECT id, submitter, CAST((SELECT count(*) FROM edit_proposals b WHERE b.submitter = a.submitter AND b.created_at >= a.created_at - INTERVAL '1' HOUR AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))) AS INT) AS recent FROM edit_proposals a)"""
+SELECT id, submitter, CAST((SELECT count(*) FROM edit_proposals b WHERE b.submitter = a.submitter AND b.created_at >= a.created_at - INTERVAL '1' HOUR AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.id < a.id))) AS INT) AS recent FROM edit_proposals a"""
+ACCEPTED = """
+WITH RECURSIVE e AS (SELECT id, submitter, created_at AS ts, row_number() OVER (PARTITION BY submitter ORDER BY created_at, id) AS n FROM edit_proposals),
+w AS (SELECT id, submitter, n, ts, CAST(0 AS INT) AS recent, [ts] AS kept FROM e WHERE n = 1 UNION ALL
+ SELECT id, submitter, n, ts, CAST(len(live) AS INT) AS recent, CASE WHEN len(live) >= 2 THEN live ELSE list_append(live, ts) END AS kept
+ FROM (SELECT e.id, e.submitter, e.n, e.ts, list_filter(w.kept, lambda x: x >= e.ts - INTERVAL '1' HOUR) AS live FROM w JOIN e ON e.submitter = w.submitter AND e.n = w.n + 1))
+SELECT id, submitter, recent, recent >= 2 AS refused{late} FROM w{where}"""
+PASSED = " WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(created_at)) - 60000 FROM edit_proposals)"
 
 
-@query("r1_rate_limit", TRAILING)
+@query("r1_trailing_attempts", TRAILING)
 def _(t):
     d = r.trailing_counts(t.edit_proposals.select("id", "submitter", "created_at"), "submitter", "created_at")
-    return r.with_refusal(d.select("id", "submitter", F.col("recent").cast("int").alias("recent")), 2)
+    return d.select("id", "submitter", F.col("recent").cast("int").alias("recent"))
+
+
+@query("r1_rate_limit", ACCEPTED.format(late="", where=""))
+def _(t):
+    return r.rate_limited(t.edit_proposals.select("id", "submitter", "created_at"), "submitter", "created_at", 3600, 2)
 
 
 def proposals(t):
@@ -31,9 +43,9 @@ def proposals(t):
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("submitter"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query("r1_rate_limit_stream", TRAILING)
+@query("r1_rate_limit_stream", ACCEPTED.format(late=", false AS late", where=PASSED))
 def _(t):
-    return r.with_refusal(r.run_to_files(r.rate_limit_stream(proposals(t)), "r1"), 2)
+    return r.run_to_files(r.rate_limit_stream(proposals(t), 3600, 2), "r1")
 
 
 LOCKS = "SELECT id, CASE WHEN id % 3 = 0 THEN 'running' ELSE 'queued' END AS status, runner_id AS locked_by, heartbeat_at AS locked_at FROM pipeline_runs"
@@ -50,7 +62,7 @@ LEASE_SQL = """
 WITH e AS ({events}), f AS (SELECT *, count_if(kind = 'claim') OVER (PARTITION BY task_id ORDER BY ts, seq) AS attempts, lead(ts) OVER (PARTITION BY task_id ORDER BY ts, seq) AS nxt FROM e),
 m AS (SELECT max(ts) AS top FROM e)
 SELECT task_id, strftime(ts + INTERVAL '{minutes}' MINUTE, '%Y-%m-%d %H:%M:%S') AS expired_at, CAST(attempts AS INT) AS attempts, CASE WHEN attempts < {budget} THEN 'queued' ELSE 'failed' END AS status
-FROM f, m WHERE kind = 'claim' AND epoch_ms(ts) + {minutes} * 60000 <= coalesce(epoch_ms(nxt), epoch_ms(top) - 60000)"""
+FROM f, m WHERE kind = 'claim' AND epoch_ms(ts) + {minutes} * 60000 <= least(coalesce(epoch_ms(nxt), epoch_ms(top) - 60000), epoch_ms(top) - 60000)"""
 
 
 def lease_events(t):
@@ -74,7 +86,7 @@ WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS run_id, event_type AS run
 w AS (SELECT id, run_id, n, true AS granted, runner AS holder, ts AS at FROM e WHERE n = 1 UNION ALL
  SELECT e.id, e.run_id, e.n, w.holder = e.runner OR w.at < e.ts - INTERVAL '7200' SECOND, CASE WHEN w.holder = e.runner OR w.at < e.ts - INTERVAL '7200' SECOND THEN e.runner ELSE w.holder END,
   CASE WHEN w.holder = e.runner OR w.at < e.ts - INTERVAL '7200' SECOND THEN e.ts ELSE w.at END FROM w JOIN e ON e.run_id = w.run_id AND e.n = w.n + 1)
-SELECT id, run_id, granted FROM w""")
+SELECT id, run_id, granted, false AS late FROM w JOIN e USING (id, run_id, n) WHERE epoch_ms(e.ts) <= (SELECT epoch_ms(max(ts)) - 60000 FROM events)""")
 def _(t):
     e = r.read_stream(t.spark, t.dir, "events.parquet")
     e = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("run_id"), F.col("event_type").alias("runner"), F.col("ts").cast("timestamp").alias("ts"))
@@ -152,7 +164,7 @@ def _(t):
 def _(t):
     e = r.read_stream(t.spark, t.dir, "events.parquet")
     e = e.select((F.col("user_id") % 50).alias("source_document_id"), F.col("user_id").alias("submitter"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    out = r.ingest_dedupe(e, ["source_document_id", "submitter", "event_type"], "ts", "3650 days")
+    out = r.ingest_dedupe(e, ["source_document_id", "submitter", "event_type"], "ts", "1 day")
     return r.run_to_files(out.drop("ts"), "r8")
 
 

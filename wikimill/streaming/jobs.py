@@ -1,6 +1,7 @@
 """Time-dependent rules (R*), each as a batch form over a table and as a Structured Streaming job over its events.
 
-Stateful jobs keep a few values per key, handle the rows of a micro-batch in time order and expire with event-time timers.
+Stateful jobs hold rows back until the watermark has passed them and then handle them in event order, whatever batch they came
+in. A row that comes after the watermark is reported as late and changes nothing. State is cleared by event-time timers.
 Outputs go to Parquet files through the file sink, or through ``foreachBatch`` where rows are updated.
 """
 
@@ -29,17 +30,19 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     return r.parquet(folder)
 
 
+def with_state_store(spark: SparkSession) -> None:
+    """Stateful processors need the RocksDB store; a session that names no store gets it, once."""
+    if spark.conf.get(STATE_PROVIDER) != ROCKSDB:
+        spark.conf.set(STATE_PROVIDER, ROCKSDB)
+
+
 def run_to_files(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything available and return what was written."""
     spark = df.sparkSession
+    with_state_store(spark)
     out, state = work_path(spark, name), work_path(spark, f"{name}-state")
-    before = spark.conf.get(STATE_PROVIDER)
-    spark.conf.set(STATE_PROVIDER, ROCKSDB)  # needed by the stateful processors
-    try:
-        q = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set(STATE_PROVIDER, before)
+    q = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -71,17 +74,68 @@ def latest_rows(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*keys, "_v.*")
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch, in time order."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
-
-
-def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, timers: bool = False) -> DataFrame:
+def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, timers: bool = True) -> DataFrame:
     return df.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="eventTime" if timers else "none"
     )
 
 
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key to ``step`` in the order of ``columns``, of which the first is ``us`` (microseconds).
+
+    A row waits until the watermark reaches it. What comes later than that is given to ``late``. ``expire`` may clear state
+    when a timer runs out.
+    """
+
+    columns: tuple[str, ...]
+    waiting_schema: str
+    output: list[str]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.start(handle)
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def step(self, key, due: list[tuple]) -> list[tuple]:
+        raise NotImplementedError
+
+    def late(self, key, row: tuple) -> tuple:
+        raise NotImplementedError
+
+    def expire(self, key, now: int) -> list[tuple]:
+        return []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        found = [tuple(r) for frame in rows for r in frame[list(self.columns)].itertuples(index=False)]
+        kept = [r for r in found if r[0] // 1000 > passed or passed <= 0]
+        if kept:
+            self.waiting.appendList(kept)
+            for ms in {r[0] // 1000 for r in kept}:
+                self.handle.registerTimer(ms)
+        out = [self.late(key, r) for r in found if not (r[0] // 1000 > passed or passed <= 0)]
+        yield pd.DataFrame(out, columns=self.output)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # all rows up to the watermark at once; a timer set meanwhile could not fire in this batch any more
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in held if r[0] // 1000 <= now]
+        if due:
+            if len(due) < len(held):
+                self.waiting.put(held[len(due):])
+            else:
+                self.waiting.clear()
+        out = (self.step(key, due) if due else []) + self.expire(key, now)
+        yield pd.DataFrame(out, columns=self.output)
+
+    def close(self) -> None:
+        pass
+
+
 # --- R1 rate limit --------------------------------------------------------------------------------------------------
 
 
@@ -103,39 +157,71 @@ def trailing_counts(events: DataFrame, key: str, ts: str, seconds: int = 3600) -
     return counted.where("_own").drop("_t", "_b", "_own")
 
 
-def with_refusal(counts: DataFrame, limit: int = 10) -> DataFrame:
-    """Mark the proposals that come when the limit is reached."""
-    return counts.withColumn("refused", F.col("recent") >= limit)
+def _admitted(recent: deque, us: int, span: int, limit: int) -> tuple[int, bool]:
+    """How many accepted moments lie in the span before ``us``, and whether the row is refused; an accepted one is kept."""
+    while recent and recent[0] < us - span:
+        recent.popleft()
+    count, refused = len(recent), len(recent) >= limit
+    if not refused:
+        recent.append(us)
+    return count, refused
 
 
-class TrailingCounter(StatefulProcessor):
-    """Counts the attempts of a key within the trailing time; keeps only the moments still inside it."""
+def rate_limited(events: DataFrame, key: str, ts: str, seconds: int = 3600, limit: int = 10) -> DataFrame:
+    """``id``, key, ``recent`` and ``refused`` of events ``(id, key, ts)``: a refused proposal is not stored, so only accepted
+    ones count for those after it.
 
-    def __init__(self, seconds: int):
-        self.span = seconds * 1_000_000
+    Each decision rests on the decisions before it, so the rows of a submitter are one sorted stretch of a partition; they
+    are read through with at most ``limit`` moments in memory, however many there are.
+    """
+    span = seconds * 1_000_000
+    rows = events.select("id", F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "us long")
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, recent = object(), deque()
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                if r.k != now:
+                    now, recent = r.k, deque()
+                out.append((r.id, r.k, *_admitted(recent, r.us, span, limit)))
+            yield pd.DataFrame(out, columns=["id", key, "recent", "refused"])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        recent = deque(sorted(t[0] for t in self.times.get()) if self.times.exists() else ())
-        out = []
-        for r in _ordered(rows, ["us", "id"]).itertuples():
-            while recent and recent[0] < r.us - self.span:
-                recent.popleft()
-            out.append((r.id, key[0], len(recent)))
-            recent.append(r.us)
-        self.times.put([(t,) for t in recent])
-        yield pd.DataFrame(out, columns=["id", "submitter", "recent"])
+    types = dict(events.dtypes)
+    return rows.repartition("k").sortWithinPartitions("k", "us", "id").mapInPandas(decide, f"id {types['id']}, {key} {types[key]}, recent int, refused boolean")
 
-    def close(self) -> None:
-        pass
+
+class RateLimit(InOrder):
+    """Admits or refuses the proposals of a submitter; keeps the accepted moments that still count."""
+
+    columns, waiting_schema, output = ("us", "id"), "us long, id long", ["id", "submitter", "recent", "refused", "late"]
+
+    def __init__(self, seconds: int, limit: int):
+        self.span, self.limit = seconds * 1_000_000, limit
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getListState("accepted", "us long")
+
+    def step(self, key, due):
+        recent = deque(t[0] for t in self.accepted.get()) if self.accepted.exists() else deque()
+        out = [(i, key[0], *_admitted(recent, us, self.span, self.limit), False) for us, i in due]
+        self.accepted.put([(t,) for t in recent])
+        self.handle.registerTimer((recent[-1] + self.span) // 1000 + 1)
+        return out
+
+    def late(self, key, row):
+        return row[1], key[0], None, None, True
+
+    def expire(self, key, now):
+        if self.accepted.exists() and max(t[0] for t in self.accepted.get()) + self.span < now * 1000:
+            self.accepted.clear()
+        return []
 
 
-def rate_limit_stream(events: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Trailing counts as a stream ``(id, submitter, ts)``; a count at the limit means the proposal is refused."""
-    e = events.select("id", "submitter", F.unix_micros("ts").alias("us"))
-    return _stateful(e, "submitter", TrailingCounter(seconds), "id long, submitter long, recent int")
+def rate_limit_stream(events: DataFrame, seconds: int = 3600, limit: int = 10, delay: str = "1 minute") -> DataFrame:
+    """``rate_limited`` as a stream of ``(id, submitter, ts)``. Late rows have ``late`` set and no decision."""
+    e = events.withWatermark("ts", delay).select("id", "submitter", F.unix_micros("ts").alias("us"))
+    return _stateful(e, "submitter", RateLimit(seconds, limit), "id long, submitter long, recent int, refused boolean, late boolean")
 
 
 # --- R2, R5 leases --------------------------------------------------------------------------------------------------
@@ -154,50 +240,61 @@ def expire_leases(leases: DataFrame, as_of: Column, minutes: int = 8, max_attemp
     return leases.where(expired).select("task_id", F.when(F.col("attempts") < max_attempts, "queued").otherwise("failed").alias("status"))
 
 
-class LeaseProcessor(StatefulProcessor):
-    """Follows one task: a claim starts a lease, done ends it, and a timer ends it when time runs out."""
+class LeaseProcessor(InOrder):
+    """Follows one task: a claim starts a lease, done ends it, and a timer ends it when time runs out.
 
-    def __init__(self, minutes: int, max_attempts: int):
-        self.ms, self.max_attempts = minutes * 60_000, max_attempts
+    The number of attempts is forgotten when nothing has happened for ``forget`` milliseconds.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    columns, waiting_schema, output = ("us", "seq", "kind"), "us long, seq long, kind string", ["task_id", "expired_at", "attempts", "status"]
+
+    def __init__(self, minutes: int, max_attempts: int, forget: int):
+        self.ms, self.max_attempts, self.forget = minutes * 60_000, max_attempts, forget
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.lease = handle.getValueState("lease", "until long, attempts int, open boolean")
 
-    def _expire(self, key, now: int | None) -> list[tuple]:
+    def _run_out(self, key, now: int) -> list[tuple]:
         if not self.lease.exists():
             return []
         until, attempts, is_open = self.lease.get()
-        if not is_open or (now is not None and now < until):
+        if not is_open or now < until:
             return []
         self.lease.update((until, attempts, False))
         return [(key[0], until, attempts, "queued" if attempts < self.max_attempts else "failed")]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, key, due):
         out = []
-        for r in _ordered(rows, ["us", "seq"]).itertuples():
-            now = r.us // 1000
-            out += self._expire(key, now)
+        for us, _, kind in due:
+            now = us // 1000
+            out += self._run_out(key, now)
             attempts = self.lease.get()[1] if self.lease.exists() else 0
-            if r.kind == "claim":
+            if kind == "claim":
                 self.lease.update((now + self.ms, attempts + 1, True))
                 self.handle.registerTimer(now + self.ms)
+                self.handle.registerTimer(now + self.ms + self.forget)
             elif self.lease.exists():
                 self.lease.update((self.lease.get()[0], attempts, False))
-        yield pd.DataFrame(out, columns=["task_id", "expired_at", "attempts", "status"])
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._expire(key, expiredTimerInfo.getExpiryTimeInMs())
-        yield pd.DataFrame(out, columns=["task_id", "expired_at", "attempts", "status"])
+    def late(self, key, row):
+        return key[0], row[0] // 1000, None, "late"
 
-    def close(self) -> None:
-        pass
+    def expire(self, key, now):
+        out = self._run_out(key, now)
+        if self.lease.exists() and now >= self.lease.get()[0] + self.forget:
+            self.lease.clear()
+        return out
 
 
-def lease_stream(events: DataFrame, minutes: int, max_attempts: int, delay: str = "1 minute") -> DataFrame:
-    """Expired leases of an event stream ``(task_id, ts, seq, kind)``, kind being claim or done."""
-    e = events.select("task_id", "ts", F.unix_micros("ts").alias("us"), "seq", "kind").withWatermark("ts", delay)
-    out = _stateful(e, "task_id", LeaseProcessor(minutes, max_attempts), "task_id long, expired_at long, attempts int, status string", timers=True)
+def lease_stream(events: DataFrame, minutes: int, max_attempts: int, delay: str = "1 minute", forget_days: int = 365) -> DataFrame:
+    """Expired leases of an event stream ``(task_id, ts, seq, kind)``, kind being claim or done.
+
+    An event later than the delay comes back with the status ``late`` and its own time.
+    """
+    e = events.withWatermark("ts", delay).select("task_id", F.unix_micros("ts").alias("us"), "seq", "kind")
+    processor = LeaseProcessor(minutes, max_attempts, forget_days * 86_400_000)
+    out = _stateful(e, "task_id", processor, "task_id long, expired_at long, attempts int, status string")
     return out.withColumn("expired_at", F.timestamp_millis("expired_at"))
 
 
@@ -211,34 +308,43 @@ def claimable_runs(runs: DataFrame, runner: str, as_of: Column, stale_seconds: i
     return runs.where(F.coalesce(free, F.lit(False))).select("id")
 
 
-class RunnerLease(StatefulProcessor):
+class RunnerLease(InOrder):
     """Decides the claims of one run in time order; the holder keeps it while its heartbeat is fresh."""
 
+    columns, waiting_schema, output = ("us", "id", "runner"), "us long, id long, runner string", ["id", "run_id", "granted", "late"]
+
     def __init__(self, stale_seconds: int):
         self.span = max(30, stale_seconds) * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.holder = handle.getValueState("holder", "runner string, us long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, key, due):
         out = []
         runner, at = self.holder.get() if self.holder.exists() else (None, None)
-        for r in _ordered(rows, ["us", "id"]).itertuples():
-            granted = runner is None or runner == r.runner or at < r.us - self.span
+        for us, i, who in due:
+            granted = at is None or runner == who or at < us - self.span
             if granted:
-                runner, at = r.runner, r.us
-            out.append((r.id, key[0], granted))
+                runner, at = who, us
+            out.append((i, key[0], granted, False))
         self.holder.update((runner, at))
-        yield pd.DataFrame(out, columns=["id", "run_id", "granted"])
+        self.handle.registerTimer((at + self.span) // 1000 + 1)
+        return out
 
-    def close(self) -> None:
-        pass
+    def late(self, key, row):
+        return row[1], key[0], None, True
 
+    def expire(self, key, now):
+        # from here on anybody may have the run, as if nobody had held it
+        if self.holder.exists() and self.holder.get()[1] + self.span < now * 1000:
+            self.holder.clear()
+        return []
 
-def runner_claims(events: DataFrame, stale_seconds: int = 120) -> DataFrame:
-    """Granted or refused claims ``(id, run_id, runner, ts)``."""
-    e = events.select("id", "run_id", "runner", F.unix_micros("ts").alias("us"))
-    return _stateful(e, "run_id", RunnerLease(stale_seconds), "id long, run_id long, granted boolean")
+
+def runner_claims(events: DataFrame, stale_seconds: int = 120, delay: str = "1 minute") -> DataFrame:
+    """Granted or refused claims ``(id, run_id, runner, ts)``; late ones have ``late`` set and no decision."""
+    e = events.withWatermark("ts", delay).select("id", "run_id", "runner", F.unix_micros("ts").alias("us"))
+    return _stateful(e, "run_id", RunnerLease(stale_seconds), "id long, run_id long, granted boolean, late boolean")
 
 
 # --- R4 job lifecycle -----------------------------------------------------------------------------------------------
@@ -252,22 +358,26 @@ def lifecycle_status(events: DataFrame, max_attempts: int = 3) -> DataFrame:
 
 
 class JobLifecycle(StatefulProcessor):
-    """Folds the events of one job into its status and number of attempts."""
+    """Folds the events of one job into its status and number of attempts.
+
+    Attempts are a count and the status follows from the event with the greatest number, so events may come in any order.
+    """
 
     def __init__(self, max_attempts: int):
         self.max_attempts = max_attempts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.attempt = handle.getValueState("attempt", "n int")
+        self.job = handle.getValueState("job", "n int, seq long, kind string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self.attempt.get()[0] if self.attempt.exists() else 0
-        status, seq = "", None
-        for r in _ordered(rows, ["seq"]).itertuples():
-            n += r.kind == "claim"
-            status = {"claim": "running", "pass": "pass"}.get(r.kind, "needs_review" if n >= self.max_attempts else "retry")
-            seq = r.seq
-        self.attempt.update((n,))
+        n, seq, kind = self.job.get() if self.job.exists() else (0, None, "")
+        for frame in rows:
+            for r in frame.itertuples():
+                n += r.kind == "claim"
+                if seq is None or r.seq > seq:
+                    seq, kind = r.seq, r.kind
+        self.job.update((n, seq, kind))
+        status = {"claim": "running", "pass": "pass"}.get(kind, "needs_review" if n >= self.max_attempts else "retry")
         yield pd.DataFrame([(key[0], seq, n, status)], columns=["job_id", "seq", "attempt", "status"])
 
     def close(self) -> None:
@@ -275,8 +385,11 @@ class JobLifecycle(StatefulProcessor):
 
 
 def lifecycle_stream(events: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """One status row per job and micro-batch; a snapshot keeps the last one per job."""
-    return _stateful(events.select("job_id", "seq", "kind"), "job_id", JobLifecycle(max_attempts), "job_id long, seq long, attempt int, status string")
+    """One status row per job and micro-batch; a snapshot keeps the one with the greatest ``seq`` and attempt per job.
+
+    The state is one row for each job, as the snapshot itself is.
+    """
+    return _stateful(events.select("job_id", "seq", "kind"), "job_id", JobLifecycle(max_attempts), "job_id long, seq long, attempt int, status string", timers=False)
 
 
 # --- R6 - R10 -------------------------------------------------------------------------------------------------------

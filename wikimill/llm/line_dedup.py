@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_of
+from .common import cut_lineage, free_name, text_of
 
 WINDOW = 3
 
@@ -48,10 +48,11 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     d = d.withColumn("prints", F.transform("chosen", lambda c: F.struct(c["h"].alias("h"), around(c["p"]).alias("windows"))))
     prints = d.select("doc_id", "digest", F.explode_outer("prints").alias("f")).select("doc_id", "digest", "f.h", "f.windows")
-    shared = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    shared = cut_lineage(prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     windows = prints.join(shared, "h").select("doc_id", "digest", F.explode_outer("windows").alias("x")).select("doc_id", "digest", "x.s", "x.w", "x.at")
     place = F.struct("doc_id", "digest", "s")
     first = windows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("w", "first")
+    first = cut_lineage(first)  # a table of its own, so that the join back can split hot keys
     later = windows.join(first, "w").where(place > F.col("first"))
     return later.groupBy("doc_id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("removed"))
 

@@ -217,6 +217,15 @@ def _(t):
 RELATION_PAGES = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'G' || CAST(page_id % 20 AS STRING) ELSE 'P' || CAST(page_id AS STRING) END AS title, 'G' || CAST(page_id % 20 AS STRING) AS root_title, html FROM wiki_pages"
 
 
+@query("s4_snapshot_relations", """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN 'M' || CAST(page_id % 30 AS VARCHAR) < 'Self' THEN '100:' || 'G' || CAST(page_id % 20 AS VARCHAR) || '/Song ' || CAST(page_id % 7 AS VARCHAR) || ',90:M' || CAST(page_id % 30 AS VARCHAR) || ',90:Self' END
+ ELSE '100:G' || CAST(page_id % 20 AS VARCHAR) || '/Song ' || CAST(page_id % 7 AS VARCHAR) END AS relations FROM pages""")
+def _(t):
+    pages = t.sql(RELATION_PAGES)
+    d = x.with_relations(pages.select("page_id"), pages, "page_id", "html")
+    return d.select("page_id", F.array_join(F.transform("relations", lambda r: F.concat(r["score"].cast("string"), F.lit(":"), r["title"])), ",").alias("relations"))
+
+
 @query("x35_relation_candidates", """
 SELECT page_id, 'G' || CAST(page_id % 20 AS VARCHAR) || '/Song ' || CAST(page_id % 7 AS VARCHAR) AS target, 'song' AS label, 100 AS score, 'root-subdocument' AS reason FROM pages UNION ALL
 SELECT page_id, 'M' || CAST(page_id % 30 AS VARCHAR), 'M' || CAST(page_id % 30 AS VARCHAR), 90, 'root-member-row' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'Self', 'in', 90, 'root-member-row' FROM pages WHERE page_id % 2 = 0""")

@@ -66,6 +66,20 @@ def _(t):
     return d.select("id", digest("w").alias("digest"))
 
 
+@query("x12_block_content", r"""
+WITH l AS (SELECT id, unnest(string_split(source_wikitext, chr(10))) AS line FROM wiki_docs WHERE source_wikitext IS NOT NULL),
+t AS (SELECT id, count_if(line LIKE '||%') AS n FROM l GROUP BY 1)
+SELECT id, 'heading' AS type, CAST(length(regexp_extract(line, '^(={2,6})', 1)) AS INT) AS level, regexp_extract(line, '^={2,6}\s*(.*?)\s*={2,6}\s*$', 1) AS text, CAST(NULL AS INT) AS table_rows, NULL AS template, NULL AS media, NULL AS items FROM l WHERE regexp_matches(line, '^={2,6}\s*.*?\s*={2,6}\s*$')
+UNION ALL SELECT id, 'table', NULL, NULL, CAST(n AS INT), NULL, NULL, NULL FROM t WHERE n > 0
+UNION ALL SELECT id, 'template', NULL, NULL, NULL, replace(trim(regexp_extract(line, '^\[include\(([^,)]*)', 1)), 'Template: ', 'Template:'), NULL, NULL FROM l WHERE regexp_matches(line, '^\s*\[include\(.*\)\]\s*$')
+UNION ALL SELECT id, 'media', NULL, NULL, NULL, NULL, 'file', NULL FROM l WHERE line LIKE '[[File:%'
+UNION ALL SELECT id, 'list', NULL, NULL, NULL, NULL, NULL, string_agg(trim(substr(trim(line), 2)), '|') FROM l WHERE line LIKE ' * %' GROUP BY id""")
+def _(t):
+    b = p.block_content(p.markup_blocks(t.wiki_docs, "id", "source_wikitext"))
+    b = b.where("type IN ('heading', 'table', 'template', 'media', 'list')")
+    return b.select("id", "type", "level", F.when(F.col("type") == "heading", F.col("text")).alias("text"), "table_rows", "template", "media", F.array_join("items", "|").alias("items"))
+
+
 @query("v3_lossless_split", "SELECT id FROM wiki_docs WHERE source_wikitext IS NOT NULL AND content_language = 'en'")
 def _(t):
     docs = p.blocked(t.wiki_docs.withColumn("id", F.struct("id", "content_language")), "id", "source_wikitext")

@@ -9,14 +9,13 @@ from ..functions.urls import wiki_url
 from ..session import cut_lineage
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Target with updates merged in: provided columns are replaced, others kept, new keys added.
 
     Of several updates of one key the last by ``order`` counts.
     """
     values = [c for c in updates.columns if c not in keys and c != order]
-    pick = F.max_by(F.struct(*values), F.col(order)) if order else F.first(F.struct(*values))
-    u = updates.groupBy(*keys).agg(pick.alias("_u"))
+    u = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(order)).alias("_u"))
     j = target.withColumn("_t", F.lit(True)).join(u, keys, "full_outer")
     out = []
     for c in target.columns:

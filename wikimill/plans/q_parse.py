@@ -40,6 +40,21 @@ def _(t):
     return p.best_section_links(b, "page_id").select("page_id", "ref", "text")
 
 
+# marks for the beginning of a paragraph and for what ends one
+MARKED = r"""regexp_replace(regexp_replace(regexp_extract(html, '(?i)<article\b[^>]*>([\s\S]*?)</article>', 1), '(?i)</p\b|<h[2-4]\b|<table\b|<ul\b|<ol\b', chr(2), 'g'), '(?i)<p\b[^>]*>', chr(1), 'g')"""
+READABLE = "p"
+for _p, _r in ((r"<[^>]+>", ""), ("&amp;", "&"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), (r"\[age\([^\]]+\)\]", ""), (r"\[dday\([^\]]+\)\]", ""), (r"''{2,5}", ""), (r"\s+", " "), (r"^\s+|\s+$", "")):
+    READABLE = f"regexp_replace({READABLE}, '{_p}', '{_r}', 'g')"
+
+
+@query("x10_text_blocks", f"""
+SELECT page_id, 'paragraph' AS type, md5(t) AS digest FROM (SELECT page_id, {READABLE} AS t FROM (SELECT page_id, unnest(regexp_extract_all({MARKED}, chr(1) || '([^' || chr(1) || chr(2) || ']*)', 1)) AS p FROM wiki_pages)) WHERE length(t) >= 2
+UNION ALL SELECT page_id, 'list', md5('G' || CAST(page_id % 20 AS VARCHAR) || ' member M' || CAST(page_id % 30 AS VARCHAR)) FROM pages""")
+def _(t):
+    b = p.page_blocks(p.page_sections(t.wiki_pages, "page_id", "html"), "page_id").where("type IN ('paragraph', 'list')")
+    return b.select("page_id", "type", digest("text").alias("digest"))
+
+
 @query("x11_table_cells", """
 SELECT page_id, 0 AS "row", 0 AS col, 1 AS rowspan, 2 AS colspan, true AS header, '#fff' AS background, 'center' AS align, 'G' || CAST(page_id % 20 AS VARCHAR) || ' album' AS text, '' AS link_url FROM pages UNION ALL
 SELECT page_id, 1, 0, 1, 1, false, '', '', '2022. 1. 2.', '' FROM pages UNION ALL SELECT page_id, 1, 1, 1, 1, false, '', '', 'song', '/w/G' || CAST(page_id % 20 AS VARCHAR) || '/Song%20' || CAST(page_id % 7 AS VARCHAR) FROM pages UNION ALL

@@ -27,7 +27,7 @@ from .common import document, map_batches
 from .words import U64, WORD_LIKE, Words, mix, window_starts, word_chunks
 
 STEPS = 1.5  # steps that are sampled, in windows: a walk of 3 windows has mostly run off its window after them
-ITEM_BLOCK_WORDS = 2_000_000  # words of items that one pass over the documents takes along
+ITEM_BLOCK_WORDS = 200_000  # words of items that one pass over the documents takes along, about 250 bytes each in the index
 SMALLEST = 12  # words of the smallest regular size class
 SCHEMA = "doc_id long, item_id long, start long, n_words long, distance long"
 

@@ -43,7 +43,7 @@ def laid_out(spark, sf: str, cpus: int) -> str:
 
 def main() -> None:
     from wikimill.plans import QUERIES
-    from wikimill.session import build_session
+    from wikimill.session import build_session, clear_work
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -56,6 +56,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, tables).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clear_work(spark)
         print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
 

@@ -19,6 +19,7 @@ def build_session(app: str = "wikimill", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false")
@@ -45,9 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clear_work`` deletes it again."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work files of this program, once its results are written elsewhere. Checkpoints are deleted by Spark
+    itself if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ class Chain:
     folds: int = 3
     steps: int = 120
     ridge: float = 1e-4
-    floor: float = 3.5  # log-likelihood roots below this tell nothing
+    floor: float = 2.0  # log-likelihood roots below this tell nothing
     seed: int = 13
 
 

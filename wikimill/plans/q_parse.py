@@ -131,16 +131,37 @@ def _(t):
     return p.infobox_fields(t.sql(INFOBOX), "id", "src").drop("line")
 
 
-@query("x23_editable_blocks")
-def _(t):
-    return p.editable_blocks(t.wiki_docs, "id", "source_wikitext").select("id", "section", "block", "lock", "editable", F.length("plain").alias("n"))
-
-
 HEADING_LINE = "(" + " OR ".join(rf"regexp_matches(line, '^={{{n}}}\s*.*?\s*={{{n}}}\s*$')" for n in range(2, 7)) + ")"
 LINES = rf"""l AS (SELECT id, unnest(string_split_regex(regexp_replace(source_wikitext, '\r\n?', chr(10), 'g'), '\n')) AS line, generate_subscripts(string_split_regex(regexp_replace(source_wikitext, '\r\n?', chr(10), 'g'), '\n'), 1) - 1 AS line_no FROM wiki_docs WHERE source_wikitext IS NOT NULL),
 h AS (SELECT id, CAST(line_no AS INT) AS line_no, line, {HEADING_LINE} AS is_heading, len(regexp_extract_all(line, '\{{\{{\{{')) - len(regexp_extract_all(line, '\}}\}}\}}')) AS delta FROM l)"""
 
 
+LOCK = "CASE " + " ".join(f"WHEN regexp_matches(line, '{rule}') THEN '{reason}'" for rule, reason in p.LOCK_RULES) + " ELSE '' END"
+NL = "' || chr(10) || '"
+READS = (
+    (r"(?i)\[br\]", NL), (r"\[\*\s*\]", ""), (r"\[\*\s*([^\[\]]*?)\s*\]", r" (Note: \1)"), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", r"\2"), (r"\[\[([^\]]+)\]\]", r"\1"),
+    (r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1"), (r"\[https?://[^\]]+\]", ""), ("''" * 3, ""), ("''" * 2, ""), (r"\^\^", ""), ("~~", ""),
+    (r"(?m)^\s*\*\s?", "• "), (r"[ \t]+\n", NL), (r"\n{3,}", NL * 2), (r"^\s+|\s+$", ""),
+)
+PLAIN = "raw"
+for _p, _r in READS:
+    PLAIN = f"regexp_replace({PLAIN}, '{_p}', '{_r}', 'g')"
+
+
+@query("x23_editable_blocks", rf"""
+WITH {LINES}, n AS (SELECT *, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line_no) AS section, {LOCK} AS rule FROM h),
+d AS (SELECT *, sum(CASE WHEN is_heading THEN 0 ELSE delta END) OVER (PARTITION BY id, section ORDER BY line_no) AS depth FROM n),
+f AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY id ORDER BY line_no), 0) AS before FROM d),
+g AS (SELECT *, before > 0 OR rule <> '' AS protected, trim(line, ' ' || chr(9)) = '' AND before = 0 AS blank FROM f),
+b AS (SELECT *, NOT is_heading AND NOT blank AND coalesce(lag(is_heading) OVER w OR lag(blank) OVER w OR (before = 0 AND lag(protected) OVER w <> protected), true) AS fresh FROM g WINDOW w AS (PARTITION BY id ORDER BY line_no)),
+c AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY id, section ORDER BY line_no) AS nth FROM b),
+r AS (SELECT id, section, nth - 1 AS block, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\s+|\s+$', '', 'g') AS raw, first(before ORDER BY line_no) AS depth, coalesce(first(rule ORDER BY line_no) FILTER (WHERE rule <> ''), '') AS rule FROM c WHERE NOT is_heading AND NOT blank AND nth > 0 GROUP BY 1, 2, 3),
+x AS (SELECT id, section, block, CASE WHEN section = 0 THEN 'Document lead metadata' WHEN depth > 0 THEN 'Inside a protected wiki block' WHEN rule <> '' THEN rule WHEN raw = '' THEN 'Empty block' ELSE '' END AS lock, length({PLAIN}) AS n FROM r)
+SELECT id, CAST(section AS INT) AS section, CAST(block AS INT) AS block, CASE WHEN lock = '' AND n = 0 THEN 'Unsupported wiki syntax' ELSE lock END AS lock, lock = '' AND n > 0 AS editable, n FROM x""")
+def _(t):
+    return p.editable_blocks(t.wiki_docs, "id", "source_wikitext").select("id", "section", "block", "lock", "editable", F.length("plain").alias("n"))
+
+
 @query("w10_section_numbering", f"""
 WITH {LINES} SELECT id, line_no, is_heading, CAST(sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line_no) AS INT) AS section FROM h""")
 def _(t):

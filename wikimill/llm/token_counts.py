@@ -18,7 +18,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -30,7 +29,7 @@ from .common import document, map_batches, settle, stored
 SPACE = "▁"
 #: A run of spaces with what follows up to the next space, line feed or tab; spaces alone; or one line feed or tab.
 PRE_TOKEN = re.compile(r" *[^ \n\t]+| +|[\n\t]")
-HEAD = 2_000_000  # pre-tokens in the broadcast arrays, 13 bytes each
+HEAD = 1_000_000  # pre-tokens in the broadcast arrays, 16 bytes each
 FLUSH = 400_000  # distinct pre-tokens a task gathers before it hands them on
 
 
@@ -93,33 +92,31 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def encoded(counts: DataFrame, pieces: Pieces) -> DataFrame:
-    """Adds ``pieces``: each distinct pre-token is encoded once."""
+def hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits: a 64-bit sort key and 32 more to compare."""
+    whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in tokens), ">u8").reshape(-1, 2)
+    return whole[:, 0].astype(np.int64), (whole[:, 1] & 0x7FFFFFFF).astype(np.int32)
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {"token": batch.column("token"), "n": batch.column("n"), "pieces": pieces.count(batch.column("token").to_pylist())}
 
-    return map_batches(counts, run, "token string, n long, pieces int")
+def encoded(counts: DataFrame, pieces: Pieces) -> DataFrame:
+    """Adds ``pieces``, as each distinct pre-token is encoded once, and the hashes ``key`` and ``check``."""
 
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        tokens = batch.column("token").to_pylist()
+        key, check = hashes(tokens)
+        yield {"token": batch.column("token"), "n": batch.column("n"), "pieces": pieces.count(tokens), "key": key, "check": check}
 
-def hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits: a 64-bit sort key and 32 more to compare."""
-    whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in tokens), ">u8").reshape(-1, 2)
-    return whole[:, 0].astype(np.uint64), (whole[:, 1] & 0xFFFFFFFF).astype(np.uint32)
+    return map_batches(counts, run, "token string, n long, pieces int, key long, check int")
 
 
 @dataclass
 class Head:
+    """The frequent pre-tokens, sorted by key."""
+
     key: np.ndarray
     check: np.ndarray
     pieces: np.ndarray
 
-    @classmethod
-    def of(cls, frame: pd.DataFrame) -> Head:
-        key, check = hashes(frame["token"].tolist()) if len(frame) else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-        order = np.argsort(key)
-        return cls(key[order], check[order], frame["pieces"].to_numpy(np.uint16 if frame["pieces"].max() < 65536 else np.int64)[order] if len(frame) else np.zeros(0, np.uint16))
-
     def find(self, tokens: list[str]) -> np.ndarray:
         """Pieces of each token; 0 if it is not here."""
         if not len(self.key) or not tokens:
@@ -139,7 +136,10 @@ def head_of(table: DataFrame, size: int) -> tuple[Head, int]:
         if total > size:
             break
         least = row["n"]
-    return Head.of(table.where(F.col("n") >= least).select("token", "pieces").toPandas()), least
+    rows = table.where(F.col("n") >= least).select("key", "check", "pieces").toArrow()  # numbers only, no texts
+    key, check, pieces = (rows.column(i).to_numpy() for i in range(3))
+    order = np.argsort(key)
+    return Head(key[order], check[order], pieces[order]), least
 
 
 def token_counts(docs: DataFrame, pieces: Pieces, limit: int = 4096, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,6 +152,7 @@ def token_counts(docs: DataFrame, pieces: Pieces, limit: int = 4096, head: int =
     docs = document(docs, id_col, text_col)
     spark = docs.sparkSession
     table = stored(encoded(corpus_counts(docs), pieces), "pretoken")
+    settle(spark)
     top, least = head_of(table, head)
     shared = spark.sparkContext.broadcast(top)
     memo: dict[str, int] = {}

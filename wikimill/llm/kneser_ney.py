@@ -4,8 +4,9 @@ The model is a folder below the shared folder. All arrays are sorted and cut int
 
 - ``words``: 64-bit hashes of the training tokens; a token's number is its place. With counts, and with the number of distinct
   tokens before it.
-- ``pairs``: ``first * 2**32 + second`` of all bigrams, with counts; a shard holds a range of first tokens, and the totals and
-  the numbers of bigrams seen once, twice and more often of these.
+- ``pairs``: the second tokens of all bigrams, sorted within each first token, with counts (one byte; larger ones in a list of
+  their own). A shard holds a range of first tokens, where their seconds begin, and the totals and the numbers of bigrams seen
+  once, twice and more often of these.
 
 Tasks write shards to a temporary name and rename them, so a repeated task leaves the same files. The folder must be mounted by
 the executors (a ``file:`` path), as memory mapping needs it; anything else raises. Counts are summed inside tasks before the
@@ -36,7 +37,9 @@ from .common import document, map_batches, settle, stored, text_of
 from .words import NON_SPACE, U64, Words, word_chunks
 
 END = U64(0x1F83D9ABFB41BD6B)  # stands for the end token; word hashes are spread over all 64 bits
-GATHER = 4_000_000  # tokens a task sums up before it hands counts on
+GATHER = 3_000_000  # tokens a task sums up before it hands counts on
+ROWS = 100_000  # rows of an Arrow batch
+MANY = 255  # counts from here on do not fit into a byte
 SHARD_PAIRS = 2_000_000  # bigrams of a shard, about
 SHARD_WORDS = 1_000_000
 
@@ -81,9 +84,12 @@ def token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
             yield tokens_of(chunk)
 
 
-def summed(keys: list[np.ndarray]) -> pa.RecordBatch:
+def summed(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     key, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+    keys.clear()
+    for lo in range(0, len(key), ROWS):  # small batches, as both sides hold one in memory
+        part = [pa.array(key[lo:lo + ROWS].view(np.int64)), pa.array(n[lo:lo + ROWS].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(part, ["key", "n"])
 
 
 def gathered(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +98,10 @@ def gathered(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         held.append(keys)
         size += len(keys)
         if size >= GATHER:
-            yield summed(held)
+            yield from summed(held)
             held, size = [], 0
     if held:
-        yield summed(held)
+        yield from summed(held)
 
 
 @dataclass
@@ -147,10 +153,25 @@ class Model:
         shard = (keys >> 32) // self.width
         for i in np.unique(shard).tolist():
             lo, hi = np.searchsorted(shard, [i, i + 1])
-            have = load(f"{self.folder}/pairs", str(i), "key")
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
-                out[lo:hi] = np.where(have[at] == keys[lo:hi], load(f"{self.folder}/pairs", str(i), "n")[at], 0)
+            out[lo:hi] = self._counts(i, keys[lo:hi])
+        return out
+
+    def _counts(self, i: int, keys: np.ndarray) -> np.ndarray:
+        begin, second, n, many = (load(f"{self.folder}/pairs", str(i), x) for x in ("begin", "second", "n", "many"))
+        if not len(second):
+            return np.zeros(len(keys), np.int64)
+        first, want = (keys >> 32) - i * self.width, keys & 0xFFFFFFFF
+        lo, end = begin[first].astype(np.int64), begin[first + 1].astype(np.int64)
+        hi = end.copy()
+        while (open_ := lo < hi).any():  # binary search in all stretches at once
+            mid = (lo + hi) >> 1
+            less = open_ & (second[np.minimum(mid, len(second) - 1)] < want)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.where(open_ & ~less, mid, hi)
+        at = np.minimum(lo, len(second) - 1)
+        out = np.where((lo < end) & (second[at] == want), n[at], 0).astype(np.int64)
+        big = np.flatnonzero(out == MANY)
+        out[big] = many[np.searchsorted(many[:, 0], at[big]), 1]
         return out
 
     def of_firsts(self, ids: np.ndarray) -> np.ndarray:
@@ -244,6 +265,13 @@ def pair_keys(ids: np.ndarray, offs: np.ndarray, start: int) -> np.ndarray:
     return before << 32 | ids
 
 
+def save_pairs(folder: str, i: int, width: int, key: np.ndarray, n: np.ndarray, first: np.ndarray) -> None:
+    begin = np.searchsorted((key >> 32) - i * width, np.arange(width + 1))
+    big = np.flatnonzero(n >= MANY)
+    save(folder, str(i), begin=begin.astype(np.uint32 if len(key) < 2**32 else np.int64), second=(key & 0xFFFFFFFF).astype(np.uint32),
+         n=np.minimum(n, MANY).astype(np.uint8), many=np.stack([big, n[big]], 1), first=first.astype(np.uint32 if first.max(initial=0) < 2**32 else np.int64))
+
+
 def write_pairs(train: DataFrame, model: Model) -> None:
     spark, shared = train.sparkSession, train.sparkSession.sparkContext.broadcast(model)
 
@@ -274,10 +302,12 @@ def write_pairs(train: DataFrame, model: Model) -> None:
             first[:, 0] = np.bincount(at, n, width)
             for k in (1, 2, 3):
                 first[:, k] = np.bincount(at[n == k if k < 3 else n >= 3], minlength=width)
-            save(folder, str(i), key=key, n=n.astype(np.uint32 if n.max() < 2**32 else np.int64), first=first.astype(np.uint32 if first.max() < 2**32 else np.int64))
+            save_pairs(folder, i, width, key, n, first)
             second, before = np.unique(key & 0xFFFFFFFF, return_counts=True)
             seen = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
-            yield pa.RecordBatch.from_arrays([pa.array(second), pa.array(before.astype(np.int64)), pa.nulls(len(second), pa.list_(pa.int64()))], ["key", "n", "seen"])
+            for lo in range(0, len(second), ROWS):
+                part = [pa.array(second[lo:lo + ROWS]), pa.array(before[lo:lo + ROWS].astype(np.int64)), pa.nulls(len(second[lo:lo + ROWS]), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(part, ["key", "n", "seen"])
             yield pa.RecordBatch.from_pydict({"key": pa.array([-1], pa.int64()), "n": pa.array([len(key)], pa.int64()), "seen": pa.array([seen.tolist()], pa.list_(pa.int64()))})
 
     # One pass writes the shards and hands on what the lower order needs; its rows are kept, so the pass runs once.
@@ -287,7 +317,7 @@ def write_pairs(train: DataFrame, model: Model) -> None:
     model.bigrams = int(total["n"])
     for i in range(-(-model.vocabulary // width)):  # a range of firsts without any bigram
         if not os.path.exists(f"{folder}/{i}.first.npy"):
-            save(folder, str(i), key=np.zeros(0, np.int64), n=np.zeros(0, np.uint32), first=np.zeros((width, 4), np.uint32))
+            save_pairs(folder, i, width, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((width, 4), np.int64))
     settle(spark)
     write_lower(out.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), model)
 

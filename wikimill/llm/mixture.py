@@ -156,7 +156,10 @@ def source_plan(docs: DataFrame, mix: Mix) -> list[Source]:
 
 
 def slots(spark, plan: list[Source], mix: Mix) -> DataFrame:
-    """``shard, slot, s (number of the source), block`` of the whole mix; every shard works out its own part."""
+    """``shard, slot, s (number of the source), block`` of the whole mix; every shard works out its own part.
+
+    The planner takes the table for as small as the list of shards, so it is marked against being broadcast.
+    """
     quota, blocks = np.array([p.quota for p in plan], np.int64), [p.blocks for p in plan]
     shards = max(1, -(-int(quota.sum()) // mix.shard_blocks))
 
@@ -177,7 +180,7 @@ def slots(spark, plan: list[Source], mix: Mix) -> DataFrame:
     if not quota.sum():
         return spark.createDataFrame([], "shard long, slot long, s int, block long")
     tasks = max(1, min(shards, -(-shards // 64)))
-    return spark.range(0, shards, 1, tasks).mapInPandas(draw, "shard long, slot long, s int, block long")
+    return spark.range(0, shards, 1, tasks).mapInPandas(draw, "shard long, slot long, s int, block long").hint("merge")
 
 
 def numbered(docs: DataFrame, plan: list[Source]) -> DataFrame:
@@ -210,10 +213,10 @@ def mix_counts(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_c
     d = stored(positions(sized(docs, id_col, text_col, source_col)), "mix")
     plan = source_plan(d, mix)
     d = stored(numbered(d, plan).withColumn("row", F.monotonically_increasing_id()), "mix")  # stored: the row numbers hold from now on
-    drawn = slots(spark, plan, mix).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
+    drawn = slots(spark, plan, mix).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     part = pieces(d, mix.block_words).select("row", "s", "block", "words").join(drawn, ["s", "block"])
     taken = part.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = d.join(taken, "row", "left")
+    out = d.join(taken.hint("merge"), "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

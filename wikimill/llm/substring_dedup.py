@@ -98,8 +98,9 @@ def factor_windows(docs: DataFrame, spans: Spans) -> DataFrame:
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that documents with different ids have, and the least of these ids (null is below all)."""
-    ends = rows.groupBy(*keys).agg(F.min(F.struct("doc_id")).alias("m"), F.max(F.struct("doc_id")).alias("x"))
-    return ends.where("not m <=> x").select(*keys, F.col("m.doc_id").alias("least"))
+    i, absent = F.col("doc_id"), F.max(F.col("doc_id").isNull().cast("int"))
+    ends = rows.groupBy(*keys).agg(F.min(i).alias("m"), F.max(i).alias("x"), absent.alias("z"))
+    return ends.where("m <> x or z = 1 and m is not null").select(*keys, F.when(F.col("z") == 0, F.col("m")).alias("least"))
 
 
 def renamed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,13 +127,14 @@ def removed_words(docs: DataFrame, spans: Spans = Spans(), id_col: str = "doc_id
     copies = stored(index.select(*row, "seq").join(first, "seq").where("not doc_id <=> least").select(*row).distinct(), "copy")
     parsed = index.where(F.size("blocks") > 0).select(*row, "blocks").join(renamed(copies, row), same_row(row), "left_anti")
     entries = parsed.distinct().select(*row, F.explode_outer("blocks").alias("h"))
-    shared = entries.join(repeated(entries, ["h"]).select("h"), "h").groupBy(*row).agg(F.collect_set("h").alias("shared"))
+    hot = stored(repeated(entries, ["h"]).select("h"), "repeated")  # stored, so that the join back can split hot keys
+    shared = entries.join(hot, "h").groupBy(*row).agg(F.collect_set("h").alias("shared"))
     shared = stored(shared, "shared")
     settle(spark)
     with_blocks = docs.join(renamed(shared, row), same_row(row)).select(*row, "text", "shared")
     windows = stored(factor_windows(with_blocks, spans), "window")
     settle(spark)
-    least = repeated(windows, ["a", "b"]).select("a", "b", "least")
+    least = stored(repeated(windows, ["a", "b"]), "repeated")
     hits = windows.join(least, ["a", "b"]).where("doc_id > least or least is null and doc_id is not null")
     found = hits.groupBy(*row).agg(F.collect_set("start").alias("starts")).withColumn("copied", F.lit(False))
     found = found.unionByName(copies.withColumn("starts", F.array().cast("array<int>")).withColumn("copied", F.lit(True)))

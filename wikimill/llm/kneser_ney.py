@@ -37,7 +37,7 @@ from .common import document, map_batches, settle, stored, text_of
 from .words import NON_SPACE, U64, Words, word_chunks
 
 END = U64(0x1F83D9ABFB41BD6B)  # stands for the end token; word hashes are spread over all 64 bits
-GATHER = 3_000_000  # tokens a task sums up before it hands counts on
+GATHER = 2_000_000  # tokens a task sums up before it hands counts on
 ROWS = 100_000  # rows of an Arrow batch
 MANY = 255  # counts from here on do not fit into a byte
 SHARD_PAIRS = 2_000_000  # bigrams of a shard, about
@@ -85,8 +85,13 @@ def token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
 
 
 def summed(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    key = np.concatenate(keys)
     keys.clear()
+    key.sort()  # in place, as memory is what two tasks of an executor share
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(cut, append=len(key))
+    key = key[cut]
+    del cut
     for lo in range(0, len(key), ROWS):  # small batches, as both sides hold one in memory
         part = [pa.array(key[lo:lo + ROWS].view(np.int64)), pa.array(n[lo:lo + ROWS].astype(np.int64))]
         yield pa.RecordBatch.from_arrays(part, ["key", "n"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, work_path
 
-__all__ = ["cut_lineage", "stored", "map_batches", "text_of", "document", "free_name", "read", "settle"]
+__all__ = ["cut_lineage", "stored", "map_batches", "map_groups", "text_of", "document", "free_name", "read", "settle"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,5 +62,48 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+    """``fn`` on every group of rows with equal keys (columns as lists), for groups of bounded size.
+
+    Groups of a partition follow each other in its sorted rows, so one group is held at a time, and small groups cost little.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        out: dict[str, list] = {f.name: [] for f in target}
+
+        def close() -> None:
+            for name, values in fn(held).items():
+                out[name].extend(values)
+
+        for batch in batches:
+            cols = batch.to_pydict()
+            at = list(zip(*(cols[k] for k in keys), strict=True))
+            lo = 0
+            for i in range(1, len(at) + 1):
+                if i < len(at) and at[i] == at[lo]:
+                    continue
+                part = {k: v[lo:i] for k, v in cols.items()}
+                if held is not None and at[lo] == now:
+                    for k, v in part.items():
+                        held[k].extend(v)
+                else:
+                    if held is not None:
+                        close()
+                    now, held = at[lo], part
+                lo = i
+            if out and len(next(iter(out.values()))) > 10_000:
+                yield to_batch(out, target)
+                out = {f.name: [] for f in target}
+        if held is not None:
+            close()
+            yield to_batch(out, target)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def to_batch(cols: dict, target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := cols[f.name], pa.Array) and c.type == f.type else (c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)) for f in target], schema=target)

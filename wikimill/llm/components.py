@@ -12,32 +12,28 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, settle
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links every neighbour ``v`` of ``u`` (the larger ones, or those not larger) with the least node around ``u``."""
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links every larger neighbour ``v`` of ``u`` with the least node around ``u`` (itself included)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if large:
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        down = both.where("v < u")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+
+
+def _small_star(down: DataFrame) -> DataFrame:
+    """Links ``u`` and its smaller neighbours ``v`` with the least of them."""
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     """``node, component`` (the least node of the component) for every node that has a link. Nulls and loops are left out."""
     spark = edges.sparkSession
-    e = cut_lineage(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v").distinct())
-    before = None
-    while True:
-        now = cut_lineage(_star(_star(e, True), False))
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = now
+    e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
+    e = cut_lineage(e.distinct())
+    # Done when every node with a smaller neighbour has one only, and that one has none.
+    while not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or not e.groupBy("u").count().where("count > 1").isEmpty():
+        e = cut_lineage(_small_star(cut_lineage(_large_star(e))))
         settle(spark)
-        if state == before:
-            break
-        before = state
     tails = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return tails.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -7,8 +7,8 @@
    different coordinates and are independent, which gives the recall (``recall_of``).
 3. A small node is compared exhaustively on 8-bit sketches. A node that stays large is cut into blocks of half the limit and all
    pairs of blocks are compared, each in its own task: nothing is capped. What may be linked is kept as groups, not as pairs.
-4. Equal groups of different trees are one. Their classes get the full sets, and links are confirmed exactly on them; inside a
-   group, classes that are connected already are not compared again, so a group yields fewer links than it has classes.
+4. Equal groups of different trees are one. Their classes get the full sets, and links are confirmed exactly on them; what they
+   connect inside a group is kept as stars, so a group yields fewer links than it has classes.
 5. Connected components of the confirmed links give the result.
 """
 
@@ -17,14 +17,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import cycle
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import document, free_name, map_batches, settle, stored
+from .common import document, free_name, map_batches, map_groups, settle, stored
 from .components import components
 from .words import NON_SPACE, U64, Words, mix, window_hashes, window_starts, word_chunks
 
@@ -86,7 +86,8 @@ def min_hashes(sets: np.ndarray, offs: np.ndarray, n: int, seed: int) -> np.ndar
 
 
 def signatures(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``doc_id, n_shingles, cls, signature`` per input row; ``cls`` (null for an empty set) tells equal sets."""
+    """``doc_id, n_shingles, cls, signature, sketch`` per input row; ``cls`` (null for an empty set) tells equal sets, the sketch
+    has one byte of each MinHash value."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for chunk in word_chunks(batch.column("text"), NON_SPACE, True):
@@ -94,38 +95,55 @@ def signatures(docs: DataFrame, trees: Trees) -> DataFrame:
             sig = min_hashes(sets, offs, trees.coordinates, trees.seed)
             size = np.diff(offs)
             cls = [class_of(sets[offs[i]:offs[i + 1]]) for i in range(len(size))]
-            yield {"doc_id": batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo), "n_shingles": size, "cls": cls, "signature": [s.tobytes() for s in sig]}
+            yield {"doc_id": batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo), "n_shingles": size, "cls": cls, "signature": [s.tobytes() for s in sig], "sketch": [s.tobytes() for s in sig.astype(np.uint8)]}
 
-    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls string, signature binary")
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls string, signature binary, sketch binary")
 
 
-def coordinate(column: str, i: Column) -> Column:
-    return F.substring(column, (i * 4 + 1).cast("int"), F.lit(4))
+def coordinate(column: str, i: int) -> Column:
+    return F.substring(column, 4 * i + 1, 4)
 
 
 def nodes(classes: DataFrame, trees: Trees) -> DataFrame:
-    """``node, part, cls, n_shingles, signature``: the nodes (or pairs of blocks of them) to be compared."""
-    order = np.random.default_rng(trees.seed + 1).permutation(trees.coordinates).tolist()
-    roots = F.array(*(F.xxhash64(F.lit(t), coordinate("signature", F.lit(order[t % len(order)]))) for t in range(trees.trees)))
-    rows, done = classes.select("cls", "n_shingles", "signature", F.explode(roots).alias("node")), None
-    for level in range(trees.depth + 1):
+    """``node, part, cls, n_shingles, sketch``: the nodes (or pairs of blocks of them) to be compared.
+
+    A row carries, for its tree, the MinHash values of the branches further down: for each branch the value at its own
+    coordinate and then the values of the branches below it.
+    """
+    coordinates = cycle(np.random.default_rng(trees.seed + 1).permutation(trees.coordinates).tolist())
+
+    def width(depth: int) -> int:
+        return 4 + trees.branches * width(depth - 1) if depth else 0
+
+    def root(t: int) -> Column:
+        below = [coordinate("signature", next(coordinates)) for _ in range(trees.branches * width(trees.depth) // 4)]
+        return F.struct(F.xxhash64(F.lit(t), coordinate("signature", next(coordinates))).alias("node"), F.concat(*below, F.lit(b"")).alias("below"))
+
+    carried = ["cls", "n_shingles", "sketch"]
+    rows = classes.select(*carried, F.explode(F.array(*map(root, range(trees.trees)))).alias("r")).select(*carried, "r.node", "r.below")
+    done = None
+    for depth in range(trees.depth, -1, -1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         rows = rows.join(sizes, "node")
-        small = rows.where(F.col("members") <= trees.node_limit).withColumn("part", F.lit("")).drop("members")
+        small = rows.where(F.col("members") <= trees.node_limit).select(*carried, "node", F.lit("").alias("part"))
         done = small if done is None else done.unionByName(small)
         large = rows.where(F.col("members") > trees.node_limit)
-        if level < trees.depth:
-            # Each node draws its own further coordinates.
-            drawn = (F.pmod(F.xxhash64("node", F.lit(level), F.lit(b)), F.lit(trees.coordinates)) for b in range(trees.branches))
-            child = F.explode(F.array(*(F.xxhash64("node", F.lit(b), coordinate("signature", c)) for b, c in enumerate(drawn))))
-            rows = stored(large.select("cls", "n_shingles", "signature", child.alias("node")), "node")
+        if depth:
+            w = width(depth)
+
+            def branch(b: int, w: int = w) -> Column:
+                value, rest = F.substring("below", b * w + 1, 4), F.substring("below", b * w + 5, w - 4)
+                return F.struct(F.xxhash64("node", F.lit(b), value).alias("node"), rest.alias("below"))
+
+            child = F.explode(F.array(*map(branch, range(trees.branches)))).alias("r")
+            rows = stored(large.select(*carried, child).select(*carried, "r.node", "r.below"), "node")
         else:
             # What stays large: blocks of half the limit, and every pair of blocks is a node of its own.
             half = max(1, trees.node_limit // 2)
             blocks = F.ceil(F.col("members") / half).cast("int")
             block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
             pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.concat_ws("-", F.least(o, block), F.greatest(o, block)))
-            done = done.unionByName(large.select("cls", "n_shingles", "signature", "node", F.explode(pairs).alias("part")))
+            done = done.unionByName(large.select(*carried, "node", F.explode(pairs).alias("part")))
     return done
 
 
@@ -145,53 +163,67 @@ class Groups:
         self.up[max(i, j)] = min(i, j)
         return i != j
 
+    def groups(self) -> list[list[int]]:
+        """Groups of two and more, each in order."""
+        by: dict[int, list[int]] = {}
+        for i in range(len(self.up)):
+            by.setdefault(self.root(i), []).append(i)
+        return [g for g in by.values() if len(g) > 1]
+
 
 def loose_groups(members: DataFrame, trees: Trees) -> DataFrame:
     """``grp, cls``: classes of a node that the sketches connect. ``grp`` is a digest of the members."""
-    least = trees.least_agreement
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("cls").sort_values("cls")
-        sketch = np.stack([np.frombuffer(s, np.uint8)[::4] for s in frame["signature"]])
-        size = frame["n_shingles"].to_numpy()
-        found = Groups(len(frame))
-        for i in range(len(frame) - 1):
+    least, percent = trees.least_agreement, trees.percent
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        order = sorted(range(len(rows["cls"])), key=rows["cls"].__getitem__)
+        cls = [rows["cls"][i] for i in order]
+        sketch = np.frombuffer(b"".join(rows["sketch"][i] for i in order), np.uint8).reshape(len(cls), -1)
+        size = np.array([rows["n_shingles"][i] for i in order])
+        found = Groups(len(cls))
+        for i in range(len(cls) - 1):
             near = (sketch[i + 1:] == sketch[i]).sum(1) >= least
-            near &= (100 * np.minimum(size[i + 1:], size[i]) >= trees.percent * np.maximum(size[i + 1:], size[i]))
+            near &= 100 * np.minimum(size[i + 1:], size[i]) >= percent * np.maximum(size[i + 1:], size[i])
             for j in np.flatnonzero(near).tolist():
                 found.join(i, i + 1 + j)
-        cls = frame["cls"].to_numpy()
-        by: dict[int, list[str]] = {}
-        for i in range(len(frame)):
-            by.setdefault(found.root(i), []).append(cls[i])
-        out = [(hashlib.blake2b("".join(g).encode(), digest_size=16).hexdigest(), c) for g in by.values() if len(g) > 1 for c in g]
-        return pd.DataFrame(out, columns=["grp", "cls"])
+        groups = [[cls[i] for i in g] for g in found.groups()]
+        names = [hashlib.blake2b("".join(g).encode(), digest_size=16).hexdigest() for g in groups]
+        return {"grp": [n for n, g in zip(names, groups, strict=True) for _ in g], "cls": [c for g in groups for c in g]}
 
-    return members.groupBy("node", "part").applyInPandas(run, "grp string, cls string").distinct()
+    return map_groups(members, ["node", "part"], run, "grp string, cls string").distinct()
 
 
 def confirmed_links(groups: DataFrame, sets: DataFrame, trees: Trees) -> DataFrame:
-    """``a, b``: links confirmed on the full sets, as a forest of each group."""
+    """``a, b``: links confirmed on the full sets; what they connect inside a group is given as stars."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("cls").sort_values("cls")
-        cls, all_sets = frame["cls"].tolist(), [np.frombuffer(s, U64) for s in frame["shingles"]]
+    percent = trees.percent
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        order = sorted(range(len(rows["cls"])), key=rows["cls"].__getitem__)
+        cls, all_sets = [rows["cls"][i] for i in order], [np.frombuffer(rows["shingles"][i], U64) for i in order]
         size = np.array([len(s) for s in all_sets])
-        owner = np.repeat(np.arange(len(size)), size)
-        flat = np.concatenate(all_sets)
-        order = np.argsort(flat, kind="stable")
-        value, owner = flat[order], owner[order]
-        found, out = Groups(len(size)), []
-        for i in range(len(size) - 1):
-            lo, hi = np.searchsorted(value, all_sets[i], "left"), np.searchsorted(value, all_sets[i], "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(size))
-            linked = 100 * common >= trees.percent * (size + size[i] - common)
-            out += [(cls[i], cls[j]) for j in np.flatnonzero(linked).tolist() if j > i and found.join(i, j)]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return groups.join(sets, "cls").groupBy("grp").applyInPandas(run, "a string, b string")
+        found = Groups(len(cls))
+        if len(cls) == 2:
+            common = len(np.intersect1d(*all_sets, assume_unique=True))
+            if 100 * common >= percent * (size.sum() - common):
+                found.join(0, 1)
+        else:
+            flat = np.concatenate(all_sets)
+            by_value = np.argsort(flat, kind="stable")
+            value, owner = flat[by_value], np.repeat(np.arange(len(size)), size)[by_value]
+            for i in range(len(cls) - 1):
+                lo, hi = np.searchsorted(value, all_sets[i], "left"), np.searchsorted(value, all_sets[i], "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(size))
+                for j in np.flatnonzero(100 * common >= percent * (size + size[i] - common)).tolist():
+                    if j > i:
+                        found.join(i, j)
+        # every group of linked classes as a star around its least one
+        groups = found.groups()
+        return {"a": [cls[g[0]] for g in groups for _ in g[1:]], "b": [cls[i] for g in groups for i in g[1:]]}
+
+    return map_groups(groups.join(sets, "cls").select("grp", "cls", "shingles"), ["grp"], run, "a string, b string")
 
 
 def class_of(members: np.ndarray) -> str | None:
@@ -221,7 +253,7 @@ def near_duplicates(docs: DataFrame, trees: Trees = Trees(), id_col: str = "doc_
     """
     docs = document(docs, id_col, text_col)
     rows = stored(signatures(docs, trees), "signature")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     groups = stored(loose_groups(nodes(stored(classes, "class"), trees), trees), "group")
     settle(docs.sparkSession)
     # One text of every class that may have a link; only those are read as full sets. Other texts with the same id are sets

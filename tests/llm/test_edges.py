@@ -110,6 +110,12 @@ def test_decontamination_with_edits(spark):
     assert decontaminate.recall_of(decontaminate.Plan(), 30, 4) >= 0.98
 
 
+@pytest.mark.parametrize("n", [5, 6, 14, 15, 16, 62, 63, 70, 80, 255])
+def test_recall_at_the_greatest_number_of_edits(n):
+    plan = decontaminate.Plan()
+    assert decontaminate.recall_of(plan, n, n // 5, 100 if n < 100 else 30) >= 0.97
+
+
 def test_fit_distance_is_the_edit_distance():
     rng = np.random.default_rng(0)
     for _ in range(150):

@@ -1,8 +1,8 @@
 """Benchmark decontamination: find passages of benchmark items in documents, allowing for edits.
 
-1. An item of ``n`` words is looked for by windows of its size class: ``w`` words, with windows beginning at every ``w // 3``-th
-   word of a document and at every word of the item. ``w + w // 3 - 1 <= n``, so some document window lies at the same place of
-   the passage as an item window does.
+1. An item is looked for by windows of at most ``LARGEST`` words, beginning at every ``STRIDE``-th word of a document and at
+   every word of the item. Edits make the walks of longer windows part for good, so long items have more windows, not longer
+   ones. A passage that lost as many words as it may still holds a whole document window (see ``size_of``).
 2. The CGK random walk reads a window word by word for ``3 * w`` steps; in each step a random function of the step and the
    word under the pointer says whether the pointer moves on. Few edits leave most of the two walks the same, so edit distance
    becomes Hamming distance.
@@ -28,7 +28,8 @@ from .words import U64, WORD_LIKE, Words, mix, window_starts, word_chunks
 
 STEPS = 1.5  # steps that are sampled, in windows: a walk of 3 windows has mostly run off its window after them
 ITEM_BLOCK_WORDS = 200_000  # words of items that one pass over the documents takes along, about 250 bytes each in the index
-SMALLEST = 12  # words of the smallest regular size class
+LARGEST = 11  # words of a window; items of 14 words and more are one class
+STRIDE = 2  # words between the beginnings of document windows
 SCHEMA = "doc_id long, item_id long, start long, n_words long, distance long"
 
 
@@ -53,21 +54,24 @@ class SizeClass:
     at: list[np.ndarray] = field(default_factory=list)
 
 
-def size_of(n: int) -> tuple[int, int]:
-    """Window size and stride for an item of ``n`` words: 12, 48, 192, … words; fewer for shorter items."""
-    w = SMALLEST
-    while 4 * w + 4 * w // 3 - 1 <= n:
-        w *= 4
-    if w + w // 3 - 1 <= n:
-        return w, w // 3
-    w = max(1, 3 * (n + 1) // 4)
-    return w, max(1, n - w + 1)
+def size_of(n: int, most: int) -> tuple[int, int]:
+    """Window size and stride for an item of ``n`` words and at most ``most`` edits; ``w + stride - 1 <= n - most``."""
+    if not most:  # only verbatim passages: longer windows are met by chance less often
+        w = min(LARGEST, max(1, 3 * (n + 1) // 4))
+        return w, max(1, min(STRIDE, n - w + 1))
+    w = max(1, min(LARGEST, n - most - STRIDE + 1))
+    return w, max(1, min(STRIDE, n - most - w + 1))
+
+
+def edits_of(n: int, plan: Plan) -> int:
+    return int((1 - plan.similarity) * n + 1e-9)
 
 
 def sampled_steps(w: int, rep: int, plan: Plan) -> np.ndarray:
     rng = np.random.default_rng([plan.seed, w, rep])
     steps = max(1, int(STEPS * w))
-    return np.sort(rng.choice(steps, min(plan.samples, steps), replace=False))
+    # a short window has few steps that edits leave alone, so fewer of them must agree
+    return np.sort(rng.choice(steps, min(plan.samples, 3 + w // 6, steps), replace=False))
 
 
 def walk_samples(h: np.ndarray, starts: np.ndarray, w: int, rep: int, plan: Plan) -> np.ndarray:
@@ -126,7 +130,7 @@ class ItemIndex:
         by_size: dict[tuple[int, int], list[int]] = {}
         for i, h in enumerate(words):
             if len(h):
-                by_size.setdefault(size_of(len(h)), []).append(i)
+                by_size.setdefault(size_of(len(h), edits_of(len(h), plan)), []).append(i)
         for (w, stride), members in by_size.items():
             cls = SizeClass(w, stride)
             flat = np.concatenate([words[i] for i in members])
@@ -173,8 +177,8 @@ class ItemIndex:
         done: dict[tuple[int, int], int] = {}
         for text, item, at in rows.tolist():
             word = self.words[item]
-            most = int((1 - self.plan.similarity) * len(word) + 1e-9)
-            if done.get((text, item), -1) >= at and (text, item) in best:
+            most = edits_of(len(word), self.plan)
+            if done.get((text, item), at - 1) >= at:
                 continue  # the stretch that was searched holds this place as well
             a, b = int(chunk.offsets[text]), int(chunk.offsets[text + 1])
             lo = max(a, a + at - most)

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, and plain versions on random tables."""
 
 import collections
+import glob
 import hashlib
 import random
 
@@ -298,3 +299,16 @@ def test_spans_against_a_plain_version(spark):
             gone = {p + j for p in range(len(ws) - 9) if first[tuple(ws[p:p + 10])] < i for j in range(10)}
             want[(i, len(ws), len(gone), " ".join(w for p, w in enumerate(ws) if p not in gone))] += 1
         assert got == want
+
+
+def test_a_frequent_first_token_spans_several_shards(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"the w{rng.randrange(4000)}" for _ in range(100)) + f" {prose(rng, 30)}") for i in range(60)]
+    df = table(spark, rows)
+    want = {r.doc_id: r.score for r in kneser_ney.score(df, kneser_ney.train(df)).collect()}
+    monkeypatch.setattr(kneser_ney, "SHARD_PAIRS", 300)
+    model = kneser_ney.train(df)
+    sizes = [len(np.load(p)) for p in glob.glob(f"{model.folder}/pairs/*.second.npy")]
+    assert sum(sizes) == model.bigrams and max(sizes) <= 2 * 300
+    got = {r.doc_id: r.score for r in kneser_ney.score(df, model).collect()}
+    assert got == pytest.approx(want)

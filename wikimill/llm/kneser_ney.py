@@ -6,7 +6,8 @@ The model is a folder below the shared folder. All arrays are sorted and cut int
   tokens before it.
 - ``pairs``: the second tokens of all bigrams, sorted within each first token, with counts (one byte; larger ones in a list of
   their own). A shard holds a range of first tokens, where their seconds begin, and the totals and the numbers of bigrams seen
-  once, twice and more often of these.
+  once, twice and more often of these. The ranges follow the counts of the first tokens; a first token that alone is more than a
+  shard is cut into ranges of second tokens, and its first shard has the totals of all of them.
 
 Tasks write shards to a temporary name and rename them, so a repeated task leaves the same files. The folder must be mounted by
 the executors (a ``file:`` path), as memory mapping needs it; anything else raises. Counts are summed inside tasks before the
@@ -40,7 +41,7 @@ END = U64(0x1F83D9ABFB41BD6B)  # stands for the end token; word hashes are sprea
 GATHER = 2_000_000  # tokens a task sums up before it hands counts on
 ROWS = 100_000  # rows of an Arrow batch
 MANY = 255  # counts from here on do not fit into a byte
-SHARD_PAIRS = 2_000_000  # bigrams of a shard, about
+SHARD_PAIRS = 2_000_000  # tokens, and so bigrams, of a shard, about; twice as many at most unless a first token is cut
 SHARD_WORDS = 1_000_000
 
 
@@ -116,7 +117,7 @@ class Model:
     folder: str
     word_first: list[int] = field(default_factory=list)  # the first hash of each word shard
     word_base: list[int] = field(default_factory=list)  # the number of its first token
-    width: int = 1  # first tokens of a pair shard
+    pair_first: list[int] = field(default_factory=list)  # the least bigram of each pair shard, as first * 2**32 + second
     tokens: int = 0
     vocabulary: int = 0
     pair_discount: tuple[float, ...] = (0.0,) * 4
@@ -152,10 +153,19 @@ class Model:
             out[lo:hi] = load(f"{self.folder}/lower", str(i), "n")[ids[lo:hi] - i * SHARD_WORDS]
         return out
 
+    def pair_shard(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.array(self.pair_first, np.int64), keys, "right") - 1
+
+    def firsts_of(self, i: int) -> tuple[int, int, bool]:
+        """Of a pair shard: its least first token, how many it holds, and whether another shard has the same one."""
+        here, after = self.pair_first[i], self.pair_first[i + 1] if i + 1 < len(self.pair_first) else self.vocabulary << 32
+        low = here >> 32
+        return low, ((after - 1) >> 32) - low + 1, here & 0xFFFFFFFF > 0 or after >> 32 == low
+
     def of_pairs(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct pairs of known tokens."""
         out = np.zeros(len(keys), np.int64)
-        shard = (keys >> 32) // self.width
+        shard = self.pair_shard(keys)
         for i in np.unique(shard).tolist():
             lo, hi = np.searchsorted(shard, [i, i + 1])
             out[lo:hi] = self._counts(i, keys[lo:hi])
@@ -165,7 +175,7 @@ class Model:
         begin, second, n, many = (load(f"{self.folder}/pairs", str(i), x) for x in ("begin", "second", "n", "many"))
         if not len(second):
             return np.zeros(len(keys), np.int64)
-        first, want = (keys >> 32) - i * self.width, keys & 0xFFFFFFFF
+        first, want = (keys >> 32) - self.firsts_of(i)[0], keys & 0xFFFFFFFF
         lo, end = begin[first].astype(np.int64), begin[first + 1].astype(np.int64)
         hi = end.copy()
         while (open_ := lo < hi).any():  # binary search in all stretches at once
@@ -182,10 +192,10 @@ class Model:
     def of_firsts(self, ids: np.ndarray) -> np.ndarray:
         """Rows (total, seen once, twice, more often) of the bigrams that begin with the sorted tokens."""
         out = np.zeros((len(ids), 4), np.int64)
-        shard = ids // self.width
+        shard = self.pair_shard(ids << 32)
         for i in np.unique(shard).tolist():
             lo, hi = np.searchsorted(shard, [i, i + 1])
-            out[lo:hi] = load(f"{self.folder}/pairs", str(i), "first")[ids[lo:hi] - i * self.width]
+            out[lo:hi] = load(f"{self.folder}/pairs", str(i), "first")[ids[lo:hi] - self.firsts_of(i)[0]]
         return out
 
 
@@ -203,6 +213,17 @@ def discounted(n: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
     return n - np.array(d)[np.minimum(n, 3)]
 
 
+def borders(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens at which pair shards begin, from the counts of the tokens, and into how many shards each of them is cut."""
+    hot = n > most
+    part = np.cumsum(np.where(hot, 0, n)) // most
+    begins = np.diff(part, prepend=-1) > 0
+    begins |= hot
+    begins[1:] |= hot[:-1]
+    at = np.flatnonzero(begins)
+    return at, np.where(hot[at], -(-n[at] // most), 1)
+
+
 def write_words(counts: DataFrame, model: Model) -> None:
     """Word shards: hash ranges of equal width, as hashes are even."""
     total = counts.count()
@@ -210,24 +231,30 @@ def write_words(counts: DataFrame, model: Model) -> None:
     unsigned = F.col("key").bitwiseXOR(F.lit(-(2**63)))  # order as unsigned
     shard = F.floor((unsigned / F.lit(2.0**64) + F.lit(0.5)) * shards)
     shard = F.least(F.greatest(shard, F.lit(0)), F.lit(shards - 1)).cast("int")
-    folder = f"{model.folder}/words"
+    folder, most = f"{model.folder}/words", SHARD_PAIRS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, key, n in by_shard(batches):
             key = key.view(U64)
             save(folder, str(i), hash=key, n=n)
-            yield pa.RecordBatch.from_pydict({"shard": [i], "first": [str(key[0])], "words": [len(key)], "tokens": [int(n.sum())]})
+            at, parts = borders(n, most)
+            yield pa.RecordBatch.from_pydict({"shard": [i], "first": [str(key[0])], "words": [len(key)], "tokens": [int(n.sum())], "at": [at.tolist()], "parts": [parts.tolist()]})
 
-    rows = sorted_shards(counts.withColumn("shard", shard).withColumn("order", unsigned), shards).mapInArrow(run, "shard long, first string, words long, tokens long").collect()
-    rows = sorted(rows, key=lambda r: r["shard"])
+    rows = sorted_shards(counts.withColumn("shard", shard).withColumn("order", unsigned), shards).mapInArrow(run, "shard long, first string, words long, tokens long, at array<long>, parts array<long>").collect()
+    rows, cuts = sorted(rows, key=lambda r: r["shard"]), []
     for i, r in enumerate(rows):  # shards may be empty only if there are few words
         if r["shard"] != i:
             for name in ("hash", "n"):
                 os.replace(f"{folder}/{r['shard']}.{name}.npy", f"{folder}/{i}.{name}.npy")
         model.word_first.append(int(r["first"]))
         model.word_base.append(model.vocabulary)
+        cuts += [(model.vocabulary + a, k) for a, k in zip(r["at"], r["parts"], strict=True)]
         model.vocabulary += r["words"]
         model.tokens += r["tokens"]
+    # Numbers are in the order of hashes, so ranges of equal width hold like numbers of second tokens.
+    for a, k in cuts:
+        k = min(k, model.vocabulary)
+        model.pair_first += [a << 32 | j * model.vocabulary // k for j in range(k)]
 
 
 def sorted_shards(rows: DataFrame, shards: int) -> DataFrame:
@@ -270,11 +297,15 @@ def pair_keys(ids: np.ndarray, offs: np.ndarray, start: int) -> np.ndarray:
     return before << 32 | ids
 
 
-def save_pairs(folder: str, i: int, width: int, key: np.ndarray, n: np.ndarray, first: np.ndarray) -> None:
-    begin = np.searchsorted((key >> 32) - i * width, np.arange(width + 1))
+def save_pairs(folder: str, i: int, low: int, key: np.ndarray, n: np.ndarray, first: np.ndarray) -> None:
+    begin = np.searchsorted((key >> 32) - low, np.arange(len(first) + 1))
     big = np.flatnonzero(n >= MANY)
     save(folder, str(i), begin=begin.astype(np.uint32 if len(key) < 2**32 else np.int64), second=(key & 0xFFFFFFFF).astype(np.uint32),
-         n=np.minimum(n, MANY).astype(np.uint8), many=np.stack([big, n[big]], 1), first=first.astype(np.uint32 if first.max(initial=0) < 2**32 else np.int64))
+         n=np.minimum(n, MANY).astype(np.uint8), many=np.stack([big, n[big]], 1), first=narrow(first))
+
+
+def narrow(first: np.ndarray) -> np.ndarray:
+    return first.astype(np.uint32 if first.max(initial=0) < 2**32 else np.int64)
 
 
 def write_pairs(train: DataFrame, model: Model) -> None:
@@ -289,25 +320,27 @@ def write_pairs(train: DataFrame, model: Model) -> None:
                 _, ids, inverse = word_numbers(tokens, m)
                 yield pair_keys(ids[inverse], offs, end)
 
-        yield from gathered(keys())
+        for batch in gathered(keys()):
+            shard = m.pair_shard(batch.column(0).to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], ["key", "n", "shard"])
 
-    shards = max(1, -(-model.tokens // SHARD_PAIRS))
-    model.width = -(-model.vocabulary // shards)
-    width, folder = model.width, f"{model.folder}/pairs"
-    raw = train.select("text").mapInArrow(count, "key long, n long")
-    raw = raw.withColumn("shard", F.floor(F.shiftrightunsigned("key", 32) / F.lit(width)).cast("int"))
+    shards, folder = len(model.pair_first), f"{model.folder}/pairs"
+    raw = train.select("text").mapInArrow(count, "key long, n long, shard int")
     rows = sorted_shards(raw.withColumn("order", F.col("key")), shards)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, key, n in by_shard(batches):
             cut = np.flatnonzero(np.diff(key, prepend=-1))
             key, n = key[cut], np.add.reduceat(n, cut)
+            low, width, split = shared.value.firsts_of(i)
             first = np.zeros((width, 4), np.int64)
-            at = (key >> 32) - i * width
+            at = (key >> 32) - low
             first[:, 0] = np.bincount(at, n, width)
             for k in (1, 2, 3):
                 first[:, k] = np.bincount(at[n == k if k < 3 else n >= 3], minlength=width)
-            save_pairs(folder, i, width, key, n, first)
+            save_pairs(folder, i, low, key, n, first)
+            if split:
+                yield pa.RecordBatch.from_pydict({"key": pa.array([-2 - low], pa.int64()), "n": pa.array([0], pa.int64()), "seen": pa.array([first[0].tolist()], pa.list_(pa.int64()))})
             second, before = np.unique(key & 0xFFFFFFFF, return_counts=True)
             seen = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
             for lo in range(0, len(second), ROWS):
@@ -317,12 +350,17 @@ def write_pairs(train: DataFrame, model: Model) -> None:
 
     # One pass writes the shards and hands on what the lower order needs; its rows are kept, so the pass runs once.
     out = stored(rows.mapInArrow(write, "key long, n long, seen array<long>"), "lower")
-    total = out.where("key < 0").agg(*(F.sum(F.col("seen")[k]).alias(f"n{k}") for k in range(4)), F.sum("n").alias("n")).first()
+    sums = [F.sum(F.col("seen")[k]).alias(f"n{k}") for k in range(4)]
+    total = out.where("key = -1").agg(*sums, F.sum("n").alias("n")).first()
     model.pair_discount = discounts([int(total[k] or 0) for k in range(4)])
     model.bigrams = int(total["n"])
-    for i in range(-(-model.vocabulary // width)):  # a range of firsts without any bigram
+    for i in range(shards):  # a range without any bigram
         if not os.path.exists(f"{folder}/{i}.first.npy"):
-            save_pairs(folder, i, width, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((width, 4), np.int64))
+            low, width, _ = model.firsts_of(i)
+            save_pairs(folder, i, low, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((width, 4), np.int64))
+    for r in out.where("key < -1").groupBy("key").agg(*sums).collect():  # first tokens of several shards: fewer than shards
+        i = model.pair_first.index(-2 - r["key"] << 32)
+        save(folder, str(i), first=narrow(np.array([[r[f"n{k}"] for k in range(4)]])))
     settle(spark)
     write_lower(out.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), model)
 

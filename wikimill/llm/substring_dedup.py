@@ -1,14 +1,14 @@
-"""Substring dedup by relative Lempel-Ziv parsing against the documents before.
+"""Substring dedup by winnowing and a join of windows, in place of relative Lempel-Ziv parsing.
 
 1. Reference blocks: of the ``block`` words that begin at each position, the least hash in every window of ``window`` words is
    chosen (so equal windows choose the same block). The index holds each chosen block with the least and greatest id it is in;
    blocks of one document alone are dropped, so what follows grows with what is repeated.
-2. Factors: a document is parsed from left to right into factors, the longest stretches whose every window rests on an indexed
-   block. Every reference block is in the index, so a factor is not bound to one reference document.
-3. Factor boundaries are blocks that happen to be shared, so all windows of a factor are checked by their whole content: a
-   window is a duplicate if its least id over the corpus is smaller than the document's. Runs of such windows are the spans.
+2. Candidates: all windows of a document whose chosen block is in the index. There is no greedy parse, and no factor with a
+   start, a length and a reference.
+3. Shared blocks alone prove nothing, so these windows are joined by the hash of their whole content: a window is a duplicate if
+   its least id over the corpus is smaller than the document's. Runs of such windows are the spans.
 
-Documents that equal an earlier one word by word are a single factor and are settled first. Texts are shuffled once; hot blocks
+Documents that equal an earlier one word by word are settled first. Texts are shuffled once; hot blocks
 and windows are aggregated before the shuffle, and the joins back have one row per key on one side.
 """
 
@@ -68,7 +68,7 @@ def chosen_blocks(docs: DataFrame, spans: Spans) -> DataFrame:
 
 
 def factor_windows(docs: DataFrame, spans: Spans) -> DataFrame:
-    """``doc_id, text_key, start, a, b``: all windows of the factors of ``docs(doc_id, text, shared)``; (a, b) is the content."""
+    """``doc_id, text_key, start, a, b``: all windows of ``docs(doc_id, text, shared)`` that rest on a shared block; (a, b) is the content."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, keys, shared = batch.column("doc_id"), batch.column("text_key"), batch.column("shared")
@@ -122,7 +122,7 @@ def removed_words(docs: DataFrame, spans: Spans = Spans(), id_col: str = "doc_id
     docs = document(docs, id_col, text_col).withColumn("text_key", F.xxhash64(text_of("text")))
     spark, row = docs.sparkSession, ["doc_id", "text_key"]
     index = stored(chosen_blocks(docs, spans), "block")
-    # Word-by-word copies: the least id of a sequence is its reference; documents with other ids are one factor.
+    # Word-by-word copies: the least id of a sequence is its reference; documents with other ids are copies as a whole.
     first = repeated(index.where(F.col("n_words") >= spans.window), ["seq"]).select("seq", "least")
     copies = stored(index.select(*row, "seq").join(first, "seq").where("not doc_id <=> least").select(*row).distinct(), "copy")
     parsed = index.where(F.size("blocks") > 0).select(*row, "blocks").join(renamed(copies, row), same_row(row), "left_anti")

@@ -24,7 +24,8 @@ def docs(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())

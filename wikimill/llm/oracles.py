@@ -1,4 +1,5 @@
-"""DuckDB SQL for the queries that SQL can express. Mixing, scoring, tokenizing, classifying and edit search are left to tests."""
+"""DuckDB SQL for the queries that SQL can express. Mixing, scoring, tokenizing, classifying, edit search and
+rules on a CRC are left to tests."""
 
 from __future__ import annotations
 
@@ -71,3 +72,23 @@ g AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS i FROM h),
 l AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d),
 k AS (SELECT l.doc_id, count(g.i) AS n_removed, string_agg(l.v, ' ' ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+_DISTANCE = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS BIGINT)"
+
+
+def _centroids_sql() -> str:
+    steps = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM v QUALIFY c < 16)"]
+    for i in range(4):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT v.r, min({{'d': {_DISTANCE}, 'c': c.c}}) AS m FROM v, c{i} c GROUP BY v.r)")
+        if i < 3:
+            steps.append(f"""s{i} AS (SELECT c, p, sum(x) AS x, count(*) AS n FROM (SELECT a.m.c AS c, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS p FROM a{i} a JOIN v USING (r)) GROUP BY c, p),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT c, list(CAST((x - ((x % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM s{i} GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT v.vec_id, CAST(a.m.c AS INTEGER) AS cluster, a.m.d AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM v JOIN a3 a USING (r) JOIN c3 ON c3.c = a.m.c"""
+
+
+ORACLES["op11_centroids"] = _centroids_sql()

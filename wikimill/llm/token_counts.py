@@ -55,12 +55,15 @@ class Pieces:
         if not ok or spans or any(p.type == 4 for p in proto.pieces):
             raise ValueError(f"pre-tokens of this model cannot be counted apart: {spans[:3]}")
 
-    def count(self, tokens: list[str]) -> list[int]:
-        """Pieces of each pre-token. The model itself puts one space before a text, so a leading space is given up for it;
-        one without a leading space is encoded behind a line feed (which never merges) and two pieces are taken off."""
+    def ids(self, tokens: list[str]) -> list[list[int]]:
+        """Ids of each pre-token. The model itself puts one space before a text, so a leading space is given up for it; one without
+        a leading space is encoded behind a line feed (which never merges) and two pieces are taken off."""
         shaped = [t[1:] if t[0] == " " and len(t) > 1 else "\n" + t for t in tokens]
-        sizes = [len(x) for x in self.model.encode(shaped, num_threads=1)]
-        return [1 if t == " " else n if t[0] == " " else n - 2 for t, n in zip(tokens, sizes, strict=True)]
+        found = self.model.encode(shaped, num_threads=1)
+        return [x[:1] if t == " " else x if t[0] == " " else x[2:] for t, x in zip(tokens, found, strict=True)]
+
+    def count(self, tokens: list[str]) -> list[int]:
+        return [len(x) for x in self.ids(tokens)]
 
 
 @lru_cache(maxsize=4)

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,42 +155,55 @@ def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+@dataclass
+class Store:
+    """An array that grows at its end by doubling, so adding costs what is added."""
+
+    kind: type
+    used: int = 0
+
+    def __post_init__(self) -> None:
+        self.data = np.zeros(1024, self.kind)
+
+    def add(self, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[:self.used], np.zeros(max(self.used, 2 * len(values)), self.kind)])
+        self.data[self.used:self.used + len(values)] = values
+        self.used += len(values)
+
+
 @dataclass
 class Encoder:
     """Encodes pre-tokens once each; forgets them all when they grow over ``MEMO`` characters."""
 
     pieces: Pieces
-    place: dict[str, int] = field(default_factory=dict)
-    ids: list[np.ndarray] = field(default_factory=list)
-    starts: list[int] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
     held: int = 0
-    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+
+    def __post_init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = Store(np.int32), Store(np.int64), Store(np.int64)
 
     def learn(self, tokens: list[str]) -> None:
         if self.held > MEMO:
-            self.place, self.ids, self.starts, self.sizes, self.held = {}, [], [], [], 0
-            self.flat = np.zeros(0, np.int32)
+            self.held = 0
+            self.__post_init__()
         new = list({t for t in tokens if t not in self.place})
         if not new:
             return
-        done = len(self.flat)
-        for token, ids in zip(new, self.pieces.ids(new), strict=True):
-            self.place[token] = len(self.starts)
-            self.ids.append(np.array(ids, np.int32))
-            self.starts.append(done)
-            self.sizes.append(len(ids))
-            done += len(ids)
-            self.held += len(token)
-        self.flat = np.concatenate([self.flat, *self.ids])
-        self.ids = []
+        found = self.pieces.ids(new)
+        sizes = np.array([len(x) for x in found])
+        self.place.update(zip(new, range(self.starts.used, self.starts.used + len(new)), strict=True))
+        self.starts.add(self.flat.used + np.cumsum(sizes) - sizes)
+        self.sizes.add(sizes)
+        self.flat.add(np.fromiter(chain.from_iterable(found), np.int32, sizes.sum()))
+        self.held += sum(map(len, new))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a normalized text (spaces in place of marks)."""
         tokens = PRE_TOKEN.findall(text)
         self.learn(tokens)
         place = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
-        return self.flat[gathered(np.array(self.starts)[place], np.array(self.sizes)[place])] if len(tokens) else np.zeros(0, np.int32)
+        return self.flat.data[gathered(self.starts.data[place], self.sizes.data[place])]
 
 
 def cuts(text: str) -> Iterator[str]:

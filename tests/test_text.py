@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
 
+from wikimill.functions import html as h
 from wikimill.functions import keys as k
 from wikimill.functions import markup as m
 from wikimill.functions.dates import expand_date_macros, iso_date
@@ -359,3 +361,44 @@ def test_long_texts_take_linear_time(spark):
     seconds(100)
     small, large = seconds(1500), seconds(6000)
     assert large < 6 * small + 2
+
+
+def plain_context(html, start, end, near=140):
+    """Row or item around html[start:end], else its neighbourhood (the plain search over all tags for every link)."""
+    for tag in ("tr", "li"):
+        opens = [m.start() for m in re.finditer(f"<{tag}", html) if m.start() < start]
+        closes = [m.end() + 1 for m in re.finditer(f"</{tag}", html) if m.start() >= end]
+        if opens and closes:
+            return opens[-1], min(closes) - opens[-1]
+    low = max(0, start - near)
+    return low, end - low + near
+
+
+def test_link_places_equal_a_plain_search(spark):
+    rng = random.Random(11)
+    parts = ["<tr>", "</tr>", "<li>", "</li>", '<a href="/w/A">a</a>', '<a href="/w/B">bb</a>', "text ", "<td>"]
+    pages = ["".join(rng.choices(parts, k=rng.randrange(0, 60))) for _ in range(60)] + ["", None]
+    d = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    spans = h.match_spans(F.col("html"), "<a [^>]*>[^<]*</a>")
+    for row in d.select("id", "html", spans.alias("s")).select("html", x.link_places(F.col("html"), F.col("s")).alias("p")).collect():
+        want = [plain_context(row.html, m.start(), m.end()) for m in re.finditer("<a [^>]*>[^<]*</a>", row.html or "")]
+        assert [(p["begin"] - 1, p["length"]) for p in row.p or []] == want
+
+
+def test_twice_the_links_cost_at_most_about_twice(spark):
+    """Links in rows of their own and in one long row; the smaller of two runs each, with a constant for planning."""
+    def page(n, kind):
+        one = {"rows": "<tr>멤버 G <a href='/w/T{}'>T</a></tr>", "items": "<li>앨범 G <a href='/w/T{}'>T</a></li>", "row": "멤버 G <a href='/w/T{}'>T</a> ", "free": "<p>G <a href='/w/T{}'>T</a> words</p>"}[kind]
+        return ("<tr>" if kind == "row" else "") + "".join(one.format(i) for i in range(n)) + "</tr>"
+
+    def seconds(n, kind):
+        d = spark.createDataFrame([(1, "G", "G", page(n, kind))], "page_id int, title string, root_title string, html string")
+        best = float("inf")
+        for _ in range(2):
+            start = time.perf_counter()
+            x.relation_candidates(d, "page_id", "html").collect()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    for kind in ("rows", "row"):
+        assert seconds(12000, kind) <= 2 * seconds(6000, kind) + 0.5, kind

@@ -59,3 +59,15 @@ def first_per(items: Column, field: str) -> Column:
         return F.transform(F.array_sort(F.transform(kept, lambda t: F.struct(t["i"].alias("i"), t["x"].alias("x")))), lambda t: t["x"])
 
     return let(F.array_sort(tagged), heads)
+
+
+def counts_below(marks: Column, points: Column, or_at: bool = False) -> Column:
+    """For each of the ascending ``points`` the number of ascending ``marks`` below it (or at it). Both are sorted together once; a
+    point's place among all less its place among the points is what lies below."""
+    point = 1 if or_at else 0
+    both = F.concat(F.transform(marks, lambda m: F.struct(m.alias("at"), F.lit(1 - point).alias("kind"))), F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(point).alias("kind"))))
+
+    def places(s: Column) -> Column:
+        return F.filter(F.transform(s, lambda x, j: F.struct(x["kind"].alias("kind"), j.alias("j"))), lambda x: x["kind"] == point)
+
+    return F.transform(let(F.sort_array(both), places), lambda x, i: x["j"] - i)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from wikimill.operators import assets as a
@@ -38,6 +39,38 @@ def test_closure_equals_breadth_first_search(spark):
     assert got == want
 
 
+def plain_crawl(root, links, max_depth, max_docs):
+    best = {}
+    for src, dst, score in links:
+        if score >= 74:
+            best.setdefault(src, {})[dst] = max(score, best.get(src, {}).get(dst, 0))
+    queue, known, out = [(-100, 0, 0, root)], {root}, []
+    while queue and len(out) < max_docs:
+        queue.sort()
+        worth, depth, _, node = queue.pop(0)
+        out.append((root, node, depth, -worth, len(out) + 1))
+        for dst, score in best.get(node, {}).items() if depth < max_depth else ():
+            if dst not in known:
+                known.add(dst)
+                queue.append((-score, depth + 1, len(out), dst))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crawl_equals_one_queue(spark, seed):
+    """Random graphs with cycles, loops, repeated links, links of low scores, a hub and a root without links."""
+    rnd = random.Random(seed)
+    few = seed % 2  # few scores: large buckets and many ties
+    links = [(f"n{rnd.randrange(40)}", f"n{rnd.randrange(60)}", rnd.choice([70, 80, 90, 100]) if few else rnd.randrange(60, 101)) for _ in range(160)]
+    links += [("n0", f"n{i}", 80 + i % 3) for i in range(60)]
+    roots = ["n0", "n1", "n5", "n7", "nowhere", "n1"]
+    depth, docs = [(3, 25), (4, 9), (2, 100), (0, 5)][seed]
+    got = g.crawl_frontier(spark.createDataFrame([(x,) for x in roots] + [(None,)], "title string"), spark.createDataFrame(links, "src string, dst string, score int"), depth, docs)
+    want = [row for root in sorted(set(roots)) for row in plain_crawl(root, links, depth, docs)]
+    assert sorted((x["root"], x["node"], x["depth"], x["score"], x["place"]) for x in got.collect()) == sorted(want)
+    assert g.crawl_frontier(spark.createDataFrame([], "title string"), spark.createDataFrame(links, "src string, dst string, score int"), depth, docs).count() == 0
+
+
 def py_expand(raw, templates, path=(), depth=0):
     def call(mt):
         parts = [x.strip() for x in mt.group(1).split(",")]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import internal_links, woven
@@ -10,7 +12,7 @@ from ..functions.arrays import rest, rows_of
 from ..functions.keys import document_key, strip, template_title, title_key
 from ..functions.markup import include_bodies, include_pieces, include_target, simple_includes, top_level_parts
 from ..functions.urls import SITE, Site
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .filters import profile_score
 from .ranking import first_by, top_rows
 
@@ -69,24 +71,54 @@ def template_closure(docs: DataFrame) -> DataFrame:
 
 
 def crawl_frontier(roots: DataFrame, links: DataFrame, max_depth: int, max_docs: int, min_score: int = 74) -> DataFrame:
-    """Documents a bounded crawl from each root would fetch, level by level.
+    """Documents a bounded crawl fetches from each root, in the order of one priority queue per root.
+
+    ``roots(title)``, ``links(src, dst, score)``. The queue gives the best score, then the least depth, then what was found first
+    (by the earlier document, in it by score and title). A title enters a root's queue once, with the score and depth of its first
+    discovery. Documents of ``max_depth`` are fetched and not followed; a root takes ``max_docs`` documents.
 
-    ``links(src, dst, score)``. Within a level the best scores go first, then the title. A whole level is taken before
-    the next one, while a single queue would let a deeper high score overtake; inside a level the order is the same.
+    All roots advance together. A round follows the next open titles of every root, ``max_docs`` at most, and lines them up with the
+    titles they find: one found by the i-th stands behind all that were as urgent already, and behind the i-th. Titles that are not
+    followed themselves (of ``max_depth``) can be settled at once; the line is cut at the first other one, as that has to be followed
+    before the rest is known. So there are as many rounds as such cuts, and never more than ``max_docs``. What has been queued is
+    remembered in a table.
     """
-    links = links.where(F.col("score") >= min_score).groupBy("src", "dst").agg(F.max("score").alias("score"))
-    frontier = roots.select(F.col("title").alias("root"), F.col("title").alias("node")).distinct()
-    frontier = cut_lineage(frontier.withColumns({"depth": F.lit(0), "score": F.lit(100)}))
-    visited = frontier
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier["node"] == links["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.max(links["score"]).alias("score"))
-        fresh = step.join(visited, ["root", "node"], "left_anti")
-        used = visited.groupBy("root").agg(F.count("*").alias("_used"))
-        best = top_rows(fresh, ["root"], [F.col("score").desc(), F.col("node")], max_docs).join(used, "root")
-        best = best.where(F.col("rn") <= max_docs - F.col("_used"))
-        frontier = cut_lineage(best.select("root", "node", F.lit(depth).alias("depth"), "score"))
-        visited = visited.unionByName(frontier)
-    return visited
+    links = stored(links.where(F.col("score") >= min_score).groupBy("src", "dst").agg(F.max("score").alias("score")), "crawl-links")
+    start = roots.select(F.col("title").alias("root"), F.col("title").alias("node")).where("root IS NOT NULL").distinct()
+    opened = start.withColumns({"depth": F.lit(0), "score": F.lit(100), "finder": F.lit(0), "used": F.lit(0)})
+    known = stored(start, "crawl-known")
+    urgency = F.struct((-F.col("score")).alias("worth"), "depth")
+    fetched = []
+    for turn in range(1, max_docs + 1):
+        ranked = top_rows(opened, ["root"], [urgency, F.col("finder"), F.col("node")], max_docs).where(F.col("rn") <= max_docs - F.col("used"))
+        ranked = stored(ranked, "crawl-open")
+        if ranked.isEmpty():
+            break
+        found = ranked.where(F.col("depth") < max_depth).alias("d").join(links.alias("l"), F.col("d.node") == F.col("l.src"))
+        found = found.join(known.alias("k"), (F.col("k.root") == F.col("d.root")) & (F.col("k.node") == F.col("l.dst")), "left_anti")
+        first = F.min(F.struct("d.rn", "l.score", (F.col("d.depth") + 1).alias("depth")))
+        fresh = found.groupBy(F.col("d.root").alias("root"), F.col("l.dst").alias("node")).agg(first.alias("f")).select("root", "node", "f.*")
+        ahead = ranked.groupBy("root").agg(F.collect_list(urgency).alias("ahead"), F.first("used").alias("used"))  # max_docs of a root at most
+        gap = F.greatest("rn", F.size(F.filter("ahead", lambda u: u <= urgency)))
+        fresh = stored(fresh.join(ahead, "root").withColumn("line", F.struct(gap.alias("gap"), F.lit(1).alias("kind"), (-F.col("score")).alias("worth"), "depth", F.col("rn").alias("by"), "node")).drop("ahead"), "crawl-found")
+        cut = fresh.where(F.col("depth") < max_depth).groupBy("root").agg(F.min("line").alias("cut"))
+        cols = ["root", "node", "depth", "score", "used", "line", "rn"]
+        line = F.struct(F.col("rn").alias("gap"), F.lit(0).alias("kind"), (-F.col("score")).alias("worth"), "depth", F.col("rn").alias("by"), "node")
+        lined = ranked.withColumn("line", line).select(cols).unionByName(fresh.where(F.col("depth") == max_depth).select(cols)).withColumnRenamed("rn", "by")
+        lined = lined.join(cut, "root", "left").where(F.coalesce(F.col("line") < F.col("cut"), F.lit(True)))
+        lined = top_rows(lined, ["root"], [F.col("line")], max_docs).where(F.col("rn") <= max_docs - F.col("used"))
+        lined = stored(lined.select("root", "node", "depth", "score", "by", (F.col("line.kind") == 0).alias("followed"), (F.col("used") + F.col("rn")).alias("place")), "crawl-settled")
+        fetched.append(lined.select("root", "node", "depth", "score", "place"))
+        finders = lined.where("followed").select("root", F.col("by").alias("rn"), F.col("place").alias("finder"))
+        new = fresh.join(finders, ["root", "rn"])
+        left = ranked.unionByName(new.select(ranked.columns)).join(lined, ["root", "node"], "left_anti")
+        used = lined.groupBy("root").agg(F.max("place").alias("used"))
+        opened = left.drop("rn", "used").join(used, "root").where(F.col("used") < max_docs)
+        known = known.unionByName(new.select("root", "node"))
+        if turn % 8 == 0:
+            known, fetched = stored(known, "crawl-known"), [stored(reduce(DataFrame.unionByName, fetched), "crawl-fetched")]
+    empty = start.select("root", "node", *(F.lit(0).alias(c) for c in ("depth", "score", "place"))).where("false")
+    return reduce(DataFrame.unionByName, fetched, empty)
 
 
 def link_graph(links: DataFrame) -> DataFrame:

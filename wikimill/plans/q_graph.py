@@ -46,14 +46,14 @@ ROOTS = "SELECT 'N' || CAST(n_nationkey AS STRING) AS title FROM nation"
 
 
 @query("g3_crawl_frontier", f"""
-WITH l AS (SELECT src, dst, max(score) AS score FROM graph_links WHERE score >= 74 GROUP BY 1, 2), r0 AS (SELECT title AS root, title AS node, 0 AS depth, 100 AS score FROM ({ROOTS})),
-f1 AS (SELECT r.root, l.dst AS node, max(l.score) AS score FROM r0 r JOIN l ON l.src = r.node GROUP BY 1, 2),
-r1 AS (SELECT root, node, 1 AS depth, score FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, node) AS rn FROM f1 WHERE root <> node) WHERE rn <= 12 - 1),
-v1 AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1),
-f2 AS (SELECT r.root, l.dst AS node, max(l.score) AS score FROM r1 r JOIN l ON l.src = r.node GROUP BY 1, 2),
-r2 AS (SELECT f.root, f.node, 2 AS depth, f.score, row_number() OVER (PARTITION BY f.root ORDER BY f.score DESC, f.node) AS rn FROM f2 f LEFT JOIN v1 ON v1.root = f.root AND v1.node = f.node WHERE v1.root IS NULL)
-SELECT root, node, depth, score FROM v1 UNION ALL
-SELECT r2.root, r2.node, r2.depth, r2.score FROM r2 JOIN (SELECT root, count(*) AS used FROM v1 GROUP BY 1) u ON u.root = r2.root WHERE rn <= 12 - used""")
+WITH RECURSIVE l AS (SELECT src, dst, max(score) AS score FROM graph_links WHERE score >= 74 GROUP BY 1, 2), a AS MATERIALIZED (SELECT src, list({{'node': dst, 'score': score}}) AS outs FROM l GROUP BY 1),
+c AS (SELECT title AS root, 0 AS place, CAST(NULL AS STRUCT(worth INTEGER, depth INTEGER, finder INTEGER, node VARCHAR)) AS cur, [title] AS known,
+  [CAST({{'worth': -100, 'depth': 0, 'finder': 0, 'node': title}} AS STRUCT(worth INTEGER, depth INTEGER, finder INTEGER, node VARCHAR))] AS queue FROM (SELECT DISTINCT title FROM ({ROOTS}))
+UNION ALL SELECT root, place + 1, head, list_concat(known, list_transform(fresh, lambda x: x.node)),
+  list_sort(list_concat(queue[2:], list_transform(fresh, lambda x: CAST({{'worth': -x.score, 'depth': head.depth + 1, 'finder': place + 1, 'node': x.node}} AS STRUCT(worth INTEGER, depth INTEGER, finder INTEGER, node VARCHAR))))) FROM (
+  SELECT c.*, queue[1] AS head, CASE WHEN queue[1].depth < 2 THEN list_filter(coalesce(a.outs, []), lambda x: NOT list_contains(known, x.node)) ELSE [] END AS fresh
+  FROM c LEFT JOIN a ON a.src = c.queue[1].node WHERE len(queue) > 0 AND place < 12))
+SELECT root, cur.node AS node, cur.depth AS depth, -cur.worth AS score, place FROM c WHERE place > 0""")
 def _(t):
     return g.crawl_frontier(t.sql(ROOTS), t.graph_links, max_depth=2, max_docs=12)
 

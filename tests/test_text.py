@@ -402,3 +402,55 @@ def test_twice_the_links_cost_at_most_about_twice(spark):
 
     for kind in ("rows", "row"):
         assert seconds(12000, kind) <= 2 * seconds(6000, kind) + 0.5, kind
+
+
+def test_conditions_with_given_values(spark):
+    given = {"a": "x", "n": "3", "e": "", "q": "it's", "null": "7"}
+    cases = {
+        "a == 'x'": True, 'a == "y"': False, "a != 'x'": False, "b == 'x'": False, "b == null": True, "a == null": False, "n == 3": False, "n != 3": True, "n > 2": None,
+        "e == ''": True, "e": False, "a && n": True, "a && b": False, "a == b": False, "b == c": True, "q == \"it's\"": True, "q == 'it\\'s'": True, "null == null": True,
+        "a == true": False, "a x == 'x'": None, "A == 'x'": False, "(a) == 'x' || 1 < x": True, "b && 1 < x": False, "a && 1 < x": None,
+    }
+    rows = [(i, "{{{#!if " + c + "\nbody}}}", given) for i, c in enumerate(cases)]
+    df = spark.createDataFrame([*rows, (99, "{{{#!if a == null\n}}}", None), (100, None, given)], "id int, src string, env map<string,string>")
+    got = [r["value"] for r in x.conditional_calls(df, "id", "src", "env").orderBy("id").collect()]
+    assert got == [*cases.values(), True]
+
+
+def plain_resolve(text, names):
+    """Body by body: the balanced end of each block is searched anew."""
+    out, n, shown, at = "", 0, 0, 0
+    while (start := text.find("{{{#!if", at)) >= 0:
+        depth, end = 0, -1
+        for brace in re.finditer(r"\{\{\{|\}\}\}", text[start:]):
+            depth += 1 if brace.group() == "{{{" else -1
+            if not depth:
+                end = start + brace.start()
+                break
+        if end < 0:
+            break
+        out += text[at:start]
+        n += 1
+        condition, _, body = text[start + 7:end].partition("\n")
+        if x._evaluate(condition, names):
+            inner = plain_resolve(body, names)
+            out, n, shown = out + inner[0], n + inner[1], shown + 1 + inner[2]
+        at = end + 3
+    return out + text[at:], n, shown
+
+
+def test_resolved_texts_equal_a_plain_walk(spark):
+    rng = random.Random(12)
+    parts = ["{{{#!if a == 'x'\n", "{{{#!if a != 'x'\n", "{{{#!if a b\n", "{{{#!wiki\n", "{{{", "}}}", "}}}", "}}}", " word\n", "{{{#!if b == null"]
+    rows = [(i, " ".join(rng.choices(parts, k=rng.randrange(0, 14))), {"a": rng.choice("xy")}) for i in range(300)]
+    rows += [(300, None, None), (301, "{{{#!if a == 'x'\n" * 2000 + "}}}" * 2000, {"a": "x"})]
+    got = {r["id"]: r for r in x.resolve_conditions(spark.createDataFrame(rows, "id int, src string, env map<string,string>"), "id", "src", "env").collect()}
+    for i, text, names in rows[:300]:
+        assert (got[i]["text"], got[i]["evaluated"], got[i]["included"]) == plain_resolve(text, names), text
+    assert got[300]["text"] is None and got[301]["included"] == 2000 and got[301]["text"] == ""
+
+
+def test_call_parameters(spark):
+    df = frame(spark, ["[include(틀:A, x=1, x = 2 ,third, y=[[a,b]], =no)] [include(Template:B)]", None, "none"])
+    rows = x.call_parameters(df, "id", "src").orderBy("id", "call").collect()
+    assert [(r["id"], r["call"], r["given"]) for r in rows] == [(0, 0, {"x": "2", "y": "[[a,b]]", "": "no"}), (0, 1, {})]

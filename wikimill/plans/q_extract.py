@@ -156,6 +156,28 @@ def _(t):
     return d.select("id", "pos", "condition", F.coalesce(F.col("value").cast("string"), F.lit("unknown")).alias("value"), "shown")
 
 
+CALLING = """SELECT doc_id, '[include(틀:T' || CAST(doc_id % 7 AS STRING) || ', a=v' || CAST(doc_id % 4 AS STRING) || ', n=3' || CASE WHEN doc_id % 3 = 0 THEN ', c=x, c=' || CAST(doc_id % 5 AS STRING) ELSE '' END || ')] [include(틀:None, a=1)]' || chr(10) || translate(coalesce(text, ''), '[]{}', '    ') AS src FROM documents"""
+CALLED = """SELECT '틀:T' || CAST(k AS STRING) AS title, '{{{#!if a == "v1"' || chr(10) || 'A}}}{{{#!if c == null || a == "v2"' || chr(10) || 'B {{{#!if c != "4"' || chr(10) || 'C}}}}}}{{{#!if c x != null' || chr(10) || 'D}}}{{{#!if n > 2' || chr(10) || 'E}}}{{{#!if !(a != "v0") && b == null' || chr(10) || 'F}}}' || CAST(k AS STRING) AS source FROM (SELECT DISTINCT doc_id % 7 AS k FROM documents)"""
+
+
+@query("x18_call_conditions", """
+WITH d AS (SELECT doc_id, 'v' || CAST(doc_id % 4 AS VARCHAR) AS a, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 5 AS VARCHAR) END AS c FROM documents),
+r AS (SELECT doc_id, 0 AS pos, 'a == "v1"' AS condition, a = 'v1' AS value FROM d UNION ALL SELECT doc_id, 1, 'c == null || a == "v2"', c IS NULL OR a = 'v2' FROM d
+ UNION ALL SELECT doc_id, 2, 'c != "4"', c IS DISTINCT FROM '4' FROM d UNION ALL SELECT doc_id, 3, 'c x != null', NULL FROM d UNION ALL SELECT doc_id, 4, 'n > 2', NULL FROM d
+ UNION ALL SELECT doc_id, 5, '!(a != "v0") && b == null', a = 'v0' FROM d)
+SELECT doc_id, 0 AS call, '틀:T' || CAST(doc_id % 7 AS VARCHAR) AS template, pos, condition, coalesce(CAST(value AS VARCHAR), 'unknown') AS value, coalesce(value, false) AS shown FROM r""")
+def _(t):
+    d = x.call_conditions(t.sql(CALLING), "doc_id", "src", t.sql(CALLED))
+    return d.withColumn("value", F.coalesce(F.col("value").cast("string"), F.lit("unknown")))
+
+
+@query("x18_resolved_text", f"""
+SELECT id, 'one ' || CASE WHEN id % 4 IN (0, 3) THEN 'two' ELSE '' END || chr(10) || replace(text, '{{', '(') AS text, 2 AS evaluated, CASE WHEN id % 4 IN (0, 3) THEN 2 ELSE 1 END AS included,
+ CASE WHEN id % 4 IN (0, 3) THEN 0 ELSE 1 END AS excluded FROM wiki_docs""")
+def _(t):
+    return x.resolve_conditions(t.sql(IF_SRC), "id", "src")
+
+
 @query("x19_template_calls", r"""
 WITH c AS (SELECT id, regexp_extract(source_wikitext, '\[include\((Template:T[0-9]+)', 1) AS template FROM wiki_docs WHERE source_wikitext IS NOT NULL)
 SELECT id, 0 AS call, template, 0 AS param, 'k' AS name, false AS positional, 'v' || CAST(id % 4 AS VARCHAR) AS value FROM c UNION ALL SELECT id, 0, template, 1, '', true, 'second' FROM c

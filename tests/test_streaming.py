@@ -3,6 +3,7 @@
 import os
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wikimill.streaming import jobs as j
@@ -103,3 +104,107 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = parts(spark, tmp_path, rows, "ts timestamp, status string", n=5)
     out = j.run_to_files(j.window_counts(stream, "ts", "10 minutes", "1 hour"), "t-r9")
     assert [r["n"] for r in out.collect()] == [1, 1, 1]
+
+
+def test_finished_jobs_leave_the_state(spark, tmp_path):
+    """Job 1 passes and is forgotten; what comes behind the watermark is reported, what comes in time begins anew. Job 2 still runs."""
+    at = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    rows = [(1, 1, "claim", at(0)), (1, 2, "pass", at(1)), (2, 1, "claim", at(1)), (9, 1, "claim", at(20)), (9, 2, "claim", at(21)), (1, 3, "fail", at(2)), (1, 4, "claim", at(40)), (2, 2, "claim", at(40)), (9, 3, "claim", at(41))]
+    stream = parts(spark, tmp_path, rows, "job_id long, seq long, kind string, ts timestamp", n=9)
+    out = {(r["job_id"], r["seq"]): (r["attempt"], r["status"]) for r in j.run_to_files(j.lifecycle_stream(stream, 3, "1 day", 5), "t-r4e").collect()}
+    assert out[1, 2] == (1, "pass") and out[1, 3] == (None, "late")
+    assert out[1, 4] == (1, "running")  # not 2: the state of the first life is gone
+    assert out[2, 2] == (2, "running")
+
+
+class FakeStates:
+    """States in memory that count the rows and bucket keys they give."""
+
+    def __init__(self):
+        self.rows = self.keys = 0
+        self.timers = []
+
+    def getMapState(self, name, key, value):
+        outer, held = self, {}
+
+        class Buckets:
+            exists = staticmethod(lambda: bool(held))
+            containsKey = staticmethod(held.__contains__)
+            updateValue = staticmethod(held.__setitem__)
+            removeKey = staticmethod(held.pop)
+
+            @staticmethod
+            def keys():
+                outer.keys += len(held)
+                return list(held)
+
+            @staticmethod
+            def getValue(k):
+                outer.rows += len(held[k][0])
+                return held[k]
+
+        return Buckets
+
+    def getValueState(self, name, schema):
+        held = []
+
+        class Value:
+            exists = staticmethod(lambda: bool(held))
+            get = staticmethod(lambda: held[0])
+            clear = staticmethod(held.clear)
+
+            @staticmethod
+            def update(v):
+                held[:] = [v]
+
+        return Value
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Collect(j.InOrder):
+    columns, waiting_schema, output = ("us", "id"), "us long, id long", ["us", "id"]
+
+    def start(self, handle):
+        pass
+
+    def step(self, key, due):
+        return due
+
+    def late(self, key, row):
+        return (-1, row[1])
+
+
+class Times:
+    def __init__(self, watermark, expiry=None):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = (lambda: watermark), (lambda: expiry)
+
+
+def waited(n, batches):
+    """Rows of one key over ``n`` / 10 minutes, shuffled into batches; the watermark then passes in steps."""
+    states, p = FakeStates(), Collect()
+    p.init(states)
+    order = sorted(range(n), key=lambda i: (i * 7919) % n)
+    at = lambda i: (1_000_000 + 6_000 * i) * 1000 + i % 7
+    for k in range(batches):
+        list(p.handleInputRows((1,), iter([pd.DataFrame([(at(i), i) for i in order[k::batches]], columns=["us", "id"])]), Times(0)))
+    out, last = [], at(n - 1) // 1000
+    for step in range(1, 11):
+        mark = 1_000_000 + (last - 1_000_000) * step // 10 + (BUCKET if step == 10 else 0)
+        for t in sorted(t for t in states.timers if t <= mark):
+            states.timers.remove(t)
+            for frame in p.handleExpiredTimer((1,), Times(mark), Times(mark, t)):
+                out += list(frame.itertuples(index=False, name=None))
+    assert out == sorted((at(i), i) for i in range(n))
+    return states
+
+
+BUCKET = j.BUCKET_MS
+
+
+def test_waiting_rows_are_read_when_due():
+    one, two = waited(3000, 4), waited(6000, 4)
+    assert two.rows <= 2.1 * one.rows and two.keys <= 2.1 * one.keys
+    assert one.rows <= 5 * 3000  # once for each batch that adds to their bucket, once when due
+    assert len(set(one.timers)) == 0

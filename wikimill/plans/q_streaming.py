@@ -108,8 +108,8 @@ def _(t):
 def _(t):
     e = r.read_stream(t.spark, t.dir, "events.parquet")
     kind = F.when(F.col("event_type").isin("view", "click"), "claim").when(F.col("event_type") == "purchase", "pass").otherwise("fail")
-    e = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("kind"))
-    out = r.run_to_files(r.lifecycle_stream(e, 30), "r4")
+    e = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    out = r.run_to_files(r.lifecycle_stream(e, 30, keep_days=365), "r4").where("status <> 'late'")
     return out.groupBy("job_id").agg(F.max_by(F.struct("attempt", "status"), "seq").alias("s")).select("job_id", "s.attempt", "s.status")
 
 

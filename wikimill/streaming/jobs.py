@@ -80,11 +80,15 @@ def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str
     )
 
 
+BUCKET_MS = 60_000
+
+
 class InOrder(StatefulProcessor):
     """Hands the rows of a key to ``step`` in the order of ``columns``, of which the first is ``us`` (microseconds).
 
     A row waits until the watermark reaches it. What comes later than that is given to ``late``. ``expire`` may clear state
-    when a timer runs out.
+    when a timer runs out. Rows wait in buckets of a minute with one timer each, at the bucket's end: a timer reads the buckets
+    that are due and no others, so a key with many rows that are not due costs their buckets' keys, once a batch.
     """
 
     columns: tuple[str, ...]
@@ -93,7 +97,9 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        row = ",".join(":".join(field.split()) for field in self.waiting_schema.split(","))
+        self.waiting = handle.getMapState("waiting", "bucket long", f"rows array<struct<{row}>>")
+        self.read_to = handle.getValueState("read_to", "ms long")
         self.start(handle)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
@@ -110,26 +116,48 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        found = [tuple(r) for frame in rows for r in frame[list(self.columns)].itertuples(index=False)]
-        kept = [r for r in found if r[0] // 1000 > passed or passed <= 0]
-        if kept:
-            self.waiting.appendList(kept)
-            for ms in {r[0] // 1000 for r in kept}:
-                self.handle.registerTimer(ms)
-        out = [self.late(key, r) for r in found if not (r[0] // 1000 > passed or passed <= 0)]
+        buckets: dict[int, list[tuple]] = {}
+        out = []
+        for frame in rows:
+            for r in frame[list(self.columns)].itertuples(index=False):
+                if r[0] // 1000 > passed or passed <= 0:
+                    buckets.setdefault(r[0] // 1000 // BUCKET_MS, []).append(tuple(r))
+                else:
+                    out.append(self.late(key, tuple(r)))
+        for b, found in buckets.items():
+            if self.waiting.containsKey((b,)):
+                found = self._rows(b) + found
+            else:
+                self.handle.registerTimer((b + 1) * BUCKET_MS - 1)
+            self.waiting.updateValue((b,), (found,))
         yield pd.DataFrame(out, columns=self.output)
 
+    def _rows(self, bucket: int) -> list[tuple]:
+        return [tuple(r) for r in self.waiting.getValue((bucket,))[0]]
+
+    def _due(self, now: int) -> list[tuple]:
+        """Takes all rows up to ``now`` out of their buckets."""
+        out = []
+        for b in sorted(k[0] for k in self.waiting.keys() if k[0] * BUCKET_MS <= now):
+            held = sorted(self._rows(b))
+            due = [r for r in held if r[0] // 1000 <= now]
+            out += due
+            if len(due) == len(held):
+                self.waiting.removeKey((b,))
+            elif due:
+                self.waiting.updateValue((b,), (held[len(due):],))
+        return out
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # all rows up to the watermark at once; a timer set meanwhile could not fire in this batch any more
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in held if r[0] // 1000 <= now]
-        if due:
-            if len(due) < len(held):
-                self.waiting.put(held[len(due):])
-            else:
-                self.waiting.clear()
+        due = []
+        if not self.read_to.exists() or self.read_to.get()[0] < now:  # the first timer of a batch does it for the others
+            due = self._due(now)
+            self.read_to.update((now,))
         out = (self.step(key, due) if due else []) + self.expire(key, now)
+        if not self.waiting.exists():
+            self.read_to.clear()
         yield pd.DataFrame(out, columns=self.output)
 
     def close(self) -> None:
@@ -361,35 +389,65 @@ class JobLifecycle(StatefulProcessor):
     """Folds the events of one job into its status and number of attempts.
 
     Attempts are a count and the status follows from the event with the greatest number, so events may come in any order.
+    With ``keep`` (milliseconds), a job that has passed or waits for review is forgotten so long after its last event; an event
+    behind the watermark then changes nothing and is reported as late.
     """
 
-    def __init__(self, max_attempts: int):
-        self.max_attempts = max_attempts
+    def __init__(self, max_attempts: int, keep: int | None = None):
+        self.max_attempts, self.keep = max_attempts, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState("job", "n int, seq long, kind string")
+        self.handle = handle
+        self.job = handle.getValueState("job", "n int, seq long, kind string, last long")
+
+    def _status(self, n: int, kind: str) -> str:
+        return {"claim": "running", "pass": "pass"}.get(kind, "needs_review" if n >= self.max_attempts else "retry")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, seq, kind = self.job.get() if self.job.exists() else (0, None, "")
+        n, seq, kind, last = self.job.get() if self.job.exists() else (0, None, "", 0)
+        passed = timerValues.getCurrentWatermarkInMs() if self.keep is not None else 0
+        late, taken = [], False
         for frame in rows:
             for r in frame.itertuples():
+                if self.keep is not None:
+                    if 0 < passed >= r.ms:
+                        late.append((key[0], r.seq, None, "late"))
+                        continue
+                    last = max(last, r.ms)
+                taken = True
                 n += r.kind == "claim"
                 if seq is None or r.seq > seq:
                     seq, kind = r.seq, r.kind
-        self.job.update((n, seq, kind))
-        status = {"claim": "running", "pass": "pass"}.get(kind, "needs_review" if n >= self.max_attempts else "retry")
-        yield pd.DataFrame([(key[0], seq, n, status)], columns=["job_id", "seq", "attempt", "status"])
+        if taken:
+            self.job.update((n, seq, kind, last))
+            if self.keep is not None and self._status(n, kind) in ("pass", "needs_review"):
+                self.handle.registerTimer(last + self.keep)
+        now = [(key[0], seq, n, self._status(n, kind))] if taken else []
+        yield pd.DataFrame(late + now, columns=["job_id", "seq", "attempt", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.job.exists():
+            n, _, kind, last = self.job.get()
+            if self._status(n, kind) in ("pass", "needs_review") and last + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+                self.job.clear()
+        yield pd.DataFrame([], columns=["job_id", "seq", "attempt", "status"])
 
     def close(self) -> None:
         pass
 
 
-def lifecycle_stream(events: DataFrame, max_attempts: int = 3) -> DataFrame:
+def lifecycle_stream(events: DataFrame, max_attempts: int = 3, delay: str = "1 day", keep_days: int = 90) -> DataFrame:
     """One status row per job and micro-batch; a snapshot keeps the one with the greatest ``seq`` and attempt per job.
 
-    The state is one row for each job, as the snapshot itself is.
+    Events ``(job_id, seq, kind, ts)``: a job that has passed or waits for review leaves the state ``keep_days`` after its last
+    event; an event later than ``delay`` comes back with the status ``late``, no attempt and its own ``seq``. What comes in time
+    after that begins the job anew. Events without ``ts`` have no time to forget by: every job stays, as in the snapshot itself.
     """
-    return _stateful(events.select("job_id", "seq", "kind"), "job_id", JobLifecycle(max_attempts), "job_id long, seq long, attempt int, status string", timers=False)
+    schema = "job_id long, seq long, attempt int, status string"
+    if "ts" not in events.columns:
+        return _stateful(events.select("job_id", "seq", "kind"), "job_id", JobLifecycle(max_attempts), schema, timers=False)
+    e = events.withWatermark("ts", delay).select("job_id", "seq", "kind", F.unix_millis("ts").alias("ms"))
+    return _stateful(e, "job_id", JobLifecycle(max_attempts, keep_days * 86_400_000), schema)
 
 
 # --- R6 - R10 -------------------------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from wikimill.operators import ranking as r
 from wikimill.operators import similarity as sim
 from wikimill.session import cut_lineage, shared_dir
 from wikimill.sources import sinks as k
+from wikimill.sources import snapshots as v
 from wikimill.sources import tables as t
 
 
@@ -218,3 +219,46 @@ def test_overlaps_across_stretches(spark):
 def test_empty_template_closure(spark):
     docs = spark.createDataFrame([("R", "A", "no includes")], "root_title string, source_title string, source_wikitext string")
     assert g.template_closure(docs).count() == 0
+
+
+def table_rows(df):
+    return sorted(tuple(x) for x in df.collect())
+
+
+def test_versions_of_a_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    frame = lambda rows: spark.createDataFrame(rows, "doc int, v string")
+    v.create(frame([(1, "a"), (1, "b"), (2, "c"), (None, "n"), (3, "d")]), path, "doc", buckets=4)
+    first = v.version(spark, path)
+    v.replace_children(spark, path, frame([(1, ""), (7, "")]).select("doc"), frame([(1, "new"), (2, "not a given parent"), (7, "seven")]))
+    after = [(1, "new"), (2, "c"), (3, "d"), (7, "seven")]
+    assert table_rows(v.read(spark, path).where("doc is not null")) == after and v.read(spark, path).where("doc is null").count() == 1
+    assert len(table_rows(v.read(spark, path, first).where("doc = 1"))) == 2  # the old version is still whole
+
+    # a failure between writing and the swap: the table stays, its files can be cleared, and the next change works
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(OSError, match="lost"):
+        m.setattr(v, "commit", fail)
+        v.replace_children(spark, path, frame([(2, "")]).select("doc"), frame([(2, "half done")]))
+    assert table_rows(v.read(spark, path).where("doc is not null")) == after
+    assert len(v.vacuum(spark, path)) == 1
+    # all rows of a bucket go
+    v.replace_children(spark, path, frame([(i, "") for i in (1, 2, 3, 7)]).select("doc"), frame([]))
+    assert table_rows(v.read(spark, path)) == [(None, "n")]
+
+    # two changes from one version: the second one is refused
+    stale = v.version(spark, path)
+    v.insert_ignore(spark, path, frame([(5, "x"), (5, "y")]), F.col("v"))
+    with pytest.raises(Exception, match="exist"):
+        v.commit(spark, path, v.replace(stale, number=stale.number + 1))
+    assert table_rows(v.read(spark, path).where("doc is not null")) == [(5, "x")]
+    v.upsert(spark, path, spark.createDataFrame([(5, "old", 1), (5, "newest", 2), (6, "six", 1)], "doc int, v string, o int"), "o")
+    assert table_rows(v.read(spark, path).where("doc is not null")) == [(5, "newest"), (6, "six")]
+    v.vacuum(spark, path, keep=1)
+    assert len(v.version_numbers(spark, path)) == 1 and v.read(spark, path).count() == 3
+    with pytest.raises(ValueError, match="bucket"):
+        v.create(frame([]).withColumn("Bucket", F.lit(1)), path, "doc")
+    with pytest.raises(FileNotFoundError):
+        v.read(spark, str(tmp_path / "nothing"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_path
 from ..sources import sinks as k
+from ..sources import snapshots as v
 from ..sources import tables as s
 from .registry import query
 
@@ -60,6 +61,16 @@ def _(t):
     return k.upsert(t.asset_queue.select("id", "status", "resolved_url", "source_ref"), t.sql(UPDATES), ["id"], "ord")
 
 
+@query("k1_upsert_version", f"""
+WITH u AS (SELECT id, arg_max(resolved_url, ord) AS url FROM ({UPDATES}) GROUP BY 1)
+SELECT coalesce(q.id, u.id) AS id, CASE WHEN u.id IS NOT NULL THEN 'resolved' ELSE q.status END AS status, CASE WHEN u.id IS NOT NULL THEN u.url ELSE q.resolved_url END AS resolved_url, q.source_ref FROM asset_queue q FULL JOIN u ON u.id = q.id""")
+def _(t):
+    path = work_path(t.spark, "queue")
+    v.create(t.asset_queue.select("id", "status", "resolved_url", "source_ref"), path, "id", buckets=16)
+    v.upsert(t.spark, path, t.sql(UPDATES), "ord")
+    return v.read(t.spark, path)
+
+
 NEW = "SELECT p_partkey + 500 AS id, p_name AS status, p_brand AS source_ref FROM part"
 
 
@@ -79,11 +90,11 @@ SELECT conv_id, turn, role AS body FROM conversations WHERE conv_id NOT IN (SELE
 def _(t):
     path = work_path(t.spark, "sections")
     old = t.conversations.select("conv_id", "turn", F.col("role").alias("body"))
-    k.write_bucketed(old.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(16)).cast("int")), path)
+    v.create(old, path, "conv_id", buckets=16)
     parents = old.where("turn >= 4").select("conv_id").distinct()
     children = old.where("body = 'user'").withColumn("body", F.concat(F.lit("new "), "body"))
-    k.replace_children(t.spark, path, parents, children, "conv_id", buckets=16)
-    return t.spark.read.parquet(path).select("conv_id", "turn", "body")
+    v.replace_children(t.spark, path, parents, children)
+    return v.read(t.spark, path)
 
 
 @query("k5_artifact_manifest", """

@@ -262,3 +262,24 @@ def test_versions_of_a_table(spark, tmp_path, monkeypatch):
         v.create(frame([]).withColumn("Bucket", F.lit(1)), path, "doc")
     with pytest.raises(FileNotFoundError):
         v.read(spark, str(tmp_path / "nothing"))
+
+
+def test_artifacts_are_written_once_and_contents_are_not_moved(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"<p>{i % 7}", "css" if i % 2 else "") for i in range(40)] + [(None, "<p>only", None)], "id int, html string, css string")
+    manifest = k.artifact_manifest(docs, "id", {"html": "html", "css": "css"})
+    want = sorted([("html", f"<p>{i}") for i in range(7)] + [("html", "<p>only"), ("css", "css")])
+    mostly = k.artifact_manifest(spark.createDataFrame([(i, f"<p>{i % 38}", "") for i in range(40)], "id int, html string, css string"), "id", {"html": "html", "css": "css"})
+    for rows, small, n in ((manifest, 100, 9), (mostly, 5, 38), (manifest, 1, 9)):  # rows to keep, rows to drop, neither is small
+        once = k.missing_artifacts(rows, small=small)
+        assert len({(r["kind"], r["content"]) for r in once.collect()}) == once.count() == n
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        assert small == 1 or "hashpartitioning" not in plan
+    path = str(tmp_path / "store")
+    k.export_artifacts(manifest.where("id < 3"), path)
+    files = {f.name for f in (tmp_path / "store").rglob("part-*")}
+    k.export_artifacts(manifest, path)
+    out = spark.read.parquet(path)
+    assert sorted((r["kind"], r["content"]) for r in out.collect()) == want
+    assert files < {f.name for f in (tmp_path / "store").rglob("part-*")}
+    k.export_artifacts(manifest, path)
+    assert out.sparkSession.read.parquet(path).count() == len(want)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +15,7 @@ from ..functions.arrays import rows_of
 from ..functions.keys import FILE_PREFIX, nfkc, strip
 from ..functions.markup import count
 from ..functions.urls import SITE, Site
+from ..session import stored
 from .aggregates import jaccard
 
 
@@ -108,8 +111,10 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(parts)
 
 
-def _closeness(a: Column, b: Column) -> Column:
-    return F.when((a > 0) & (b > 0), 1 - F.least(F.lit(1.0), F.abs(a - b) / F.greatest(a, b))).otherwise(0.0)
+def _closeness(a: Column, b: Column) -> tuple[Column, Column]:
+    """How close two counts are, as a fraction: the smaller over the larger, 0 over 1 if one is not positive."""
+    some = (a > 0) & (b > 0)
+    return F.when(some, F.least(a, b)).otherwise(0).cast("long"), F.when(some, F.greatest(a, b)).otherwise(1).cast("long")
 
 
 def table_candidates(original: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -129,27 +134,39 @@ def table_candidates(original: DataFrame, baseline: DataFrame) -> DataFrame:
     (o, ot), (b, bt) = side(original, "o"), side(baseline, "b")
     pairs = ot.join(bt, ["doc_id", "token"]).select("doc_id", "o_idx", "b_idx").distinct()
     d = pairs.join(o, ["doc_id", "o_idx"]).join(b, ["doc_id", "b_idx"])
-    common = F.size(F.array_intersect("o_tokens", "b_tokens"))
-    token = common / (F.size("o_tokens") + F.size("b_tokens") - common)
-    d = d.withColumn("token_score", token).where(F.col("token_score") >= MIN_TOKEN)
-    score = F.col("token_score") * 0.78 + _closeness(F.col("o_rows"), F.col("b_rows")) * 0.14 + _closeness(F.col("o_cols"), F.col("b_cols")) * 0.08
-    return d.select("doc_id", "o_idx", "b_idx", "token_score", score.alias("score"))
+    common = F.size(F.array_intersect("o_tokens", "b_tokens")).cast("long")
+    d = d.withColumns({"_common": common, "_union": F.size("o_tokens") + F.size("b_tokens") - common})
+    d = d.withColumn("token_score", F.col("_common") / F.col("_union")).where(F.col("token_score") >= MIN_TOKEN)
+    # 0.78, 0.14 and 0.08 of three fractions over one denominator, in whole numbers
+    (r, rows), (c, cols), union = _closeness(F.col("o_rows"), F.col("b_rows")), _closeness(F.col("o_cols"), F.col("b_cols")), F.col("_union")
+    above = (78 * F.col("_common") * rows * cols + 14 * r * union * cols + 8 * c * union * rows).cast("decimal(19,0)")
+    d = d.withColumns({"_above": above, "_below": (100 * union * rows * cols).cast("decimal(19,0)")})
+    rank = F.expr("(_above * CAST(1000000000000000000 AS DECIMAL(19,0))) div _below")
+    milli = F.expr("(_above * CAST(2000 AS DECIMAL(5,0)) + _below) div (_below * CAST(2 AS DECIMAL(2,0)))")
+    score = F.col("token_score") * 0.78 + (r / rows) * 0.14 + (c / cols) * 0.08
+    return d.select("doc_id", "o_idx", "b_idx", "token_score", score.alias("score"), (5 * F.col("_common") >= union).alias("enough_tokens"), rank.alias("rank"), milli.alias("milli"))
 
 
 def pair_tables(original: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Greedy pairing per document: originals in order take their best free baseline table.
-
-    The best one must reach 0.32 in total and 0.20 in tokens, otherwise the original stays unmatched. The choice depends
-    on earlier choices, so the candidates of one document (one page's tables) are walked in pandas.
-    """
+    """Greedy pairing per document: originals in order take their best free baseline table (ties: the first).
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for o_idx, group in pdf.sort_values(["o_idx", "score", "b_idx"], ascending=[True, False, True]).groupby("o_idx", sort=True):
-            best = next((r for r in group.itertuples() if r.b_idx not in used), None)
-            if best is not None and best.score >= 0.32 and best.token_score >= 0.20:
-                used.add(best.b_idx)
-                out.append((best.doc_id, o_idx, best.b_idx, round(best.score, 3)))
-        return pd.DataFrame(out, columns=["doc_id", "o_idx", "b_idx", "score"])
+    The best one must reach 0.32 in total and 0.20 in tokens, otherwise the original stays unmatched. Scores are ranked as whole
+    numbers (18 digits) and rounded half up to three places.
 
-    return table_candidates(original, baseline).groupBy("doc_id").applyInPandas(greedy, "doc_id long, o_idx int, b_idx int, score double")
+    All documents advance together: an original's best offer is final as soon as no earlier open original could still take it,
+    that is, has that baseline among its candidates. The first open original of a document always gets its answer, so there are
+    at most as many rounds as a document has originals, and as a rule a few.
+    """
+    pairs = stored(table_candidates(original, baseline), "table-pairs")
+    matched = []
+    while not pairs.isEmpty():
+        best = F.max(F.struct("rank", -F.col("b_idx"))).over(Window.partitionBy("doc_id", "o_idx"))
+        first = F.min("o_idx").over(Window.partitionBy("doc_id", "b_idx"))
+        final = (F.struct("rank", -F.col("b_idx")) == F.col("_best")) & (F.col("o_idx") == F.col("_first"))
+        offers = pairs.withColumns({"_best": best, "_first": first}).where(final).drop("_best", "_first")
+        taken = (F.col("rank") >= 320_000_000_000_000_000) & F.col("enough_tokens")
+        answered = stored(offers.withColumn("taken", taken), "table-offers")
+        matched.append(answered.where("taken").select("doc_id", "o_idx", "b_idx", (F.col("milli") / 1000.0).alias("score")))
+        left = pairs.join(answered.select("doc_id", "o_idx"), ["doc_id", "o_idx"], "left_anti")
+        pairs = stored(left.join(answered.where("taken").select("doc_id", "b_idx"), ["doc_id", "b_idx"], "left_anti"), "table-pairs")
+    return reduce(DataFrame.unionByName, matched, pairs.where("false").select("doc_id", "o_idx", "b_idx", "score"))

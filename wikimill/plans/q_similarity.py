@@ -66,19 +66,22 @@ def _(t):
     return d.select("doc_id", "o_idx", "b_idx", F.round("token_score", 6).alias("token_score"), F.round("score", 6).alias("score"))
 
 
-CLOSE = "CASE WHEN o.{c} > 0 AND b.{c} > 0 THEN 1 - least(1.0, abs(o.{c} - b.{c}) / greatest(o.{c}, b.{c})) ELSE 0.0 END"
+CLOSE = "CASE WHEN o.{c} > 0 AND b.{c} > 0 THEN {f}(o.{c}, b.{c}) ELSE {other} END"
+LEAST, MOST = ({c: CLOSE.format(c=c, f=f, other=other) for c in ("n_rows", "n_cols")} for f, other in (("least", 0), ("greatest", 1)))
 
 
 @query("j21_table_pairing", rf"""
 WITH RECURSIVE s AS (SELECT doc_id, side, idx, n_rows, n_cols, list_distinct(list_filter(string_split_regex(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[\s·|/(),:;\[\]{{}}<>]+'), lambda x: length(x) >= 2)) AS t FROM table_summaries),
-p AS (SELECT o.doc_id, o.idx AS o_idx, b.idx AS b_idx, len(list_intersect(o.t, b.t)) / (len(o.t) + len(b.t) - len(list_intersect(o.t, b.t))) AS k, {CLOSE.format(c="n_rows")} AS r, {CLOSE.format(c="n_cols")} AS c
+f AS (SELECT o.doc_id, o.idx AS o_idx, b.idx AS b_idx, CAST(len(list_intersect(o.t, b.t)) AS HUGEINT) AS k, len(o.t) + len(b.t) - len(list_intersect(o.t, b.t)) AS u,
+  {LEAST["n_rows"]} AS r, {MOST["n_rows"]} AS r1, {LEAST["n_cols"]} AS c, {MOST["n_cols"]} AS c1
   FROM s o JOIN s b ON o.doc_id = b.doc_id AND o.side = 'original' AND b.side = 'baseline' WHERE len(o.t) > 0 AND len(b.t) > 0),
-q AS (SELECT doc_id, o_idx, list(struct_pack(b := b_idx, s := CAST(k * 0.78 + r * 0.14 + c * 0.08 AS DOUBLE), k := CAST(k AS DOUBLE)) ORDER BY k * 0.78 + r * 0.14 + c * 0.08 DESC, b_idx) AS cands FROM p GROUP BY 1, 2),
+p AS (SELECT doc_id, o_idx, b_idx, 78 * k * r1 * c1 + 14 * CAST(r AS HUGEINT) * u * c1 + 8 * CAST(c AS HUGEINT) * u * r1 AS above, 100 * CAST(u AS HUGEINT) * r1 * c1 AS below, 5 * k >= u AS enough FROM f),
+q AS (SELECT doc_id, o_idx, list(struct_pack(b := b_idx, s := (above * 1000000000000000000) // below, m := CAST((above * 2000 + below) // (2 * below) AS BIGINT), k := enough) ORDER BY (above * 1000000000000000000) // below DESC, b_idx) AS cands FROM p GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o_idx) AS n FROM q),
-w(doc_id, n, o_idx, used, best, ok) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST(0 AS INT), CAST([] AS INT[]), CAST(NULL AS STRUCT(b INT, s DOUBLE, k DOUBLE)), false FROM n UNION ALL
-  SELECT doc_id, n, o_idx, CASE WHEN best.s >= 0.32 AND best.k >= 0.2 THEN list_append(used, best.b) ELSE used END, best, coalesce(best.s >= 0.32 AND best.k >= 0.2, false)
+w(doc_id, n, o_idx, used, best, ok) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST(0 AS INT), CAST([] AS INT[]), CAST(NULL AS STRUCT(b INT, s HUGEINT, m BIGINT, k BOOLEAN)), false FROM n UNION ALL
+  SELECT doc_id, n, o_idx, CASE WHEN best.s >= 320000000000000000 AND best.k THEN list_append(used, best.b) ELSE used END, best, coalesce(best.s >= 320000000000000000 AND best.k, false)
   FROM (SELECT n.doc_id, n.n, n.o_idx, w.used, list_filter(n.cands, lambda c: NOT list_contains(w.used, c.b))[1] AS best FROM w JOIN n ON n.doc_id = w.doc_id AND n.n = w.n + 1))
-SELECT doc_id, o_idx, best.b AS b_idx, round(best.s, 3) AS score FROM w WHERE ok""")
+SELECT doc_id, o_idx, best.b AS b_idx, best.m / 1000.0 AS score FROM w WHERE ok""")
 def _(t):
     x = t.table_summaries
     return s.pair_tables(x.where("side = 'original'"), x.where("side = 'baseline'"))

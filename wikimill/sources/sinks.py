@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import wiki_url
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -70,15 +70,40 @@ def artifact_manifest(docs: DataFrame, key: str, kinds: dict[str, str]) -> DataF
     return d.withColumn("path", F.concat_ws("/", F.lit("browser-artifacts"), F.col(key).cast("string"), F.concat("hash", F.lit("."), "kind", F.lit(".gz"))))
 
 
-def export_artifacts(manifest: DataFrame, path: str) -> None:
-    """Write each distinct content once, compressed, below its kind.
+SMALL = 1_000_000  # keys and digests in a broadcast, about 150 bytes each
+
 
-    One document is picked for each content by its key, from keys and digests alone; the others drop out by a semi-join.
+def missing_artifacts(manifest: DataFrame, known: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+    """``kind, hash, content`` of each content once, without those in ``known(kind, hash)``.
+
+    The row with the least key keeps a content (``key``, the first column, tells rows apart). That is decided on keys and digests
+    alone; the decision goes to the contents as a broadcast of the rows to keep or of the rows to drop, whichever is fewer, so
+    contents are not moved. Only if both are more than ``small`` the rows to keep are joined by a shuffle.
     """
     key = manifest.columns[0]
-    owner = manifest.groupBy("kind", "hash").agg(F.min(key).alias(key))
-    once = manifest.join(owner, [key, "kind", "hash"], "left_semi").select("kind", "hash", "content")
-    once.write.partitionBy("kind").mode("overwrite").option("compression", "gzip").parquet(path)
+    digests = stored(manifest.select(key, "kind", "hash").distinct(), "artifact-digests")
+    wanted = digests if known is None else digests.join(known.select("kind", "hash").distinct(), ["kind", "hash"], "left_anti")
+    keep = stored(wanted.groupBy("kind", "hash").agg(F.min(key).alias(key)), "artifact-owners")
+    n_all, n_keep = digests.count(), keep.count()
+    here = manifest.select(F.col(key).alias("_key"), "kind", "hash", "content")
+
+    def same(side: DataFrame) -> Column:
+        return F.col("_key").eqNullSafe(side[key]) & (here["kind"] == side["kind"]) & (here["hash"] == side["hash"])
+
+    if n_keep > small >= n_all - n_keep:
+        match = [digests[c].eqNullSafe(keep[c]) for c in (key, "kind", "hash")]
+        drop = digests.join(keep, match, "left_anti")
+        return here.join(F.broadcast(drop), same(drop), "left_anti").drop("_key")
+    return here.join(F.broadcast(keep) if n_keep <= small else keep, same(keep), "left_semi").drop("_key")
+
+
+def export_artifacts(manifest: DataFrame, path: str) -> None:
+    """Add each content that the store at ``path`` does not have, compressed, below its kind. What is there stays."""
+    spark = manifest.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    known = spark.read.parquet(path).select("kind", "hash") if there else None
+    missing_artifacts(manifest, known).write.partitionBy("kind").mode("append").option("compression", "gzip").parquet(path)
 
 
 def sitemap(index: DataFrame, base: str) -> DataFrame:

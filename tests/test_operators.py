@@ -283,3 +283,23 @@ def test_artifacts_are_written_once_and_contents_are_not_moved(spark, tmp_path):
     assert files < {f.name for f in (tmp_path / "store").rglob("part-*")}
     k.export_artifacts(manifest, path)
     assert out.sparkSession.read.parquet(path).count() == len(want)
+
+
+def test_template_closure_equals_a_walk_from_every_root(spark):
+    rnd = random.Random(21)
+    names = [f"틀:T{i}" for i in range(12)]
+    docs = [(f"R{i % 4}", f"R{i % 4}/d{i}", " ".join(f"[include({n})]" for n in rnd.sample(names, 2))) for i in range(8)]
+    docs += [("R0", n, " ".join(f"[include({x})]" for x in rnd.sample(names, rnd.randrange(3)))) for n in names[:9]]
+    out = {n: re.findall(r"include\(([^)]+)\)", text) for _, n, text in docs if n in names}
+    want = set()
+    for root in {d[0] for d in docs}:
+        depth = {n: 0 for r0, title, text in docs if r0 == root and title not in names for n in re.findall(r"include\(([^)]+)\)", text)}
+        queue = list(depth)
+        for n in queue:
+            for x in out.get(n, []):
+                if x not in depth:
+                    depth[x] = depth[n] + 1
+                    queue.append(x)
+        want |= {(root, n, d, n in out) for n, d in depth.items()}
+    got = g.template_closure(spark.createDataFrame(docs, "root_title string, source_title string, source_wikitext string"))
+    assert {(x["root"], x["node"], x["depth"], x["found"]) for x in got.collect()} == want

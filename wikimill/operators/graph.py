@@ -66,7 +66,11 @@ def template_closure(docs: DataFrame) -> DataFrame:
         .select(F.col("owner").alias("root"), F.col("template").alias("node"))
     )
     known = d.where(is_template).select(F.col("_key").alias("node"), F.lit(True).alias("found")).distinct()
-    reached = transitive_closure(seeds, edges.where(F.col("src").startswith("틀:")))
+    # a template that many roots use is walked once: the closure is that of the used templates, and the roots join it
+    seeds = seeds.distinct()
+    used = seeds.select(F.col("node").alias("root"), "node").distinct()
+    below = stored(transitive_closure(used, edges.where(F.col("src").startswith("틀:"))), "template-closure")
+    reached = seeds.withColumnRenamed("node", "via").join(below.withColumnRenamed("root", "via"), "via").groupBy("root", "node").agg(F.min("depth").alias("depth"))
     return reached.join(known, "node", "left").select("root", "node", "depth", F.coalesce("found", F.lit(False)).alias("found"))
 
 

@@ -114,10 +114,17 @@ RENDERED = {
 }
 
 
-@query("x15_rendered_features", f"""SELECT page_id, {", ".join(f"len(regexp_extract_all(html, '{p}')) AS {n}" for n, p in RENDERED.items())} FROM wiki_pages""")
+RENDERED_PAGES = """SELECT page_id, html || repeat('<span id="f" class="a wiki-fn-content">n</span>', CAST(page_id % 3 AS INT)) || CASE WHEN page_id % 2 = 0 THEN '<div class="wiki-macro-toc">t</div><div class="wiki-heading x">h</div>' ELSE '' END
+ || repeat('<a class="wiki-link-internal" href="/w/L">l</a><a class="wiki-link-internal-not" href="/w/L">l</a>', CAST(page_id % 4 AS INT)) AS html FROM wiki_pages"""
+
+
+CLASSES = {"footnotes": ("[^>]*", "wiki-fn-content", "page_id % 3"), "toc": ("[^>]*", "wiki-macro-toc", "CAST(page_id % 2 = 0 AS INT)"), "links": (r"a\b[^>]*", "wiki-link-internal", "page_id % 4 * 2")}
+
+
+@query("x15_rendered_features", f"""SELECT page_id, {", ".join(f"len(regexp_extract_all(html, '{p}')) + {'CAST(page_id % 2 = 0 AS INT)' if n == 'headings' else 0} AS {n}" for n, p in RENDERED.items())},
+ {", ".join(f"""len(regexp_extract_all(html, '(?i)<{tag}\\bclass="[^"]*\\b{name}\\b')) + {more} AS {n}""" for n, (tag, name, more) in CLASSES.items())} FROM wiki_pages""")
 def _(t):
-    f = h.rendered_features("html")
-    return t.wiki_pages.select("page_id", *[f[n].alias(n) for n in RENDERED])
+    return t.sql(RENDERED_PAGES).select("page_id", *[c.alias(n) for n, c in h.rendered_features("html").items()])
 
 
 GRAMMAR_SRC = """SELECT id, '{{{#!wiki a' || chr(10) || 'x}}}{{{#!folding b' || chr(10) || 'y}}}' || CASE WHEN id % 3 = 0 THEN '[[open {{{' ELSE ']] }}}' END || chr(10) || replace(replace(text, '[', '('), '{', '(') AS src FROM wiki_docs"""
@@ -229,11 +236,11 @@ def _(t):
 
 
 @query("x34_page_links", rf"""
-WITH l AS (SELECT id, unnest(regexp_extract_all({ACTIVE}, '\[\[([^\[\]]+?)\]\]', 1)) AS inside FROM wiki_docs WHERE source_wikitext IS NOT NULL),
-a AS (SELECT id, trim(regexp_extract(inside, '^([^|]*)', 1)) AS t0 FROM l), b AS (SELECT id, t0, trim(regexp_replace(t0, '#.*$', '')) AS t2 FROM a)
-SELECT DISTINCT id, title FROM (SELECT id, {RESOLVED} AS title FROM b) WHERE title <> ''""")
+WITH l AS (SELECT id, unnest(m) AS inside, generate_subscripts(m, 1) AS k FROM (SELECT id, regexp_extract_all({ACTIVE}, '\[\[([^\[\]]+?)\]\]', 1) AS m FROM wiki_docs WHERE source_wikitext IS NOT NULL)),
+a AS (SELECT id, k, trim(regexp_extract(inside, '^([^|]*)', 1)) AS t0, trim(regexp_replace(regexp_replace(inside, '^[^|]*\|', ''), '\s+', ' ', 'g')) AS text FROM l), b AS (SELECT id, k, text, t0, trim(regexp_replace(t0, '#.*$', '')) AS t2 FROM a)
+SELECT id, title, arg_min(text, k) AS text FROM (SELECT id, k, text, {RESOLVED} AS title FROM b) WHERE title <> '' GROUP BY 1, 2""")
 def _(t):
-    return x.page_links(t.wiki_docs, "id", "source_title", "source_wikitext").select("id", "title")
+    return x.page_links(t.wiki_docs, "id", "source_title", "source_wikitext").select("id", "title", "text")
 
 
 RELATION_PAGES = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'G' || CAST(page_id % 20 AS STRING) ELSE 'P' || CAST(page_id AS STRING) END AS title, 'G' || CAST(page_id % 20 AS STRING) AS root_title, html FROM wiki_pages"
@@ -295,12 +302,21 @@ def _(t):
     return t.url_rows.select("id", F.explode(remote_candidates("url")).alias("candidate"))
 
 
+# leaked control syntax of a kind that depends on the page, and what is left of it
+LEAKED = """SELECT page_id, html || CASE page_id % 5 WHEN 0 THEN '<td>x {{{#!wiki b</td>' WHEN 1 THEN '<td> {{{#!if a == b<br></td>' WHEN 2 THEN '<td>&lt;tablewidth=100%&gt; y</td>' WHEN 3 THEN '<img class=z alt=q w="//file.mirror.example/file/abc">'
+ ELSE '<dd> || &lt;rowcolor=red&gt;<b>[[a|</b><a class="x not-exist" title="파일:n.png">f</a>' END || CASE WHEN page_id % 3 = 0 THEN '<p style="background-color: keepall">' ELSE '<p>' END || '}}} tail</p> {{{+1 big' AS html FROM wiki_pages"""
+
+
 @query("x40_repair_report", r"""
-SELECT page_id, 1 AS raw_blocks, 1 AS leaked_directives, 1 AS orphan_closers, 0 AS split_links, 1 AS image_hints FROM pages""")
-def _(t):
-    extra = "<td>x {{{#!wiki b</td> <img class=z alt=q w=\"//file.mirror.example/file/abc\"> }}}"
-    p = t.wiki_pages.withColumn("html", F.concat("html", F.lit(extra)))
-    return x.repair_html(p, "page_id", "html", as_of()).select("page_id", "raw_blocks", "leaked_directives", "orphan_closers", "split_links", "image_hints")
+SELECT page_id, md5(regexp_replace(regexp_replace(html, '\[dday\(2024-01-01\)\]', 'DDAY'), '\[age\(2000-06-15\)\]', 'AGE') || CASE page_id % 5 WHEN 0 THEN '<td>x </td>' WHEN 1 THEN '' WHEN 2 THEN '<td>y</td>' WHEN 3 THEN '<img class=z alt=q w="//file.mirror.example/file/abc" data-original="//file.mirror.example/file/abc">'
+  ELSE '<dd>&lt;rowcolor=red&gt;<b>[[a|</b><img class="unresolved-file" alt="파일:n.png" data-unresolved="1">' END || CASE WHEN page_id % 3 = 0 THEN '<p style="">' ELSE '<p>' END || 'tail</p> big') AS digest, 1 AS raw_blocks,
+ CAST(page_id % 5 = 1 AS INT) AS directive_only_cells, CAST(page_id % 5 < 2 AS INT) AS leaked_directives, 1 AS orphan_closers, CAST(page_id % 5 IN (2, 4) AS INT) AS leaked_table_options, CAST(page_id % 5 = 4 AS INT) AS split_links,
+ CAST(page_id % 5 = 4 AS INT) AS unresolved_file_anchors, CAST(page_id % 3 = 0 AS INT) AS semantic_styles, CAST(page_id % 5 = 4 AS INT) AS hybrid_tables, CAST(page_id % 5 = 3 AS INT) AS image_hints FROM wiki_pages""")
+def _(t):
+    d = x.repair_html(t.sql(LEAKED), "page_id", "html", as_of())
+    # the dated macros have their own query; here they stand for whatever they give
+    today = F.regexp_replace(F.regexp_replace("html", r"(tail &lt;b&gt; text )\S+ \S+(</p></article>)", "$1DDAY AGE$2"), r"^$", "")
+    return d.withColumn("digest", F.md5(today.cast("binary"))).drop("html")
 
 
 @query("x41_render_manifest", r"""

@@ -25,10 +25,10 @@ def _(t):
 @query("g2_template_closure", r"""
 WITH RECURSIVE d AS (SELECT regexp_replace(source_title, '^Template:', '틀:') AS title, root_title, source_wikitext FROM wiki_docs),
 e AS (SELECT DISTINCT title, root_title, '틀:' || trim(unnest(regexp_extract_all(source_wikitext, '\[include\(Template:([^,)\n]+)', 1))) AS dst FROM d WHERE source_wikitext IS NOT NULL),
-c AS (SELECT DISTINCT root_title AS root, dst AS node FROM e WHERE NOT starts_with(title, '틀:') UNION SELECT c.root, e.dst FROM c JOIN e ON e.title = c.node)
-SELECT root, node, node IN (SELECT title FROM d) AS found FROM c""")
+c AS (SELECT DISTINCT root_title AS root, dst AS node, 0 AS depth FROM e WHERE NOT starts_with(title, '틀:') UNION SELECT c.root, e.dst, c.depth + 1 FROM c JOIN e ON e.title = c.node WHERE c.depth < (SELECT count(DISTINCT dst) FROM e))
+SELECT root, node, min(depth) AS depth, node IN (SELECT title FROM d) AS found FROM c GROUP BY 1, 2""")
 def _(t):
-    return g.template_closure(t.wiki_docs).select("root", "node", "found")
+    return g.template_closure(t.wiki_docs)
 
 
 SEEDS = "SELECT DISTINCT 'N' || CAST(n_nationkey AS STRING) AS root, 'N' || CAST(n_nationkey AS STRING) AS node FROM nation"

@@ -55,13 +55,15 @@ def _(t):
     return b.select("page_id", "type", digest("text").alias("digest"))
 
 
+CELLS = """SELECT page_id, replace(replace(html, 'background-color:#fff;', 'background-color:#fff;color:#0' || CAST(page_id % 10 AS STRING) || 'f;'), '<td></td></tr></table>', '<td><img src="//i.mirror.example/i/' || CAST(page_id AS STRING) || '.png"></td></tr></table>') AS html FROM wiki_pages"""
+
+
 @query("x11_table_cells", """
-SELECT page_id, 0 AS "row", 0 AS col, 1 AS rowspan, 2 AS colspan, true AS header, '#fff' AS background, 'center' AS align, 'G' || CAST(page_id % 20 AS VARCHAR) || ' album' AS text, '' AS link_url FROM pages UNION ALL
-SELECT page_id, 1, 0, 1, 1, false, '', '', '2022. 1. 2.', '' FROM pages UNION ALL SELECT page_id, 1, 1, 1, 1, false, '', '', 'song', '/w/G' || CAST(page_id % 20 AS VARCHAR) || '/Song%20' || CAST(page_id % 7 AS VARCHAR) FROM pages UNION ALL
-SELECT page_id, 2, 0, 2, 1, false, '', '', 'x', '' FROM pages UNION ALL SELECT page_id, 2, 1, 1, 1, false, '', '', '', '' FROM pages""")
+SELECT page_id, 0 AS "row", 0 AS col, 1 AS rowspan, 2 AS colspan, true AS header, '#fff' AS background, '#0' || CAST(page_id % 10 AS VARCHAR) || 'f' AS color, 'center' AS align, 'G' || CAST(page_id % 20 AS VARCHAR) || ' album' AS text, '' AS image_url, '' AS link_url FROM pages UNION ALL
+SELECT page_id, 1, 0, 1, 1, false, '', '', '', '2022. 1. 2.', '', '' FROM pages UNION ALL SELECT page_id, 1, 1, 1, 1, false, '', '', '', 'song', '', '/w/G' || CAST(page_id % 20 AS VARCHAR) || '/Song%20' || CAST(page_id % 7 AS VARCHAR) FROM pages UNION ALL
+SELECT page_id, 2, 0, 2, 1, false, '', '', '', 'x', '', '' FROM pages UNION ALL SELECT page_id, 2, 1, 1, 1, false, '', '', '', '', 'https://i.mirror.example/i/' || CAST(page_id AS VARCHAR) || '.png', '' FROM pages""")
 def _(t):
-    c = p.table_cells(p.page_blocks(p.page_sections(t.wiki_pages, "page_id", "html"), "page_id"), ["page_id", "section", "pos"])
-    return c.select("page_id", "row", "col", "rowspan", "colspan", "header", "background", "align", "text", "link_url")
+    return p.table_cells(p.page_blocks(p.page_sections(t.sql(CELLS), "page_id", "html"), "page_id"), ["page_id", "section", "pos"]).drop("section", "pos")
 
 
 GRID = """SELECT page_id, '<article><table><tr><td></td><td>T</td><td>' || url || '</td></tr><tr><td>c</td><td>d</td><td></td></tr><tr><td>e</td><td>f</td></tr><tr><td>g</td><td>h</td></tr></table></article>' AS html FROM pages"""
@@ -104,10 +106,9 @@ def _(t):
 
 
 @query("x13_structure_statistics", """
-SELECT id, 3 AS headings, 1 AS tables, 1 + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END AS templates, 1 AS media, 1 AS fallbacks FROM wiki_docs WHERE source_wikitext IS NOT NULL""")
+SELECT id, 14 + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END AS blocks, 3 AS headings, 1 AS tables, 1 + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END AS templates, 1 AS media, 1 AS fallbacks, 2 AS links FROM wiki_docs WHERE source_wikitext IS NOT NULL""")
 def _(t):
-    s = p.structure_statistics(t.wiki_docs, "id", "source_wikitext")
-    return s.select("id", "headings", "tables", "templates", "media", "fallbacks")
+    return p.structure_statistics(t.wiki_docs, "id", "source_wikitext")
 
 
 @query("x21_markup_cells", """

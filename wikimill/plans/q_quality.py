@@ -50,13 +50,19 @@ def _(t):
     return t.translations.select("id", F.array_join(v.structure_errors("source_text", "translated_text"), ";").alias("errors"))
 
 
-@query("v4_syntax_leaks", r"""
-SELECT id, 'include' AS kind, len(regexp_extract_all(source_wikitext, '(?i)\[include\(')) AS n FROM wiki_docs WHERE source_wikitext IS NOT NULL UNION ALL
-SELECT id, 'file-link', len(regexp_extract_all(source_wikitext, '(?i)\[\[(?:파일|File):')) FROM wiki_docs WHERE source_wikitext IS NOT NULL UNION ALL
-SELECT id, 'directive', len(regexp_extract_all(source_wikitext, '#!(?:wiki|if|folding)\b')) FROM wiki_docs WHERE source_wikitext IS NOT NULL UNION ALL
-SELECT id, 'youtube-macro', len(regexp_extract_all(source_wikitext, '(?i)\[youtube\(')) FROM wiki_docs WHERE source_wikitext IS NOT NULL""")
+LEAK_KINDS = {"include": r"(?i)\[include\(", "file-link": r"(?i)\[\[(?:파일|File):", "directive": r"(?i)#!(?:wiki|if|folding)\b", "youtube-macro": r"(?i)\[youtube\("}
+# places of all matches from the lengths of the pieces and matches before them, then the passage around each
+PLACED = r"""SELECT id, '{kind}' AS kind, len(m) AS n, list_distinct(list_transform(range(1, len(m) + 1), lambda i: (list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) + 1)::BIGINT)) AS places, m, t
+ FROM (SELECT id, t, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m FROM v) WHERE len(m) > 0"""
+
+
+@query("v4_syntax_leaks", rf"""
+WITH v AS (SELECT id, replace(replace(replace(replace(replace(replace(regexp_replace(source_wikitext, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)) AS t FROM wiki_docs WHERE source_wikitext IS NOT NULL),
+f AS ({" UNION ALL ".join(PLACED.format(kind=kind, pattern=pattern) for kind, pattern in LEAK_KINDS.items())})
+SELECT id, kind, n, array_to_string(list_sort(list_distinct(list_transform(range(1, len(m) + 1), lambda i: trim(regexp_replace(substr(t, greatest(1, places[i] - 45), places[i] - greatest(1, places[i] - 45) + length(m[i]) + 75), '\s+', ' ', 'g'))))), ' // ') AS samples FROM f""")
 def _(t):
-    return v.syntax_leaks(t.wiki_docs.where("source_wikitext IS NOT NULL"), "id", "source_wikitext").drop("samples")
+    d = v.syntax_leaks(t.wiki_docs.where("source_wikitext IS NOT NULL"), "id", "source_wikitext")
+    return d.withColumn("samples", F.array_join(F.array_sort("samples"), " // "))
 
 
 @query("v4_leak_gate", r"""

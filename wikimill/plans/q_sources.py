@@ -45,10 +45,11 @@ IMAGES = """SELECT p_partkey AS id, CASE p_partkey % 7
 @query("s6_image_inspection", """
 SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 IN (4, 5) THEN '' ELSE CASE p_partkey % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/svg+xml' ELSE 'image/png' END END AS type,
  CASE WHEN p_partkey % 11 = 0 THEN 'http_status' WHEN p_partkey % 7 = 5 THEN 'empty' WHEN p_partkey % 7 = 4 THEN 'not_an_image' WHEN p_partkey % 7 IN (0, 1, 2) AND p_size <= 2 THEN 'placeholder_size' ELSE '' END AS rejected,
- CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE CASE p_partkey % 7 WHEN 0 THEN p_size WHEN 1 THEN p_size + 256 WHEN 2 THEN 320 ELSE 0 END END AS width FROM part""")
+ CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE CASE p_partkey % 7 WHEN 0 THEN p_size WHEN 1 THEN p_size + 256 WHEN 2 THEN 320 ELSE 0 END END AS width,
+ CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE CASE p_partkey % 7 WHEN 0 THEN p_size + 10 WHEN 1 THEN p_size WHEN 2 THEN p_size ELSE 0 END END AS height FROM part""")
 def _(t):
     d = s.inspect_images(t.sql(IMAGES))
-    return d.select("id", "type", "rejected", F.coalesce("width", F.lit(0)).alias("width"))
+    return d.select("id", "type", "rejected", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height")))
 
 
 UPDATES = "SELECT o_orderkey % 1300 AS id, 'resolved' AS status, 'https://cdn.example/u' || CAST(o_orderkey AS STRING) AS resolved_url, o_orderkey AS ord FROM orders"

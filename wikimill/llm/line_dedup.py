@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import let
 from .common import cut_lineage, free_name, text_of
 
 WINDOW = 3
@@ -36,10 +37,11 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                  F.transform("lines", lambda z: F.md5(z["x"])).alias("m"))
     starts = F.sequence(F.lit(0), F.size("h") - window)
     # The rightmost least hash of each window; windows that choose the same line give it once.
-    chosen = F.array_distinct(F.transform(starts, lambda s: F.array_min(F.transform(
-        F.sequence(F.lit(0), F.lit(window - 1)), lambda j: F.struct(F.element_at("h", s + j + 1).alias("h"), (-(s + j)).alias("p"))))))
-    chosen = F.transform(chosen, lambda c: F.struct(c["h"].alias("h"), (-c["p"]).alias("p")))
-    d = d.withColumn("chosen", chosen)
+    chosen = F.transform(starts, lambda s: F.array_min(F.transform(
+        F.sequence(F.lit(0), F.lit(window - 1)), lambda j: F.struct(F.element_at("h", s + j + 1).alias("h"), (-(s + j)).alias("p")))))
+    # The chosen line never moves back, so equal choices are neighbours.
+    fresh = lambda cs: F.filter(cs, lambda c, i: (i == 0) | (F.get(cs, i - 1)["p"] != c["p"]))
+    d = d.withColumn("chosen", F.transform(let(chosen, fresh), lambda c: F.struct(c["h"].alias("h"), (-c["p"]).alias("p"))))
 
     def around(p: Column) -> Column:
         first, last = F.greatest(p - window + 1, F.lit(0)), F.least(p, F.size(F.col("h")) - window)
@@ -71,7 +73,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     found = found.select(F.col("doc_id").alias(doc), F.col("digest").alias(dig), F.col("removed").alias(gone))
     out = docs.join(found, F.col(id_col).eqNullSafe(found[doc]) & (digest == found[dig]), "left")
     removed = F.col(gone)
-    kept = F.filter(lines_of(F.col(text_col)), lambda x, i: ~F.array_contains(removed, i))
+    # array_except looks numbers up by their hash
+    kept = let(lines_of(F.col(text_col)), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), removed), lambda i: F.get(x, i)))
     text = F.when(removed.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
     return out.withColumn(n_lines, F.coalesce(F.size(lines_of(F.col(text_col))), F.lit(0)).cast("long")).withColumn(

@@ -63,35 +63,52 @@ def targets_of(sizes: list[int], mix: Mix = Mix()) -> list[float]:
     return out
 
 
-def split_counts(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """A draw of ``take`` of ``sum(counts)`` slots without return, by source (multivariate hypergeometric).
+def drawn(marked: int, other: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` slots drawn without return are ``marked``: a hypergeometric draw, exact for any size.
 
-    Beyond the generator's range of 10**9 the normal approximation is used; its error there is far below one slot in 10**4.
+    Every slot is taken by itself with the probability that gives ``take`` on average. What is missing is then drawn from the rest,
+    and what is too much is drawn back out of those taken, in the same way; both are about the root of ``take``.
     """
+    out, sign = 0, 1
+    while take:
+        if take == marked + other or not marked:
+            return out + sign * min(marked, take)
+        p = take / (marked + other)
+        m, o = int(rng.binomial(marked, p)), int(rng.binomial(other, p)) if other else 0
+        out += sign * m
+        if m + o <= take:
+            marked, other, take = marked - m, other - o, take - m - o
+        else:
+            marked, other, take, sign = m, o, m + o - take, -sign
+    return out
+
+
+def split_counts(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """A draw of ``take`` of ``sum(counts)`` slots without return, by source (multivariate hypergeometric)."""
     out, rest = np.zeros_like(counts), int(counts.sum())
     for i, c in enumerate(counts.tolist()):
-        other = rest - c
-        low, high = max(0, take - other), min(c, take)
-        if low >= high:
-            x = low
-        elif rest < 10**9:
-            x = int(rng.hypergeometric(c, other, take))
-        else:
-            p = c / rest
-            sd = math.sqrt(max(0.0, take * p * (1 - p) * (rest - take) / max(1, rest - 1)))
-            x = min(high, max(low, round(rng.normal(take * p, sd))))
-        out[i], take, rest = x, take - x, other
+        rest -= c
+        out[i] = drawn(c, rest, take, rng)
+        take -= int(out[i])
     return out
 
 
-def shard_draw(quota: np.ndarray, shards: int, shard: int, mix: Mix) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of each source in ``shard`` and in all shards before it."""
+KNOWN = 10_000  # splits a task remembers; neighbouring shards share nearly all of theirs
+
+
+def shard_draw(quota: np.ndarray, shards: int, shard: int, mix: Mix, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of each source in ``shard`` and in all shards before it. ``known`` remembers the splits of the tree."""
+    known = {} if known is None else known
+    if len(known) > KNOWN:
+        known.clear()
     total = int(quota.sum())
     bound = lambda k: total * k // shards
     lo, hi, counts, before = 0, shards, quota.astype(np.int64), np.zeros(len(quota), np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = split_counts(counts, bound(mid) - bound(lo), np.random.default_rng([mix.seed, lo, hi]))
+        if (lo, hi) not in known:
+            known[lo, hi] = split_counts(counts, bound(mid) - bound(lo), np.random.default_rng([mix.seed, lo, hi]))
+        left = known[lo, hi]
         if shard < mid:
             hi, counts = mid, left
         else:
@@ -164,9 +181,10 @@ def slots(spark, plan: list[Source], mix: Mix) -> DataFrame:
     shards = max(1, -(-int(quota.sum()) // mix.shard_blocks))
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for frame in frames:
             for shard in frame["id"].tolist():
-                counts, before = shard_draw(quota, shards, shard, mix)
+                counts, before = shard_draw(quota, shards, shard, mix, known)
                 s = np.repeat(np.arange(len(plan)), counts)
                 block = np.zeros(len(s), np.int64)
                 for i in np.flatnonzero(counts).tolist():

@@ -30,7 +30,6 @@ STEPS = 1.5  # steps that are sampled, in windows: a walk of 3 windows has mostl
 ITEM_BLOCK_WORDS = 200_000  # words of items that one pass over the documents takes along, about 250 bytes each in the index
 LARGEST = 11  # words of a window; items of 14 words and more are one class
 STRIDE = 2  # words between the beginnings of document windows
-SCHEMA = "doc_id long, item_id long, start long, n_words long, distance long"
 
 
 @dataclass(frozen=True)
@@ -214,10 +213,10 @@ def recall_of(plan: Plan, n: int, edits: int, trials: int = 300, vocabulary: int
     return hits / trials
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[np.ndarray]]]:
     """The items, streamed to the driver and cut into blocks of at most ``ITEM_BLOCK_WORDS`` words (or one longer item)."""
     ids, words, size = [], [], 0
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null")
+    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null")
     for row in rows.orderBy("i", "t").toLocalIterator():
         chunk = next(word_chunks(pa.array([row["t"]]), WORD_LIKE, True))
         h = chunk.hashes()
@@ -243,6 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan(), id_
     """
     spark = docs.sparkSession
     docs = document(docs, id_col, text_col).where("text is not null and doc_id is not null")
+    types = [d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, item_id_col))]
+    schema = f"doc_id {types[0]}, item_id {types[1]}, start long, n_words long, distance long"
     parts = []
     for ids, words in item_blocks(benchmark, item_id_col, item_text_col):
         index = spark.sparkContext.broadcast(ItemIndex(ids, words, plan))
@@ -255,9 +256,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan(), id_
                     text, item, start, n, distance = map(list, zip(*rows, strict=True))
                     yield {"doc_id": doc_id.take(pa.array([chunk.lo + t for t in text])), "item_id": item, "start": start, "n_words": n, "distance": distance}
 
-        parts.append(map_batches(docs, search, SCHEMA))
+        parts.append(map_batches(docs, search, schema))
     if not parts:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], schema)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

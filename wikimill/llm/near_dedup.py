@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import document, free_name, map_batches, map_groups, settle, stored
+from .common import document, free_name, map_batches, map_groups, settle, stored, text_of
 from .components import components
 from .words import NON_SPACE, U64, Words, mix, window_hashes, window_starts, word_chunks
 
@@ -274,6 +274,19 @@ def near_duplicates(docs: DataFrame, trees: Trees = Trees(), id_col: str = "doc_
 
 
 def keep_one(docs: DataFrame, trees: Trees = Trees(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are not kept; all columns stay."""
-    gone = near_duplicates(docs, trees, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(free_name(docs, "gone_"))).distinct()
-    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
+    """``docs`` with one row of each group; all columns stay. Rows without words have no group and stay.
+
+    Rows are told apart by id and text, so another text with the id of a dropped row stays, and a null id counts as any other (as
+    the least). Of rows with equal id and text one stays.
+    """
+    key, gone = free_name(docs, "row_"), free_name(docs, "gone_")
+    rows = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("digest")))
+    found = stored(near_duplicates(rows, trees, key, text_col), "near-rows")
+    drop = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct(), "near-gone")
+    again = found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias(gone)).count().where("count > 1")
+    again = stored(again.select(gone), "near-again")
+    same = F.col(key) == F.col(gone)
+    single = rows.join(drop.unionByName(again), same, "left_anti")
+    if again.isEmpty():
+        return single.drop(key)
+    return single.unionByName(rows.join(again, same, "left_semi").dropDuplicates([key])).drop(key)

@@ -163,9 +163,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain(), id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The chain fitted on the bounded sample; None if no document has a label. Labels with a null in a category are left out."""
+    """The chain fitted on the bounded sample; None if no document has a label. Labels with a null in a category are left out; of
+    several labels of one document the greatest value of each category counts."""
     names = [n for n, _ in chain.categories]
-    rows = labels.select(F.col("doc_id").alias("label_id"), *(F.expr(c).cast("int").alias(n) for n, c in chain.categories)).dropna().dropDuplicates(["label_id"])
+    rows = labels.select(F.col("doc_id").alias("label_id"), *(F.expr(c).cast("int").alias(n) for n, c in chain.categories)).dropna()
+    rows = rows.groupBy("label_id").agg(*(F.max(n).alias(n) for n in names))
     order = F.xxhash64("label_id", F.lit(chain.seed))
     have = document(docs, id_col, text_col).where("doc_id is not null")
     # Only labels of documents that are there count; the sample is drawn on ids alone, then its texts are fetched.

@@ -16,20 +16,28 @@ from wikimill.llm import decontaminate, line_dedup, mixture, near_dedup, toxicit
 from wikimill.llm.common import free_name, read, stored
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids(doc_id)``; rows with a null id stay."""
-    gone = ids.select(F.col("doc_id").alias(free_name(docs, "gone_"))).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of id and text digest, and the key's name: decisions hold for a text and not for whatever else has its id."""
+    name = free_name(docs, "row_")
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.withColumn(name, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), digest.cast("string"))), name
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone(doc_id)``; the key goes again."""
+    name = free_name(rows, "gone_")
+    return rows.join(gone.select(F.col("doc_id").alias(name)).distinct(), F.col(key) == F.col(name), "left_anti").drop(key)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier chain rejects go."""
+    """Rows the classifier chain rejects go. Texts without words stay; a null id and a repeated one are judged by their texts."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return without(docs, toxicity.classify(docs, model).where("toxic"))
+    rows, key = with_row(docs)
+    return without(rows, key, toxicity.classify(rows, model, id_col=key).where("toxic"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines are deleted from the texts; no document goes. ``n_chars`` follows the text."""
+    """Later copies of runs of lines are deleted from the texts; no row goes. ``n_chars`` follows the text. Null texts stay null."""
     out = line_dedup.dedup_lines(docs).select(docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -37,17 +45,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. The stage links at a similarity of 0.8."""
+    """One row of each group stays. The stage links at a similarity of 0.8. Rows without words are in no group and stay."""
     return near_dedup.keep_one(docs, near_dedup.Trees(percent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")))
+    """Rows that hold a passage of a benchmark item go, those with a null id as well. Null and empty texts hold none."""
+    rows, key = with_row(docs)
+    return without(rows, key, decontaminate.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col=key))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: blocks of words by shard and slot."""
+    """The training mix: blocks of words by shard and slot. Rows without words give none; null sources are one source."""
     return mixture.mix_texts(docs)
 
 

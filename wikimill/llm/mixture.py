@@ -117,19 +117,20 @@ def shard_draw(quota: np.ndarray, shards: int, shard: int, mix: Mix, known: dict
 
 
 def permuted(k: np.ndarray, n: int, key: list[int]) -> np.ndarray:
-    """A pseudorandom permutation of 0 … n-1 at ``k``: a four-round Feistel network, walked until it falls below ``n``."""
-    half = max(1, (max(1, int(n - 1).bit_length()) + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
+    """A pseudorandom permutation of 0 … n-1 at ``k``: four rounds that shift one coordinate of a grid of about root n by root n by a
+    hash of the other, walked until it falls below ``n``. The grid has hardly more than ``n`` places, so few walk on."""
+    wide = max(1, math.isqrt(max(1, n) - 1) + 1)
+    sides = (np.uint64(-(-n // wide) or 1), np.uint64(wide))
     keys = np.random.default_rng(key).integers(0, 2**63, 4, dtype=np.uint64)
 
     def once(x: np.ndarray) -> np.ndarray:
-        a, b = x >> np.uint64(half), x & mask
-        for r in keys:
-            f = (b + r) * np.uint64(0xBF58476D1CE4E5B9)
+        at = [x // sides[1], x % sides[1]]
+        for i, r in enumerate(keys):
+            f = (at[1 - i % 2] + r) * np.uint64(0xBF58476D1CE4E5B9)
             f ^= f >> np.uint64(31)
             f = (f * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)
-            a, b = b, a ^ (f & mask)
-        return (a << np.uint64(half)) | b
+            at[i % 2] = (at[i % 2] + f) % sides[i % 2]
+        return at[0] * sides[1] + at[1]
 
     out = once(k.astype(np.uint64))
     while (over := out >= n).any():

@@ -7,6 +7,7 @@ from ..functions.markup import active_source, source_features
 from ..operators import graph as g
 from ..operators import quality as v
 from ..operators.ranking import STAGES
+from .q_extract import ACTIVE, CLASSES, FEATURES, RENDERED
 from .registry import query
 
 JOBS = "SELECT id, run_id, source_document_id, CASE WHEN id % 40 = 0 THEN 'unknown' ELSE stage END AS stage, CASE WHEN id % 31 = 0 THEN 'stuck' ELSE status END AS status FROM pipeline_jobs"
@@ -221,12 +222,19 @@ def loss_columns():
     return v.structural_loss(s, r)
 
 
-@query("m4_structural_loss", r"""
-WITH d AS (SELECT w.id, w.source_wikitext AS s, p.html AS h FROM wiki_docs w JOIN wiki_pages p ON p.page_id = w.id WHERE w.source_wikitext IS NOT NULL)
-SELECT id, greatest(0, len(regexp_extract_all(s, '#!folding\b')) - len(regexp_extract_all(h, '(?i)<details\b'))) AS folding,
- greatest(0, len(regexp_extract_all(s, '(?i)\[youtube\(')) - len(regexp_extract_all(h, 'youtube\.com/embed/'))) AS youtube,
- greatest(0, len(regexp_extract_all(s, '<-\d+>')) - len(regexp_extract_all(h, '\scolspan\s*='))) AS colspan,
- greatest(0, len(regexp_extract_all(s, '(?i)\[\[(?:파일|File):')) - len(regexp_extract_all(h, '(?i)<img\b')) - len(regexp_extract_all(h, '(?i)<svg\b'))) AS images FROM d""")
+_SOURCE = ", ".join(f"len(regexp_extract_all(raw, '{FEATURES[n]}')) AS {n}" for n in ("folding", "youtube", "colspan", "rowspan", "toc"))
+_SHOWN = ", ".join([*(f"len(regexp_extract_all(html, '{p}')) AS {n}" for n, p in RENDERED.items()), *(f"""len(regexp_extract_all(html, '(?i)<{tag}\\bclass="[^"]*\\b{name}\\b')) AS {n}""" for n, (tag, name, _) in CLASSES.items())])
+
+
+@query("m4_structural_loss", f"""
+WITH r AS (SELECT id, {ACTIVE} AS raw FROM wiki_docs WHERE source_wikitext IS NOT NULL),
+s AS (SELECT id, {_SOURCE}, len(regexp_extract_all(raw, '\\[\\*')) - len(regexp_extract_all(raw, '\\[\\*\\*')) AS footnote,
+ len(list_filter(string_split(raw, chr(10)), lambda l: regexp_matches(l, '^={{1,6}}\\s*[^\\n=].*?\\s*={{1,6}}$'))) AS headings,
+ len(list_filter(regexp_extract_all(raw, '\\[\\[([^\\]|]+)(?:\\|[^\\]]*)?\\]\\]', 1), lambda l: trim(l) <> '' AND NOT regexp_matches(trim(l), '(?i)^(?:파일|File|분류|Category):'))) AS links,
+ len(regexp_extract_all(raw, '(?i)\\[\\[(?:파일|File):[^\\]|]+')) AS file_refs FROM r),
+p AS (SELECT page_id AS id, {_SHOWN} FROM wiki_pages)
+SELECT s.id, greatest(0, s.folding - p.details) AS folding, greatest(0, s.footnote - p.footnotes) AS footnotes, greatest(0, s.youtube - p.youtube) AS youtube, greatest(0, s.colspan - p.colspan) AS colspan,
+ greatest(0, s.rowspan - p.rowspan) AS rowspan, greatest(0, s.headings - p.headings) AS headings, greatest(0, s.toc - p.toc) AS toc, greatest(0, s.links - p.links) AS links, greatest(0, s.file_refs - p.images - p.svg) AS images FROM s JOIN p ON p.id = s.id""")
 def _(t):
     # counted first, so that only numbers are joined
     docs = t.wiki_docs.where("source_wikitext IS NOT NULL").select("id", active_source("source_wikitext").alias("raw"))
@@ -234,7 +242,7 @@ def _(t):
     docs = docs.select("id", *[c.alias(f"s_{n}") for n, c in source.items()])
     pages = t.wiki_pages.select(F.col("page_id").alias("id"), *[c.alias(f"r_{n}") for n, c in shown.items()])
     loss = v.structural_loss({n: F.col(f"s_{n}") for n in source}, {n: F.col(f"r_{n}") for n in shown})
-    return docs.join(pages, "id").select("id", *[loss[n].alias(n) for n in ("folding", "youtube", "colspan", "images")])
+    return docs.join(pages, "id").select("id", *[c.alias(n) for n, c in loss.items()])
 
 
 MATRIX = """SELECT id, id % 2 = 0 AS is_content, source_wikitext IS NOT NULL AS input_ready, length(coalesce(content_html, '')) AS html_chars, content_revision_no AS current_revision,

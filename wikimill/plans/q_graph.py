@@ -81,7 +81,14 @@ def _(t):
     return g.link_integrity(d.where("content_html IS NOT NULL"), "content_html", scope, d.where("published_revision_no > 0").select(F.col("source_title").alias("title")), Site())
 
 
-@query("g7_include_expansion")
+@query("g7_include_expansion", r"""
+WITH RECURSIVE d AS (SELECT id, replace(source_wikitext, 'Template:', '틀:') AS s, CAST(((id * 5) % 31) * 7 + 21 AS BIGINT) AS n, 'v' || CAST(id % 4 AS VARCHAR) AS k FROM wiki_docs WHERE source_wikitext IS NOT NULL),
+e AS (SELECT id, k, n, CAST([] AS BIGINT[]) AS path, '' AS head, '' AS tail FROM d UNION ALL
+ SELECT e.id, e.k, CASE WHEN e.n % 2 = 0 THEN e.n % 40 + 21 END, list_append(e.path, e.n), e.head || 'T' || CAST(e.n AS VARCHAR) || '<' || e.k || '|>', t.text || e.tail
+ FROM e JOIN documents t ON t.doc_id = e.n WHERE NOT list_contains(e.path, e.n) AND len(e.path) < 8),
+b AS (SELECT id, arg_max(head || tail, len(path)) AS body FROM e GROUP BY id),
+x AS (SELECT d.id, regexp_replace(replace(d.s, '[include(틀:T' || CAST(d.n AS VARCHAR) || ', k=' || d.k || ', second, deep=(a,b))]', b.body), '\[include\(틀:M[0-9]\)\]', '') AS text FROM d JOIN b USING (id))
+SELECT id, length(text) AS n, md5(text) AS digest FROM x""")
 def _(t):
     d = t.sql(LOCAL)
     templates = t.sql("""SELECT '틀:T' || CAST(doc_id AS STRING) AS title, 'T' || CAST(doc_id AS STRING) || '<@k=none@|@x@>' ||

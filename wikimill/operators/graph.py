@@ -37,18 +37,18 @@ def transitive_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | Non
 
     ``seeds(root, node)`` start at depth 0, ``edges(src, dst)`` may hold cycles. Every round joins only the new nodes.
     """
-    edges = edges.select("src", "dst").distinct()
-    frontier = cut_lineage(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)))
+    edges = stored(edges.select("src", "dst").distinct(), "closure-edges")
+    frontier = stored(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)), "closure-new")
     visited, depth = frontier, 0
     while max_rounds is None or depth < max_rounds:
         depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(visited, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = stored(step.join(visited, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure-new")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
         if depth % 8 == 0:
-            visited = cut_lineage(visited)
+            visited = stored(visited, "closure-seen")
     return visited
 
 
@@ -59,17 +59,15 @@ def template_closure(docs: DataFrame) -> DataFrame:
     """
     d = docs.withColumn("_key", document_key("source_title"))
     is_template = F.col("_key").startswith("틀:")
-    edges = simple_include_edges(d, "_key", "source_wikitext").select(F.col("owner").alias("src"), F.col("template").alias("dst"))
-    articles = d.where(~is_template)
-    seeds = (
-        simple_include_edges(articles.withColumn("_own", F.col("root_title")), "_own", "source_wikitext")
-        .select(F.col("owner").alias("root"), F.col("template").alias("node"))
-    )
+    # texts are read once; seeds and edges are parts of what they give
+    owners = d.withColumn("_own", F.struct(F.col("_key").alias("src"), F.col("root_title").alias("root")))
+    calls = stored(simple_include_edges(owners, "_own", "source_wikitext").select("owner.*", F.col("template").alias("dst")), "template-calls")
+    seeds = calls.where(~F.col("src").startswith("틀:")).select("root", F.col("dst").alias("node")).distinct()
+    edges = calls.where(F.col("src").startswith("틀:")).select("src", "dst")
     known = d.where(is_template).select(F.col("_key").alias("node"), F.lit(True).alias("found")).distinct()
     # a template that many roots use is walked once: the closure is that of the used templates, and the roots join it
-    seeds = seeds.distinct()
     used = seeds.select(F.col("node").alias("root"), "node").distinct()
-    below = stored(transitive_closure(used, edges.where(F.col("src").startswith("틀:"))), "template-closure")
+    below = transitive_closure(used, edges)
     reached = seeds.withColumnRenamed("node", "via").join(below.withColumnRenamed("root", "via"), "via").groupBy("root", "node").agg(F.min("depth").alias("depth"))
     return reached.join(known, "node", "left").select("root", "node", "depth", F.coalesce("found", F.lit(False)).alias("found"))
 

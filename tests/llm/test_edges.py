@@ -265,6 +265,15 @@ def test_fuse_filter():
             assert len(one.cells) < 1.3 * n and one.holds(rng.integers(2**63, 2**64 - 1, 50000, dtype=np.uint64)).mean() < 0.006
 
 
+def test_asked_texts_alike_at_every_size(spark):
+    """Broadcast, and beyond it hot digests apart from the others: the same texts, and only those asked for."""
+    rows = [(i, "hot") for i in range(3000)] + [(3000 + i, f"pair {i // 2}") for i in range(1400)] + [(9000 + i, f"single {i}") for i in range(50)] + [(9999, None)]
+    docs = table(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    asked = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = [sorted(r.doc_id for r in exact_dedup.asked_texts(docs, asked, most).collect()) for most in (10**6, 0)]
+    assert got[0] == got[1] == list(range(4400))
+
+
 def test_exact_duplicates(spark):
     rng = random.Random(8)
     texts = [rng.choice([None, "", "a", "A", "a ", prose(rng, 3, 3)]) for _ in range(200)]

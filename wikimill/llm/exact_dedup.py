@@ -3,8 +3,8 @@
 A snapshot is the digests of documents that were taken in before. It is cut into buckets by digest, and each bucket gets one
 binary fuse filter (Graf and Lemire, 2022) over its distinct digests: three 8-bit cells per key, no false negatives, about
 0.4 % false positives. Incoming digests are made distinct first, so a hot text is one row. Those that a filter passes are joined
-with the exact bucket, and texts with equal digests are grouped by their bytes; copies inside the batch are grouped apart from
-the snapshot. Only then rows learn which row stays.
+with the exact bucket; digests that repeat inside the batch are found apart from the snapshot. Texts are read again for the
+digests so found and for no others, and are grouped by their bytes. Only then rows learn which row stays.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from .common import document, settle, stored, text_of
 from .words import U64, mix
 
 BUCKET_KEYS = 50_000  # keys of a bucket, about
+BROADCAST_DIGESTS = 500_000  # of 64 letters: 50 MB
 
 
 class BinaryFuse:
@@ -122,6 +123,21 @@ def screened(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame
     return keys.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen, "sha string")
 
 
+def asked_texts(texts: DataFrame, asked: DataFrame, most: int = BROADCAST_DIGESTS) -> DataFrame:
+    """``texts(doc_id, text)`` with their ``sha``, for the digests of ``asked(sha, n)`` only; ``n`` counts the rows of a digest.
+
+    Up to ``most`` digests are broadcast, so that no other text moves. Beyond that the texts are dealt by digest, but for
+    digests with more than a thousandth of the asked rows: those are fewer than a thousand, and are broadcast.
+    """
+    texts = texts.withColumn("sha", F.sha2("text", 256))
+    size = asked.agg(F.count(F.lit(1)).alias("digests"), F.sum("n").alias("rows")).first()
+    if size["digests"] <= most:
+        return texts.join(F.broadcast(asked.select("sha")), "sha", "left_semi")
+    hot = F.col("n") * 1000 > size["rows"]
+    found = texts.join(F.broadcast(asked.where(hot).select("sha")), "sha", "left_semi")
+    return found.unionByName(texts.join(asked.where(~hot).select("sha").hint("merge"), "sha", "left_semi"))
+
+
 def exact_duplicates(incoming: DataFrame, snapshot: DataFrame, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, known`` for all rows of both tables.
 
@@ -137,14 +153,15 @@ def exact_duplicates(incoming: DataFrame, snapshot: DataFrame, bucket_keys: int
     filters = stored(snapshot_filters(old_d, buckets), "filter")  # immutable: a later batch reads it again
     positive = stored(screened(new_d, filters, buckets), "positive")
     settle(spark)
+    # Digests that more than one row has: those of the batch that an exact bucket confirms, and repeated ones of either side.
     in_both = positive.join(old_d.select("sha").distinct(), "sha", "left_semi").withColumn("known", F.lit(True))
     repeated = rows.groupBy("old", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", F.lit(False).alias("known"))
-    asked = stored(in_both.unionByName(repeated).groupBy("sha").agg(F.max("known").alias("known")), "asked")
-    # The byte check: texts are grouped by digest and by their bytes. Copies in one task become one row before the shuffle.
-    texts = new.unionByName(old).select("doc_id", text_of("text").alias("text"))
-    same = texts.withColumn("sha", F.sha2("text", 256)).groupBy("sha", "text").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-    same = same.select("sha", "group_size", "keep_id").join(asked, "sha")
-    same = stored(same, "group")
+    asked = in_both.unionByName(repeated).groupBy("sha").agg(F.max("known").alias("known"))
+    asked = stored(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(asked, "sha"), "asked")
+    # The byte check: only their texts move, grouped by digest and bytes. Copies in one task become one row before the shuffle.
+    texts = asked_texts(new.unionByName(old).select("doc_id", text_of("text").alias("text")), asked)
+    same = texts.groupBy("sha", "text").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    same = stored(same.select("sha", "group_size", "keep_id").join(asked.select("sha", "known"), "sha"), "group")
     settle(spark)
     split = same.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if split:

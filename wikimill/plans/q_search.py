@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import plain_text
 from ..operators import search as s
+from ..operators import search_index
 from ..operators.ranking import numbered
 from .registry import query
 
@@ -30,6 +31,20 @@ def _(t):
     return s.search_top(t.wiki_docs, "ation", "mirror").select("id", "source_title", "rank")
 
 
+@query("t1_index_text", f"SELECT id, source_title, rank FROM ({search_sql('ation')})")
+def _(t):
+    return search_index.build(t.wiki_docs).search_top("ation", "mirror").select("id", "source_title", "rank")
+
+
+@query("t1_gram_counts", f"""
+SELECT gram, count(*) AS n FROM (SELECT DISTINCT id, field, substr(txt, i, 3) AS gram FROM (SELECT id, field, txt, unnest(range(1, length(txt) - 1)) AS i FROM (
+  {" UNION ALL ".join(f"SELECT id, {i} AS field, lower({c}) AS txt FROM wiki_docs WHERE length({c}) > 2" for i, c in enumerate(search_index.FIELDS))})))
+GROUP BY gram""")
+def _(t):
+    counts = search_index.build(t.wiki_docs).table("counts")
+    return counts.select("gram", F.col("rows").alias("n"))
+
+
 KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 DISPLAY = f"""CASE WHEN coalesce(translated_title, '') = '' OR regexp_matches(translated_title, '[가-힣]') THEN ''
   WHEN root_title <> source_title AND NOT contains(source_title, '/') AND {KEY.format('translated_title')} <> {KEY.format('root_title')}
@@ -42,19 +57,28 @@ def _(t):
     return t.wiki_docs.select("id", s.display_title().alias("display_title"))
 
 
-@query("t2_search_rerank", f"""
+RERANK = f"""
 WITH h AS (SELECT *, {DISPLAY} AS display_title FROM ({search_sql('album 1', 'rank0')})),
 k AS (SELECT *, {KEY.format('translated_title')} AS t, {KEY.format('display_title')} AS d, {KEY.format('root_title')} AS r, {KEY.format('source_title')} AS s,
   {KEY.format("coalesce(source_wikitext, '')")} AS b FROM h WHERE display_title <> '')
 SELECT id, display_title, CASE WHEN t = '' THEN 999 WHEN t = 'album 1' OR d = 'album 1' THEN 0 WHEN source_title = root_title AND starts_with(t, 'album 1') THEN 1
   WHEN starts_with(t, 'album 1') OR starts_with(d, 'album 1') THEN 2 WHEN source_title = root_title AND starts_with(r, 'album 1') THEN 3 WHEN starts_with(r, 'album 1') THEN 4
   WHEN contains(t, 'album 1') OR contains(d, 'album 1') THEN 5 WHEN contains(r, 'album 1') THEN 6 WHEN contains(s, 'album 1') THEN 7 WHEN contains(b, 'album 1') THEN 8 ELSE 50 END AS search_rank
-FROM k ORDER BY search_rank, length(display_title), display_title LIMIT 50""")
+FROM k ORDER BY search_rank, length(display_title), display_title LIMIT 50"""
+
+
+@query("t2_search_rerank", RERANK)
 def _(t):
     hits = s.search_top(t.wiki_docs, "Album 1", "mirror")
     return s.rerank(hits, "Album 1").select("id", "display_title", "search_rank")
 
 
+@query("t2_index_rerank", f"SELECT id, display_title, search_rank FROM ({RERANK})")
+def _(t):
+    hits = search_index.build(t.wiki_docs).search_top("Album 1", "mirror")
+    return s.rerank(hits, "Album 1").select("id", "display_title", "search_rank")
+
+
 @query("t6_published_index", f"""
 SELECT source_title, translated_title, published_revision_no FROM wiki_docs WHERE {PUBLISHED} AND source_title NOT LIKE '틀:%' ORDER BY source_title""")
 def _(t):

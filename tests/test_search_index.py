@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
+import numpy as np
 
 from wikimill.operators import search, search_index
 
@@ -26,11 +26,14 @@ def listed(df):
     return [(r["rank"], len(r["translated_title"] or r["source_title"]), r["source_title"]) for r in df.collect()]
 
 
-def test_grams_are_runs_of_letters(spark):
-    for text in ("", "a", "abc", "aaaa", "x😀y가z", "a" * 5 + "b"):
-        want = {text[i:i + 3] for i in range(len(text) - 2)}
-        got = spark.sql("SELECT 1").select(search_index.grams(F.lit(text), 3).alias("g")).first()["g"]
-        assert set(got) == want and len(got) == len(want)
+def test_posting_lists_are_runs_of_letters():
+    texts = ["", "a", "abc", "aaaa", "x😀y가z", "abc\0\0d", "aaab"]
+    for size in (1, 2, 3):
+        gram, chunk, begin, place = search_index.posting_lists(texts, np.arange(1021, 1028), size)
+        got = {(g, c * search_index.CHUNK + p) for g, c, lo, hi in zip(gram, chunk, begin[:-1], begin[1:], strict=True) for p in place[lo:hi].tolist()}
+        assert got == {(t[i:i + size], 1021 + n) for n, t in enumerate(texts) for i in range(len(t) - size + 1)}
+        assert len(place) == len(got) and begin[-1] == len(place)
+    assert list(search_index.slices(np.array([1, 10**7, 0, 5, 5]))) == [(0, 1), (1, 2), (2, 5)]
 
 
 def test_index_finds_what_the_scan_finds(spark):

@@ -208,3 +208,16 @@ def test_waiting_rows_are_read_when_due():
     assert two.rows <= 2.1 * one.rows and two.keys <= 2.1 * one.keys
     assert one.rows <= 5 * 3000  # once for each batch that adds to their bucket, once when due
     assert len(set(one.timers)) == 0
+
+
+def test_table_as_file_and_as_folder(spark, tmp_path):
+    """A table may be one file or a folder of part files; a folder without rows gives an empty snapshot."""
+    rows = [(1, "a"), (2, "b"), (3, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "folder.parquet"))
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "file.parquet")
+    for name in ("folder.parquet", "file.parquet"):
+        out = j.incremental_ingest(j.read_stream(spark, str(tmp_path), name), lambda d: d, ["doc_id"], "t-r10p")
+        assert sorted(tuple(r) for r in out.collect()) == rows
+    (tmp_path / "none").mkdir()
+    none = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "none"))
+    assert j.incremental_ingest(none, lambda d: d, ["doc_id"], "t-r10n").collect() == []

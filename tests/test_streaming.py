@@ -221,3 +221,19 @@ def test_table_as_file_and_as_folder(spark, tmp_path):
     (tmp_path / "none").mkdir()
     none = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "none"))
     assert j.incremental_ingest(none, lambda d: d, ["doc_id"], "t-r10n").collect() == []
+
+
+def test_a_key_has_one_timer(spark):
+    """Rows of a thousand different minutes wait under one timer, and come when the watermark reaches them, also inside a minute."""
+    states, p = FakeStates(), Collect()
+    p.init(states)
+    at = lambda i: (1_000_000 + 60_000 * i) * 1000
+    list(p.handleInputRows((1,), iter([pd.DataFrame([(at(i), i) for i in range(1000)], columns=["us", "id"])]), Times(0)))
+    assert len(states.timers) == 1
+    states, p = FakeStates(), Collect()
+    p.init(states)
+    list(p.handleInputRows((1,), iter([pd.DataFrame([(30_000_000, 1), (30_002_000, 2)], columns=["us", "id"])]), Times(0)))
+    assert [t < 30_000 for t in states.timers] == [True]
+    frames = list(p.handleExpiredTimer((1,), Times(30_000), Times(30_000, states.timers.pop())))
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == [(30_000_000, 1)]
+    assert states.timers and states.timers[-1] < 30_002

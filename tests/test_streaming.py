@@ -237,3 +237,15 @@ def test_a_key_has_one_timer(spark):
     frames = list(p.handleExpiredTimer((1,), Times(30_000), Times(30_000, states.timers.pop())))
     assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == [(30_000_000, 1)]
     assert states.timers and states.timers[-1] < 30_002
+
+
+def test_a_lease_sets_timers_for_its_last_claim(spark):
+    """A task with many claims sets one timer for the end of the last lease and one to be forgotten."""
+    states, p = FakeStates(), j.LeaseProcessor(8, 2, 10**9)
+    p.init(states)
+    out = p.step((1,), [(60_000_000 * 10 * i, i, "claim") for i in range(100)])
+    assert len(out) == 99 and len(states.timers) == 2
+    assert out[0] == (1, 480_000, 1, "queued") and out[1][3] == "failed"
+    end = 99 * 600_000 + 480_000
+    assert min(states.timers) < end and p.expire((1,), end - 1) == [] and p.expire((1,), end) == [(1, end, 100, "failed")]
+    assert p.expire((1,), end + 1) == []

@@ -303,3 +303,11 @@ def test_template_closure_equals_a_walk_from_every_root(spark):
         want |= {(root, n, d, n in out) for n, d in depth.items()}
     got = g.template_closure(spark.createDataFrame(docs, "root_title string, source_title string, source_wikitext string"))
     assert {(x["root"], x["node"], x["depth"], x["found"]) for x in got.collect()} == want
+
+
+def test_without_repeats_at_one_place(spark):
+    """Rows at the same place give the same result in whatever order they come."""
+    rows = [(1, 5, "B"), (1, 5, "A"), (1, 5, "B"), (1, 4, "A"), (1, 6, "B")]
+    for order in (rows, rows[::-1], sorted(rows)):
+        d = r.without_repeats(spark.createDataFrame(order, "doc long, pos long, value string").coalesce(1), "doc", "pos", "value")
+        assert sorted(tuple(x) for x in d.collect()) == [(1, 4, "A"), (1, 5, "B")]

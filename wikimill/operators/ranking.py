@@ -140,8 +140,8 @@ def revision_history(revisions: DataFrame, k: int = 50) -> DataFrame:
 
 
 def without_repeats(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Drop rows equal to the row before them within the same document."""
-    w = Window.partitionBy(key).orderBy(order)
+    """Drop rows equal to the row before them within the same document. Rows at the same place stand by value, so that reruns agree."""
+    w = Window.partitionBy(key).orderBy(order, value)
     previous, first = F.lag(value).over(w), F.row_number().over(w) == 1
     return df.withColumn("_keep", first | ~F.col(value).eqNullSafe(previous)).where("_keep").drop("_keep")
 

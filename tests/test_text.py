@@ -454,3 +454,17 @@ def test_call_parameters(spark):
     df = frame(spark, ["[include(틀:A, x=1, x = 2 ,third, y=[[a,b]], =no)] [include(Template:B)]", None, "none"])
     rows = x.call_parameters(df, "id", "src").orderBy("id", "call").collect()
     assert [(r["id"], r["call"], r["given"]) for r in rows] == [(0, 0, {"x": "2", "y": "[[a,b]]", "": "no"}), (0, 1, {})]
+
+
+def test_per_value_holds_a_stretch_of_a_batch():
+    """Values of a batch become Python objects a stretch at a time, results leave before the next stretch; null stays null."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from wikimill.functions.batches import STRETCH, per_value
+
+    seen = []
+    run = per_value(T.StringType())(lambda x: seen.append(x) or x.upper()).func
+    out = run(iter([pa.array(["a"] * (3 * STRETCH) + [None])]))
+    assert next(out).to_pylist() == ["A"] * STRETCH and len(seen) == STRETCH
+    assert [len(b) for b in out] == [STRETCH, STRETCH, 1] and len(seen) == 3 * STRETCH

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import first_per
+from .batches import per_value
 from .html import all_matches, woven
 from .keys import as_col, strip
 
@@ -80,26 +81,22 @@ def simple_includes(source: Column | str) -> Column:
 INCLUDE_TOKEN = re.compile(r"\[include\(|[()]", re.I)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _scan_includes(values: pd.Series) -> pd.Series:
+@per_value(T.ArrayType(T.StringType()))
+def _scan_includes(text: str) -> list[str]:
     """Text and call bodies in turn, for the few texts whose nesting is too deep for the pattern."""
-
-    def pieces(text: str) -> list[str]:
-        cuts, begin, depth = [0], None, 0
-        for token in INCLUDE_TOKEN.finditer(text):
-            mark = token.group()
-            if begin is None:
-                begin, depth = (token.span(), 0) if len(mark) > 1 else (None, 0)
-            elif mark != ")":
-                depth += 1
-            elif depth:
-                depth -= 1
-            elif text.startswith("]", token.end()):
-                cuts += [*begin, token.start(), token.end() + 1]
-                begin = None
-        return [text[i:j] for i, j in zip(cuts[::2], [*cuts[1::2], None], strict=True)]
-
-    return values.map(pieces, na_action="ignore")
+    cuts, begin, depth = [0], None, 0
+    for token in INCLUDE_TOKEN.finditer(text):
+        mark = token.group()
+        if begin is None:
+            begin, depth = (token.span(), 0) if len(mark) > 1 else (None, 0)
+        elif mark != ")":
+            depth += 1
+        elif depth:
+            depth -= 1
+        elif text.startswith("]", token.end()):
+            cuts += [*begin, token.start(), token.end() + 1]
+            begin = None
+    return [text[i:j] for i, j in zip(cuts[::2], [*cuts[1::2], None], strict=True)]
 
 
 def include_pieces(source: Column | str) -> Column:
@@ -147,11 +144,7 @@ def split_scopes(text: str, mark: str, links: bool) -> list[str]:
 
 
 def _splitter(mark: str, links: bool):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(values: pd.Series) -> pd.Series:
-        return values.map(lambda text: split_scopes(text, mark, links), na_action="ignore")
-
-    return split
+    return per_value(T.ArrayType(T.StringType()))(lambda text: split_scopes(text, mark, links))
 
 
 _SPLIT = {(mark, links): _splitter(mark, links) for mark in ",|" for links in (False, True)}
@@ -163,13 +156,10 @@ def split_top(body: Column, mark: str, links: bool = True) -> Column:
     return F.when(opened, _SPLIT[mark, links](F.when(opened, body))).otherwise(F.split(body, re.escape(mark), -1))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split_once(values: pd.Series) -> pd.Series:
-    def halves(text: str) -> list[str]:
-        first = split_scopes(text, "=", True)[0]
-        return [first, text[len(first) + 1:]] if len(first) < len(text) else [text]
-
-    return values.map(halves, na_action="ignore")
+@per_value(T.ArrayType(T.StringType()))
+def _split_once(text: str) -> list[str]:
+    first = split_scopes(text, "=", True)[0]
+    return [first, text[len(first) + 1:]] if len(first) < len(text) else [text]
 
 
 def split_once(part: Column) -> Column:

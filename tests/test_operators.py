@@ -311,3 +311,14 @@ def test_without_repeats_at_one_place(spark):
     for order in (rows, rows[::-1], sorted(rows)):
         d = r.without_repeats(spark.createDataFrame(order, "doc long, pos long, value string").coalesce(1), "doc", "pos", "value")
         assert sorted(tuple(x) for x in d.collect()) == [(1, 4, "A"), (1, 5, "B")]
+
+
+def test_a_shared_call_is_expanded_once(spark, monkeypatch):
+    """Many documents with the same call cost one expansion of it a round, and each gets the whole text."""
+    sizes = []
+    monkeypatch.setattr(g, "cut_lineage", lambda d: sizes.append((out := cut_lineage(d)).count()) or out)
+    docs = spark.createDataFrame([(i, f"{i} [include(틀:A, x={i % 2})] and [include(틀:A, x=0)] [include(틀:Z)].") for i in range(60)], "id int, text string")
+    templates = spark.createDataFrame([("틀:A", "a@x@[include(틀:B)]"), ("틀:B", "b")], "title string, text string")
+    out = {x["id"]: x["text"] for x in g.expand_includes(docs, templates).collect()}
+    assert out == {i: f"{i} a{i % 2}b and a0b ." for i in range(60)}
+    assert max(sizes) == 2

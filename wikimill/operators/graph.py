@@ -235,19 +235,20 @@ def _is_skipped_template(name: Column, longest: int | None = None) -> Column:
 def expand_includes(docs: DataFrame, templates: DataFrame, max_depth: int = 8) -> DataFrame:
     """Texts with their include calls replaced by the template text, parameters filled in.
 
-    ``docs(id, text)``, ``templates(title, text)``. One round expands one level for the whole corpus: texts are split at
-    their calls, calls are joined with the templates, and the inserted text is split again in the next round. A template
-    never expands inside itself. The pieces keep their place in ``ord`` and are put together at the end.
+    ``docs(id, text)``, ``templates(title, text)``. What a call of a document gives depends on the call alone, so each distinct call
+    is expanded once, whatever the number of documents that make it, and the documents' pieces are then joined with the results.
+    One round expands one level of all calls: calls are joined with the templates, and the inserted text is split at its own
+    calls for the next round. A template never expands inside itself. The pieces keep their place in ``ord`` and are put together
+    at the end.
     """
     t = first_by(templates.withColumn("name", title_key("title")), ["name"], [F.col("title")], ["text"]).withColumnRenamed("text", "body")
-    open_rows = docs.where(F.col("text").isNotNull()).select(
-        "id", F.array(F.lit(0)).alias("ord"), "text", F.array().cast("array<string>").alias("path"), F.lit(0).alias("depth")
+    own = stored(rows_of(docs.where(F.col("text").isNotNull()), ["id"], include_pieces("text"), "piece", "i"), "include-pieces")
+    calls = own.where("i % 2 = 1").select("piece").distinct().select(
+        F.col("piece").alias("call"), F.array().cast("array<int>").alias("ord"), "piece", F.array().cast("array<string>").alias("path"), F.lit(0).alias("depth")
     )
     done: list[DataFrame] = []
     while True:
-        parts = rows_of(open_rows, ["id", "ord", "path", "depth"], include_pieces("text"), "piece", "i")
-        parts = parts.withColumn("ord", F.concat("ord", F.array("i")))
-        calls = parts.where("i % 2 = 1").withColumn("_args", F.transform(top_level_parts(F.col("piece")), strip))
+        calls = calls.withColumn("_args", F.transform(top_level_parts(F.col("piece")), strip))
         calls = calls.withColumn("name", title_key(F.coalesce(F.get("_args", F.lit(0)), F.lit(""))))
         named = F.filter(rest(F.col("_args")), lambda x: x.contains("="))
         pairs = F.transform(
@@ -257,15 +258,18 @@ def expand_includes(docs: DataFrame, templates: DataFrame, max_depth: int = 8) -
         usable = (F.col("name") != "") & ~_is_skipped_template(F.col("name")) & (F.col("depth") < max_depth) & ~F.array_contains("path", F.col("name"))
         # a later value for the same key wins, so the list is reversed and the first hit taken
         inserted = calls.where(usable).withColumn("_params", F.reverse(pairs)).join(t, "name")
-        nxt = inserted.select("id", "ord", _substitute(F.col("body"), F.col("_params")).alias("text"), F.concat("path", F.array("name")).alias("path"), (F.col("depth") + 1).alias("depth"))
-        done.append(parts.where("i % 2 = 0").select("id", "ord", F.col("piece").alias("text")))
-        open_rows = cut_lineage(nxt)
-        if open_rows.isEmpty():
+        text = _substitute(F.col("body"), F.col("_params")).alias("text")
+        level = cut_lineage(inserted.select("call", "ord", text, F.concat("path", F.array("name")).alias("path"), (F.col("depth") + 1).alias("depth")))
+        parts = rows_of(level, ["call", "ord", "path", "depth"], include_pieces("text"), "piece", "i")
+        parts = parts.withColumn("ord", F.concat("ord", F.array("i")))
+        done.append(parts.where("i % 2 = 0").select("call", "ord", F.col("piece").alias("text")))
+        if level.isEmpty():
             break
-    pieces = done[0]
-    for d in done[1:]:
-        pieces = pieces.unionByName(d)
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return pieces.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
+        calls = parts.where("i % 2 = 1").select("call", "ord", "piece", "path", "depth")
 
+    def joined(place: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "text"))), lambda x: x["text"]), "").alias("text")
 
+    expanded = stored(reduce(DataFrame.unionByName, done).groupBy("call").agg(joined("ord")), "includes")
+    filled = own.where("i % 2 = 1").join(expanded, F.col("piece") == F.col("call"), "left").select("id", "i", F.coalesce("text", F.lit("")).alias("text"))
+    return own.where("i % 2 = 0").select("id", "i", F.col("piece").alias("text")).unionByName(filled).groupBy("id").agg(joined("i"))

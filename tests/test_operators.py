@@ -322,3 +322,10 @@ def test_a_shared_call_is_expanded_once(spark, monkeypatch):
     out = {x["id"]: x["text"] for x in g.expand_includes(docs, templates).collect()}
     assert out == {i: f"{i} a{i % 2}b and a0b ." for i in range(60)}
     assert max(sizes) == 2
+
+
+def test_text_present_does_not_rewrite_the_text(spark):
+    rows = [(None,), ("",), (" \t\n\r ",), ("\n a \n",), (" ",)]
+    d = spark.createDataFrame(rows, "t string")
+    assert [x[0] for x in d.select(q.text_present("t")).collect()] == [False, False, False, True, True]
+    assert "regexp_replace" not in d.select(q.text_present("t"))._jdf.queryExecution().toString()

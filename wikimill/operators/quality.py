@@ -21,7 +21,8 @@ def blocker_array(*rules: Column) -> Column:
 
 
 def text_present(c: Column | str) -> Column:
-    return F.coalesce(strip(as_col(c)) != "", F.lit(False))
+    """Whether a text has more than blanks; read as far as its first other character."""
+    return F.coalesce(as_col(c).rlike(r"\S"), F.lit(False))
 
 
 def meta_count(meta: str, count_key: str | None, array_key: str) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,56 @@ def test_table_pairing_equals_a_loop(spark):
     assert {(x["doc_id"], x["o_idx"]): x["b_idx"] for x in got} == want
 
 
+TABLES = "doc_id long, idx int, text string, n_rows int, n_cols int"
+
+
+def py_pairing(o, b):
+    """Greedy pairing as a plain loop, in fractions."""
+    found, used = {}, set()
+    for d, i, text, rows, cols in sorted(o):
+        offers = []
+        for e, j, text2, rows2, cols2 in b:
+            if d == e and (e, j) not in used and text and text2:
+                x, y = set(text.split()), set(text2.split())
+                token = Fraction(len(x & y), len(x | y))
+                offers.append((-(78 * token + 14 * Fraction(min(rows, rows2), max(rows, rows2)) + 8 * Fraction(min(cols, cols2), max(cols, cols2))), j, token))
+        if offers and (best := min(offers))[0] <= -32 and best[2] >= Fraction(1, 5):
+            used.add((d, best[1]))
+            found[(d, i)] = best[1]
+    return found
+
+
+def paired(spark, o, b):
+    return [((x["doc_id"], x["o_idx"]), x["b_idx"]) for x in sim.pair_tables(spark.createDataFrame(o, TABLES), spark.createDataFrame(b, TABLES)).collect()]
+
+
+def test_table_pairing_of_copies_takes_one_round(spark, monkeypatch):
+    writes, stored = [], sim.stored
+    monkeypatch.setattr(sim, "stored", lambda df, name: writes.append(name) or stored(df, name))
+    o = [(1, i, "red green blue", 2, 2) for i in range(12)]
+    assert sorted(paired(spark, o, o)) == [((1, i), i) for i in range(12)]
+    assert len(writes) <= 2
+
+
+def test_table_pairing_in_parts_and_rounds(spark, monkeypatch):
+    for name, value in {"PART": 4, "PARTS": 3, "OFFERS": 2}.items():
+        monkeypatch.setattr(sim, name, value)
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(7)]
+    mk = lambda: [(d, i, " ".join(rnd.sample(words, rnd.randint(0, 4))), rnd.randint(1, 3), rnd.randint(1, 3)) for d, n in enumerate((20, 9, 3, 0, 1)) for i in range(n)]
+    o, b = mk(), mk()[:-1]
+    copies = [(9, i, "red green blue", 2, 2) for i in range(15)]
+    got = paired(spark, o + copies, b + copies)
+    assert len(got) == len(dict(got))
+    assert dict(got) == py_pairing(o + copies, b + copies)
+
+
+def test_tokens_of_tables_move_once(spark):
+    o = spark.createDataFrame([(1, 0, "red green blue", 2, 2)], TABLES)
+    plan = sim.table_candidates(o, o)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_short_texts_compare_by_shorter_grams(spark):
     df = spark.createDataFrame([(1, "ab", "abc"), (2, "", ""), (3, "", "x"), (4, "A b C", "abc"), (5, "abcd", "abce")], "id int, l string, r string")
     got = {x["id"]: round(x["s"], 6) for x in sim.with_text_similarity(df, "l", "r", "s").collect()}
